@@ -21,11 +21,18 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.binary_output import token_files
 
     return token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op6_token_files)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files)}
 ORACLES: dict[str, str] = {}
