@@ -34,5 +34,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), report=True)
+
+
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
