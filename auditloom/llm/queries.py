@@ -34,11 +34,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.decontaminate import contaminated, contamination, items_digest
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op7_decontaminate, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
