@@ -41,11 +41,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op7_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op7_decontaminate, op8_language_id, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
