@@ -251,13 +251,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = spark.sparkContext.broadcast(train(rows) if rows else None)
 
     def label(batches):
-        work = Labeller(model.value) if model.value else None
-        names = np.array([*(model.value.langs if work else []), UNKNOWN], object)
+        work = Labeller(model.value) if model.value is not None else None
+        names = np.array([*(model.value.langs if work is not None else []), UNKNOWN], object)
         for b in batches:
             texts, sizes = b.column(2), 0
             best, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
             first = 0
-            for i in range(b.num_rows if work else 0):
+            for i in range(b.num_rows if work is not None else 0):
                 sizes += len(texts[i].as_buffer()) if texts[i].is_valid else 0
                 if sizes > 4 << 20 or i == b.num_rows - 1:
                     best[first : i + 1], score[first : i + 1] = work.label([t.as_py() for t in texts[first : i + 1]])
