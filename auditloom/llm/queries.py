@@ -47,11 +47,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op7_decontaminate, op8_language_id, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
