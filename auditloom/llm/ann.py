@@ -30,8 +30,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     for _ in range(rounds):
         near = (x @ c.T * 2 - (c * c).sum(1)).argmax(1)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
+        sums = (near == np.arange(k)[:, None]).astype(np.float32) @ x
         c[n > 0] = sums[n > 0] / n[n > 0, None]
     return c
 
@@ -86,11 +85,12 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 8, words: int = 64, beam: int = 4, rerank: int = 400, train_rows: int = 8192, pass_rows: int = 65_536, block_rows: int = 32_768, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, words: int = 64, beam: int = 4, rerank: int = 800, train_rows: int = 8192, pass_rows: int = 65_536, block_rows: int = 32_768, distance: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows of largest inner product for each row whose id is divisible by ``every``, its own row left out.
 
     (query_id, rank, vec_id, score), score in double precision on the original vectors. rerank: how many
-    of a block's rows, by look-up score, each query scores exactly.
+    of a block's rows, by look-up score, each query scores exactly. distance: rank by smallest Euclidean
+    distance instead, by look-ups and the stored norms; the score is then minus its square.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -129,9 +129,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 8, wo
             q_ids, q = batch.value
             held = model.value
             tables = np.einsum("qd,mkd->mkq", q.astype(np.float32), held)  # look-up tables: codebook x word x query
-            for ids, codes, _, v in _blocks(batches, block_rows, books, dim):
+            for ids, codes, norms, v in _blocks(batches, block_rows, books, dim):
                 for a in range(0, len(q), 1024):
-                    yield _best(q_ids[a : a + 1024], q[a : a + 1024], tables[:, :, a : a + 1024], ids, codes, v, k, rerank)
+                    yield _best(q_ids[a : a + 1024], q[a : a + 1024], np.ascontiguousarray(tables[:, :, a : a + 1024]), ids, codes, norms if distance else None, v, k, rerank)
 
         part = index.mapInArrow(search, kinds)
         part = stash(_top(part, k), "aq-found") if passes > 1 else _top(part, k)
@@ -167,18 +167,21 @@ def _blocks(batches, rows: int, books: int, dim: int):
         yield give()
 
 
-def _best(q_ids, q, tables, ids, codes, v, k: int, rerank: int) -> pa.RecordBatch:
+def _best(q_ids, q, tables, ids, codes, norms, v, k: int, rerank: int) -> pa.RecordBatch:
     """Each query's k best of a block: look-up scores for all rows, exact scores for the best of those."""
-    score = np.zeros((len(q), len(ids)), np.float32)
+    score = np.zeros((len(ids), len(q)), np.float32)
     for j in range(codes.shape[1]):
-        score += tables[j][codes[:, j]].T
+        score += tables[j][codes[:, j]]
+    if norms is not None:
+        score = 2 * score - norms[:, None]
+    score = np.ascontiguousarray(score.T)
     score[q_ids[:, None] == ids[None, :]] = -np.inf
     width = min(rerank, len(ids))
     short = np.argpartition(-score, width - 1, axis=1)[:, :width]
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
         at = short[i][np.isfinite(score[i, short[i]])]
-        exact = v[at] @ q[i]
+        exact = v[at] @ q[i] if norms is None else -np.square(v[at] - q[i]).sum(1)
         own = np.lexsort((ids[at], -exact))[:k]
         out_q.append(np.full(len(own), q_ids[i]))
         out_v.append(ids[at[own]])
