@@ -21,6 +21,12 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), report=True)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.simhash import near_duplicates
 
@@ -59,5 +65,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_simhash, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op3_substring_dedup, op4_simhash, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
