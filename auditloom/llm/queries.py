@@ -34,6 +34,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.binary_output import token_files
 
@@ -65,5 +71,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op3_substring_dedup, op4_simhash, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
