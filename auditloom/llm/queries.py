@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 
@@ -43,7 +49,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.binary_output import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +77,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), report=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
