@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,7 +243,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
             bench = Benchmark(held.value, window)
             for b in batches:
                 ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-                sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else []
+                sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
                 cut = np.cumsum(sizes) // shard_bytes
                 for _, part in _runs(cut):
                     shard = Shard([t.as_py() for t in texts[part.start : part.stop]], bench)

@@ -9,7 +9,7 @@ token outside all matches becomes a span if its label is at least ``sure``. So a
 once with its country code is also found where it stands without.
 
 Training: token weights by logistic regression on the patterns' own labels, edge potentials by the
-association of the labels at their ends, over a sample of at most ``sample_docs`` documents of at most
+association of the labels at their ends (with a prior that tokens which repeat each other are alike), over a sample of at most ``sample_docs`` documents of at most
 ``sample_chars`` characters each, drawn by a hash of doc_id.
 
 Cases: a null or empty text has no spans; repeated rows get equal results; a table without any digit
@@ -97,7 +97,7 @@ def tokens(text: str) -> list[tuple[int, int, str, str, int]]:
 
 def features(core: str, before: str) -> list[int]:
     digits = sum(c.isdigit() for c in core)
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "9", core[:64])))
+    shape = re.sub(r"[0-9]", "9", re.sub(r"[A-Za-z]+", "a", core[:64]))
     names = (f"s{shape}", f"d{min(digits, 24)}", f"l{min(len(core), 40)}", f"h{digits * 4 // max(1, len(core))}", f"a{'@' in core}", f"p{core[:1]}", f"b{before.lower().strip(EDGE)[:20]}", "bias")
     return [crc32(x.encode()) & ((1 << BITS) - 1) for x in names]
 
@@ -171,9 +171,9 @@ class Field:
         return belief / belief.sum(1, keepdims=True)
 
 
-def association(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bounded log-association of labels at the ends of edges, both ways alike."""
-    joint = np.full((LABELS, LABELS), 0.1)
+def association(a: np.ndarray, b: np.ndarray, alike: float = 0) -> np.ndarray:
+    """Bounded log-association of labels at the ends of edges, both ways alike; alike: prior count of equal labels."""
+    joint = np.full((LABELS, LABELS), 0.1) + alike * np.eye(LABELS)
     np.add.at(joint, (a, b), 1)
     np.add.at(joint, (b, a), 1)
     joint /= joint.sum()
@@ -204,7 +204,8 @@ def train(texts: list[str], steps: int = 60) -> Field | None:
         g = np.stack([np.bincount(x.ravel(), spread[:, k], 1 << BITS) for k in range(LABELS)], 1) / len(y) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Field(w, *(association(*np.array(e, np.int64).reshape(-1, 2).T) for e in pairs))
+    near, far, skip = (np.array(e, np.int64).reshape(-1, 2).T for e in pairs)
+    return Field(w, association(*near), association(*far), association(*skip, alike=10))
 
 
 def find(text: str | None, field: Field | None, sure: float = 0.9) -> tuple[list, list]:
