@@ -270,7 +270,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)}) if extra else out
 
 
-def keep_identified(docs: DataFrame, least: float = 0.35, languages: tuple[str, ...] | None = None, **kw) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3, languages: tuple[str, ...] | None = None, **kw) -> DataFrame:
     """docs without rejected ones: no letters, no language of at least this score, or one not wanted. Columns as they are."""
     found = identify(docs, extra=tuple(docs.columns), **kw).toDF("__i_id", "__i_out", "__i_lang", "__i_score", *docs.columns)
     good = (F.col("__i_lang") != UNKNOWN) & (F.col("__i_score") >= least)
