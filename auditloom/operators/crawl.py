@@ -75,7 +75,7 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, fol
     seen = store.put((processed if processed is not None else spark.createDataFrame([], "url string, id long")).select("url", F.col("id").cast("long")), "seen")
     pages, edges, pending = [], [], []
     stopped, rounds, depth = False, 0, 0
-    queued_before = frontier.select("url").distinct()
+    queued = [frontier]
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         turn = frontier.where(is_full_url(F.col("url")))
@@ -92,12 +92,12 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, fol
         # a URL's first event that marks it processed: its own turn, a malformed link, an external or asset fetch
         turns = frontier.select("url", F.struct("rank", F.lit(TURN).alias("phase"), F.lit(-1).alias("pos")).alias("seq"))
         marks = turns.unionByName(events.where("kind <> 'internal'").select("url", "seq")).groupBy("url").agg(F.min("seq").alias("first"))
-        state = store.put(marks, "marks")
+        state = marks
         fetches = events.where("kind in ('external', 'asset')").join(seen.select(F.col("url").alias("_s")), F.col("url") == F.col("_s"), "left_anti").join(state.select(F.col("url").alias("_m"), "first"), F.col("url") == F.col("_m")).where(F.col("seq") == F.col("first")).drop("_m", "first")
         # slots of a page's rows: its hops, then one for each link and asset event
         slot = F.lit(64) + F.col("pos") * 2 + F.when(F.col("phase") == ASSETS, F.lit(1 << 22)).otherwise(F.lit(0))
         fetched = _fetch(fetches, web).select("rank", "phase", "pos", "kind", "asked", "hop", "r.*").withColumn("id", _id(F.col("rank"), slot + F.col("hop")))
-        fetched = store.put(fetched.withColumn("external", F.when(F.col("kind") == "external", 1).otherwise((~same_site(F.col("url"), F.col("asked"))).cast("int"))), "fetched")
+        fetched = fetched.withColumn("external", F.when(F.col("kind") == "external", 1).otherwise((~same_site(F.col("url"), F.col("asked"))).cast("int")))
         bad = events.where("kind = 'malformed'").select("rank", "url", "seq", "from_id", "text", "alt", "rel", _id(F.col("rank"), slot).alias("id"))
         rows = own.unionByName(fetched, allowMissingColumns=True).unionByName(bad.select("id", "url", F.lit(0).alias("code"), F.lit(0).alias("external")), allowMissingColumns=True)
         stamped = rows.withColumn("run_id", F.lit(run_id)).withColumn("timestamp", clock)
@@ -112,10 +112,8 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, fol
         fresh = None
         if internal:
             inner = events.where("kind = 'internal'")
-            known = seen.select("url").unionByName(queued_before).unionByName(frontier.select("url")).distinct().withColumnRenamed("url", "_k")
+            known = _union([seen.select("url"), *[x.select("url") for x in queued]], spark, None).distinct().withColumnRenamed("url", "_k")
             new = inner.join(known, F.col("url") == F.col("_k"), "left_anti").join(state.withColumnsRenamed({"url": "_m"}), F.col("url") == F.col("_m"), "left").where(F.col("first").isNull() | (F.col("seq") < F.col("first"))).drop("_m", "first")
-            new = store.put(new, "discovered")
-            every = inner if full_graph else new
             firsts = new.groupBy("url").agg(F.min("seq").alias("seq")).select("url", "seq", F.col("seq.rank").alias("parent"), F.col("seq.pos").alias("pos"))
             placed = ranked(firsts, ["parent", "pos"], total, "ranked", store)
             if limit:
@@ -125,10 +123,13 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, fol
                 placed = placed.where(F.lit(False)) if stopped else placed.where(F.col("rank") <= cut) if cut is not None else placed
                 stopped = stopped or cut is not None
             fresh = store.put(placed.select("url", "rank"), "frontier")
+            # a queued URL is pending from the page that queued it; one past the limit, from every page that links to it
+            by = placed.select(F.col("url").alias("_p"), F.col("seq").alias("_seq"))
+            every = inner if full_graph else new.join(by, F.col("url") == F.col("_p"), "left").where(F.col("_seq").isNull() | (F.col("seq") == F.col("_seq")))
             pending.append(store.put(every.select(F.col("asked").alias("from_url"), F.col("url").alias("to_url"), "text", "alt", "rel", "seq"), "pending"))
-        queued_before = store.put(queued_before.unionByName(frontier.select("url")).distinct(), "queued")
         seen, depth = seen_next, depth + 1
         frontier = fresh if fresh is not None else frontier.limit(0)
+        queued.append(frontier)
         total += frontier.count()
     urls = _union(pages, spark, None)
     links_out = _union(edges, spark, "from_id long, to_id long, type string, text string, alt string, rel string")
