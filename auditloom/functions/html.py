@@ -65,13 +65,20 @@ def has_rel(tag: Column, rel: str) -> Column:
     return F.coalesce(F.array_contains(F.split(attribute(tag, "rel"), r"\s+"), rel), F.lit(False))
 
 
+def _held(df: DataFrame, prefix: str = "_") -> DataFrame:
+    """df with its working columns passed through a Generate: projections above can't fold in what computes them."""
+    work = [c for c in df.columns if c.startswith(prefix)]
+    others = [c for c in df.columns if c not in work]
+    return df.select(*others, F.explode(F.array(F.struct(*work))).alias("_g")).select(*others, "_g.*")
+
+
 def parse(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """df with the parsed pieces of each document in a struct column ``doc``; documents stay in their rows.
 
     Cases: a NULL document has a NULL doc; a document without head has has_head false and NULL fields.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    a = df.withColumn("_c", clean(body)).withColumn("_len", F.length(body))
+    a = _held(df.withColumn("_c", clean(body)).withColumn("_len", F.length(body)).withColumn("_there", F.col(html).isNotNull()), "_")
     cut = F.regexp_replace(F.col("_c"), r"(?is)(?:</head>|<body\b).*\z", "")
     a = a.withColumn("_has", F.col("_c").rlike(HEAD_TAG) | F.col("_c").rlike(LEADING)).withColumn("_head", F.when(F.col("_has"), cut))
     a = (
@@ -82,6 +89,7 @@ def parse(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         .withColumn("_src", F.regexp_extract_all("_c", F.lit(r"(?is)<(?:img|link|script|style|meta)\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"), 0))
         .withColumn("_title", F.when(F.col("_c").rlike(r"(?i)<title\b[^>]*>"), decode(F.regexp_extract("_c", r"(?is)<title\b[^>]*>(.*?)(?:</title>|\z)", 1))).otherwise(F.lit("None")))
     )
+    a = _held(a)
     named = lambda name: F.filter("_metas", lambda t: F.coalesce(attribute(t, "name") == name, F.lit(False)))
     linked = lambda rel: F.filter("_rels", lambda t: has_rel(t, rel))
     a = a.withColumn("_desc", first(named("description"))).withColumn("_robots", first(named("robots"))).withColumn("_canon", first(linked("canonical"))).withColumn("_next", first(linked("next"))).withColumn("_prev", first(linked("prev")))
@@ -102,4 +110,4 @@ def parse(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         F.when(F.col("_desc").isNotNull(), kw(F.coalesce("_desc_text", F.lit("None")))).otherwise(F.array().cast("array<string>")).alias("description_keywords"),
         F.filter(links, lambda x: (x["url"] != "") & ~x["url"].contains("mailto:")).alias("links"), sources.alias("sources"),
     )
-    return a.withColumn("doc", F.when(F.col(html).isNotNull(), doc)).select(*df.columns, "doc")
+    return a.withColumn("doc", F.when(F.col("_there"), doc)).select(*df.columns, "doc")

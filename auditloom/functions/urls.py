@@ -33,41 +33,47 @@ def same_site(url: Column, source: Column) -> Column:
     return ~is_full_url(url) | (a == b) | a.endswith(b) | b.endswith(a)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's argument is a variable, so the expression tree holds it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fold(segments: Column) -> Column:
     """Path segments with . dropped and .. applied; a .. with nothing to take back stays."""
-    n = F.size(segments)
-    ended = F.when(F.element_at(segments, -1) == ".", F.concat(F.slice(segments, 1, n - 1), F.array(F.lit("")))).otherwise(segments)
-    kept = F.filter(ended, lambda s: s != ".")
 
     def step(acc: Column, s: Column) -> Column:
-        top = F.element_at(acc, -1)
-        take = (s == "..") & (F.size(acc) > 0) & ~F.coalesce(top, F.lit("")).isin("", "..")
+        take = (s == "..") & (F.size(acc) > 0) & ~F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")).isin("", "..")
         return F.when(take, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(s)))
 
-    # a last .. leaves the folder it goes up to
-    open_ = F.when((F.element_at(kept, -1) == "..") & (F.size(kept) > 1), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.aggregate(open_, F.array().cast("array<string>"), step)
+    # a last . or .. leaves the folder it stands for
+    last = F.element_at(segments, -1)
+    open_ = F.when((last == ".") | ((last == "..") & (F.size(segments) > 1)), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+    return F.aggregate(F.filter(open_, lambda s: s != "."), F.array().cast("array<string>"), step)
+
+
+def _split(url: Column) -> Column:
+    """struct of scheme (lower case), whether a host is marked, host, path and query."""
+    parts = [F.lower(F.regexp_extract(url, _SCHEME, 1)), url.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"), *(F.regexp_extract(url, _PARTS, k) for k in (2, 3, 4))]
+    return F.struct(url.alias("url"), *(c.alias(n) for c, n in zip(parts, ("scheme", "marked", "host", "path", "query"))))
+
+
+def _joined(ref: Column, base: Column) -> Column:
+    site = F.concat(base["scheme"], F.lit("://"), base["host"])
+    whole = let(F.split(base["path"], "/"), lambda folder: F.concat(F.slice(folder, 1, F.size(folder) - 1), F.split(ref["path"], "/")))
+    rooted = let(F.array_join(let(whole, _fold), "/"), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+    return (
+        F.when(ref["url"] == "", base["url"])
+        .when((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]), ref["url"])
+        .when(ref["marked"], F.concat(base["scheme"], F.lit("://"), ref["host"], ref["path"], ref["query"]))
+        .when(ref["path"] == "", F.concat(site, base["path"], F.when(ref["query"] == "", base["query"]).otherwise(ref["query"])))
+        .when(ref["path"].startswith("/"), F.concat(site, ref["path"], ref["query"]))
+        .otherwise(F.concat(site, rooted, ref["query"]))
+    )
 
 
 def resolve(href: Column, base: Column) -> Column:
     """href against base, cut at the first #. Rooted paths are taken as written; other schemes are left alone."""
-    h = F.trim(href)
-    scheme, base_scheme = F.lower(F.regexp_extract(h, _SCHEME, 1)), F.lower(F.regexp_extract(base, _SCHEME, 1))
-    host, p, q = (F.regexp_extract(h, _PARTS, k) for k in (2, 3, 4))
-    b_host, b_path, b_query = (F.regexp_extract(base, _PARTS, k) for k in (2, 3, 4))
-    site = F.concat(base_scheme, F.lit("://"), b_host)
-    folder = F.split(b_path, "/")
-    joined = F.array_join(_fold(F.concat(F.slice(folder, 1, F.size(folder) - 1), F.split(p, "/"))), "/")
-    rooted = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
-    full = (
-        F.when(h == "", base)
-        .when((scheme != "") & (scheme != base_scheme), h)
-        .when(h.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"), F.concat(base_scheme, F.lit("://"), host, p, q))
-        .when((p == "") & (q == ""), F.concat(site, b_path, b_query))
-        .when(p == "", F.concat(site, b_path, q))
-        .when(p.startswith("/"), F.concat(site, p, q))
-        .otherwise(F.concat(site, rooted, q))
-    )
+    full = let(F.struct(_split(F.trim(href)).alias("r"), _split(base).alias("b")), lambda x: _joined(x["r"], x["b"]))
     return F.substring_index(full, "#", 1)
 
 

@@ -16,8 +16,14 @@ LONG = "word " * 31
 IMAGES = '<img src="/a.png" alt="a"><img src="/b.png" alt=""><img src="http://cdn.example.com/c.png#x">'
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt over the cores; a larger one is left as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
