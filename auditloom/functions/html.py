@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions import built_once
 from auditloom.functions.keywords import keywords
 from auditloom.functions.urls import is_full_url, resolve
 
@@ -72,6 +73,35 @@ def _held(df: DataFrame, prefix: str = "_") -> DataFrame:
     return df.select(*others, F.explode(F.array(F.struct(*work))).alias("_g")).select(*others, "_g.*")
 
 
+@built_once
+def _heads() -> dict[str, Column]:
+    """The first head element of each kind."""
+    named = lambda name: F.filter("_metas", lambda t: F.coalesce(attribute(t, "name") == name, F.lit(False)))
+    linked = lambda rel: F.filter("_rels", lambda t: has_rel(t, rel))
+    return {"_desc": first(named("description")), "_robots": first(named("robots")), "_canon": first(linked("canonical")), "_next": first(linked("next")), "_prev": first(linked("prev"))}
+
+
+@built_once
+def _document(url: str) -> Column:
+    """The parsed struct, from working columns."""
+    page = F.col(url)
+    links = F.transform("_a", lambda t: F.struct(attribute(t, "href").alias("href"), text_of(t).alias("text"), attribute(t, "alt").alias("alt"), F.split(attribute(t, "rel"), r"\s+").alias("rel")))
+    links = F.transform(links, lambda x: F.struct(resolve(F.coalesce(x["href"], F.lit("")), page).alias("url"), F.lit(True).alias("valid"), x["text"].alias("text"), x["alt"].alias("alt"), x["rel"].alias("rel")))
+    sources = F.transform("_src", lambda t: F.struct(F.trim(F.coalesce(F.nullif(attribute(t, "src"), F.lit("")), attribute(t, "href"), F.lit(""))).alias("raw"), attribute(t, "alt").alias("alt")))
+    sources = F.transform(F.filter(sources, lambda x: x["raw"] != ""), lambda x: F.struct(F.when(is_full_url(x["raw"]), x["raw"]).otherwise(resolve(x["raw"], page)).alias("url"), x["alt"].alias("alt")))
+    kw = lambda c: keywords(c)
+    return F.struct(
+        F.col("_has").alias("has_head"), F.when(F.col("_has"), F.col("_title")).alias("title"), F.col("_desc").isNotNull().alias("has_description"), F.col("_desc_text").alias("description"),
+        F.col("_canon").isNotNull().alias("has_canonical"), attribute(F.col("_canon"), "href").alias("canonical"), F.col("_next").isNotNull().alias("has_next"), attribute(F.col("_next"), "href").alias("rel_next"),
+        F.col("_prev").isNotNull().alias("has_prev"), attribute(F.col("_prev"), "href").alias("rel_prev"), attribute(F.col("_robots"), "content").alias("robots"),
+        F.col("_h1_text").alias("h1s"), F.size("_h1").alias("h1_count"), F.col("_n_a").alias("link_count"), F.size("_img").alias("img_count"),
+        F.size(F.filter("_img", lambda t: F.coalesce(attribute(t, "alt"), F.lit("")) == "")).alias("img_no_alt"), F.col("_len").alias("size"),
+        kw(F.col("_title")).alias("title_keywords"), F.when(F.size("_h1") > 0, kw(first(F.col("_h1_text")))).otherwise(F.array().cast("array<string>")).alias("h1_keywords"),
+        F.when(F.col("_desc").isNotNull(), kw(F.coalesce("_desc_text", F.lit("None")))).otherwise(F.array().cast("array<string>")).alias("description_keywords"),
+        F.filter(links, lambda x: (x["url"] != "") & ~x["url"].contains("mailto:")).alias("links"), sources.alias("sources"),
+    )
+
+
 def parse(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """df with the parsed pieces of each document in a struct column ``doc``; documents stay in their rows.
 
@@ -90,24 +120,6 @@ def parse(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         .withColumn("_title", F.when(F.col("_c").rlike(r"(?i)<title\b[^>]*>"), decode(F.regexp_extract("_c", r"(?is)<title\b[^>]*>(.*?)(?:</title>|\z)", 1))).otherwise(F.lit("None")))
     )
     a = _held(a)
-    named = lambda name: F.filter("_metas", lambda t: F.coalesce(attribute(t, "name") == name, F.lit(False)))
-    linked = lambda rel: F.filter("_rels", lambda t: has_rel(t, rel))
-    a = a.withColumn("_desc", first(named("description"))).withColumn("_robots", first(named("robots"))).withColumn("_canon", first(linked("canonical"))).withColumn("_next", first(linked("next"))).withColumn("_prev", first(linked("prev")))
-    page = F.col(url)
+    a = a.withColumns(_heads())
     a = a.withColumn("_h1_text", F.transform("_h1", text_of)).withColumn("_desc_text", attribute(F.col("_desc"), "content"))
-    links = F.transform("_a", lambda t: F.struct(attribute(t, "href").alias("href"), text_of(t).alias("text"), attribute(t, "alt").alias("alt"), F.split(attribute(t, "rel"), r"\s+").alias("rel")))
-    links = F.transform(links, lambda x: F.struct(resolve(F.coalesce(x["href"], F.lit("")), page).alias("url"), F.lit(True).alias("valid"), x["text"].alias("text"), x["alt"].alias("alt"), x["rel"].alias("rel")))
-    sources = F.transform("_src", lambda t: F.struct(F.trim(F.coalesce(F.nullif(attribute(t, "src"), F.lit("")), attribute(t, "href"), F.lit(""))).alias("raw"), attribute(t, "alt").alias("alt")))
-    sources = F.transform(F.filter(sources, lambda x: x["raw"] != ""), lambda x: F.struct(F.when(is_full_url(x["raw"]), x["raw"]).otherwise(resolve(x["raw"], page)).alias("url"), x["alt"].alias("alt")))
-    kw = lambda c: keywords(c)
-    doc = F.struct(
-        F.col("_has").alias("has_head"), F.when(F.col("_has"), F.col("_title")).alias("title"), F.col("_desc").isNotNull().alias("has_description"), F.col("_desc_text").alias("description"),
-        F.col("_canon").isNotNull().alias("has_canonical"), attribute(F.col("_canon"), "href").alias("canonical"), F.col("_next").isNotNull().alias("has_next"), attribute(F.col("_next"), "href").alias("rel_next"),
-        F.col("_prev").isNotNull().alias("has_prev"), attribute(F.col("_prev"), "href").alias("rel_prev"), attribute(F.col("_robots"), "content").alias("robots"),
-        F.col("_h1_text").alias("h1s"), F.size("_h1").alias("h1_count"), F.col("_n_a").alias("link_count"), F.size("_img").alias("img_count"),
-        F.size(F.filter("_img", lambda t: F.coalesce(attribute(t, "alt"), F.lit("")) == "")).alias("img_no_alt"), F.col("_len").alias("size"),
-        kw(F.col("_title")).alias("title_keywords"), F.when(F.size("_h1") > 0, kw(first(F.col("_h1_text")))).otherwise(F.array().cast("array<string>")).alias("h1_keywords"),
-        F.when(F.col("_desc").isNotNull(), kw(F.coalesce("_desc_text", F.lit("None")))).otherwise(F.array().cast("array<string>")).alias("description_keywords"),
-        F.filter(links, lambda x: (x["url"] != "") & ~x["url"].contains("mailto:")).alias("links"), sources.alias("sources"),
-    )
-    return a.withColumn("doc", F.when(F.col("_there"), doc)).select(*df.columns, "doc")
+    return a.withColumn("doc", F.when(F.col("_there"), _document(url))).select(*df.columns, "doc")

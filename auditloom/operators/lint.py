@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions import built_once
 from auditloom.functions.keywords import match_count
 
 LEVELS = {"C": ("critical", 0), "E": ("error", 1), "W": ("warning", 2), "I": ("info", 3)}
@@ -54,10 +55,15 @@ def html_results(d: Column) -> Column:
     return F.when(d["has_head"], F.filter(F.array(*rules), lambda r: r.isNotNull())).otherwise(alone)
 
 
+@built_once
+def _results_of(doc: str) -> Column:
+    return F.when(F.col(doc).isNotNull(), html_results(F.col(doc)))
+
+
 def lint_html(parsed: DataFrame, doc: str = "doc") -> DataFrame:
     """Adds ``lint``. The Generate keeps a filter on the results from computing the parse again."""
     held = parsed.select("*", F.explode(F.array(F.struct(F.col(doc).alias("d")))).alias("_g"))
-    return held.withColumn("lint", F.when(F.col("_g.d").isNotNull(), html_results(F.col("_g.d")))).drop("_g")
+    return held.withColumn("lint", _results_of("_g.d")).drop("_g")
 
 
 def at_level(results: Column, level_no: int) -> Column:

@@ -47,25 +47,25 @@ def sql_escape(c: Column) -> Column:
     return c
 
 
-def sql_lines(rows: DataFrame, run_id: str, section: str, columns: list[str], compat: bool = True) -> DataFrame:
+def sql_lines(rows: DataFrame, run_id: str, section: str, columns: list[str], compat: bool = True, table: str = "audit_report") -> DataFrame:
     """rows with an INSERT statement in ``line``; without compat NULL is the SQL NULL."""
     names = ",".join(f"`{c}`" for c in ["run_id", "report_type", *columns])
     quoted = lambda c: F.concat(F.lit("'"), sql_escape(_value(c, True)), F.lit("'")) if compat else F.when(c.isNull(), "NULL").otherwise(F.concat(F.lit("'"), sql_escape(c.cast("string")), F.lit("'")))
-    return rows.withColumn("line", F.concat(F.lit(f"INSERT INTO `seoreport` ({names}) VALUES ('{run_id}','{title_case(section)}',"), F.concat_ws(",", *[quoted(F.col(c)) for c in columns]), F.lit(");")))
+    return rows.withColumn("line", F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES ('{run_id}','{title_case(section)}',"), F.concat_ws(",", *[quoted(F.col(c)) for c in columns]), F.lit(");")))
 
 
-def sql_table(columns: list[str]) -> str:
+def sql_table(columns: list[str], table: str = "audit_report") -> str:
     """DDL of the dump's table; each column once, in first-seen order."""
     fields = "".join(f"  `{c}` varchar(2048) NOT NULL DEFAULT '',\n" for c in dict.fromkeys(columns) if c not in ("id", "run_id"))
-    return f"DROP TABLE IF EXISTS `seoreport`;\nCREATE TABLE `seoreport` (\n  `id` int(11) unsigned NOT NULL AUTO_INCREMENT,\n  `run_id` varchar(36) NOT NULL DEFAULT '',\n  `report_type` varchar(36) NOT NULL DEFAULT '',\n{fields}  PRIMARY KEY (`id`),\n  KEY `run_id` (`run_id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;\n"
+    return f"DROP TABLE IF EXISTS `{table}`;\nCREATE TABLE `{table}` (\n  `id` int(11) unsigned NOT NULL AUTO_INCREMENT,\n  `run_id` varchar(36) NOT NULL DEFAULT '',\n  `report_type` varchar(36) NOT NULL DEFAULT '',\n{fields}  PRIMARY KEY (`id`),\n  KEY `run_id` (`run_id`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8;\n"
 
 
-def junit(sections: DataFrame, kind: str, run_id: str, now: datetime, elapsed: float, compat: bool = True) -> str:
+def junit(sections: DataFrame, kind: str, run_id: str, now: datetime, elapsed: float, compat: bool = True, suite: str = "audit") -> str:
     """JUnit XML from reports.junit_sections: a testcase per section, one error element with all its addresses."""
     addresses = F.col("addresses") if compat else xml_escape(F.col("addresses"))
     rows = sections.orderBy("section_ord").select("section", "errors", addresses.alias("a")).collect()
     cases = "".join(f'\t<testcase name="{r["section"]}">\n' + (f'\t\t<error type="addresses">{r["a"]}</error>\n' if r["errors"] else "") + "\t</testcase>\n" for r in rows)
-    return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="seoreporter-{kind}" tests="{len(rows)}" timestamp="{now}" time="{elapsed}" errors="{sum(r["errors"] for r in rows)}" failures="" id="{run_id}" package="seoreporter" skipped="0">\n{cases}</testsuite>'
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="{suite}-{kind}" tests="{len(rows)}" timestamp="{now}" time="{elapsed}" errors="{sum(r["errors"] for r in rows)}" failures="" id="{run_id}" package="{suite}" skipped="0">\n{cases}</testsuite>'
 
 
 def xls(parts: Iterator[tuple[str, list[str], DataFrame]], run_id: str, compat: bool = True) -> str:

@@ -421,7 +421,7 @@ def s_escape(c: str) -> str:
     return c
 
 
-@query("sql_lines", f"{URLS_SQL} SELECT id, {q('INSERT INTO `seoreport` (`run_id`,`report_type`,`address`,`title_1`) VALUES (' + chr(39) + RUN + chr(39) + ',' + chr(39) + 'All' + chr(39) + ',' + chr(39))} || {s_escape('address')} || {q(chr(39) + ',' + chr(39))} || {s_escape(chr(99) + 'oalesce(title_1, ' + q('None') + ')')} || {q(chr(39) + ');')} AS line FROM urls WHERE {_RUN}")
+@query("sql_lines", f"{URLS_SQL} SELECT id, {q('INSERT INTO `audit_report` (`run_id`,`report_type`,`address`,`title_1`) VALUES (' + chr(39) + RUN + chr(39) + ',' + chr(39) + 'All' + chr(39) + ',' + chr(39))} || {s_escape('address')} || {q(chr(39) + ',' + chr(39))} || {s_escape(chr(99) + 'oalesce(title_1, ' + q('None') + ')')} || {q(chr(39) + ');')} AS line FROM urls WHERE {_RUN}")
 def sql_lines(spark, sf_dir):
     return render.sql_lines(reports.all_report(crawled(spark, sf_dir), RUN), RUN, "all", ["address", "title_1"]).select("id", "line")
 

@@ -16,14 +16,14 @@ def seed(spark: SparkSession, url: str) -> DataFrame:
     return spark.createDataFrame([(0, url)], "pos long, url string")
 
 
-def yaml_urls(spark: SparkSession, path: str) -> DataFrame:
-    """The list under the key seocrawlerurls; none if it is absent."""
+def yaml_urls(spark: SparkSession, path: str, key: str = "urls") -> DataFrame:
+    """The list under a key; none if it is absent."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("YAML lists need the yaml package") from e
     with open(path, encoding="utf-8") as f:
-        urls = (yaml.safe_load(f) or {}).get("seocrawlerurls") or []
+        urls = (yaml.safe_load(f) or {}).get(key) or []
     return spark.createDataFrame(list(enumerate(urls)), "pos long, url string")
 
 

@@ -91,7 +91,7 @@ def test_paging_and_titles():
 def test_renderers(spark):
     rows = spark.createDataFrame([(1, "http://a/x,y'\"&", None), (2, "https://b/" + "p/" * 40, 404)], "id long, address string, status_code int")
     assert [r.line for r in render.csv_lines(rows, "r", "all", ["address", "status_code"]).orderBy("id").collect()][0] == "r,All,http://a/x,y'\"&,None"
-    assert render.sql_lines(rows, "r", "all", ["address", "status_code"]).orderBy("id").first().line == "INSERT INTO `seoreport` (`run_id`,`report_type`,`address`,`status_code`) VALUES ('r','All','http://a/x,y\\'\\\"&','None');"
+    assert render.sql_lines(rows, "r", "all", ["address", "status_code"]).orderBy("id").first().line == "INSERT INTO `audit_report` (`run_id`,`report_type`,`address`,`status_code`) VALUES ('r','All','http://a/x,y\\'\\\"&','None');"
     assert rows.orderBy("id").select(render.html_file_name(F.col("address")).alias("f")).collect()[1].f == "b__" + "p__" * 20 + ".html"
     s = spark.createDataFrame([(0, "one", 2, "a, b"), (1, "two", 0, "")], "section_ord int, section string, errors long, addresses string")
     out = render.junit(s, "build", "r", datetime(2024, 1, 1), 0.5)
