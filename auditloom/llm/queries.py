@@ -30,7 +30,7 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"), report=True)
+    return remove_repeats(table(spark, sf_dir, "documents"), report=True, passage_words=50)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Substring dedup by line or paragraph hashing.
+"""Substring dedup by line or paragraph hashing, and by windows of words that know no line breaks.
 
 A document's units are its lines (or its paragraphs, parted by blank lines), normalised by case and
 white space. Their digests are grouped over the whole table. Of each digest the occurrence of lowest
@@ -11,6 +11,13 @@ Each task reduces its own occurrences of a digest to their count and minimum, so
 the documents hold costs the shuffle a row a task; occurrences are then compared with their digest's
 minimum in a join whose skewed side adaptive execution may split.
 
+Passages (``passage_words``). A word also goes if it stands in a window of so many words whose copy comes
+earlier, by the same rank, and does not overlap it; so a repeated passage goes from its first word to its
+last, wherever lines break. A window is named by the smallest hash of the ``SHINGLE``-word shingles in it (its
+print, the leftmost of equals) and its own hash; the neighbouring windows of one print are a block.
+Prints that occur once are dropped; equal blocks are compared with their earliest, and only the earliest
+of differing blocks of a print are opened into windows. The blocks are computed twice rather than stored.
+
 Cases: null text stays null; units without words are never repeats; repeated rows (equal doc_id and
 text) are one document and get the same result; null doc_ids rank first; an empty table gives no rows;
 extra columns are not read by the report and carried through ``remove_repeats``.
@@ -21,6 +28,7 @@ from __future__ import annotations
 import re
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +38,11 @@ from auditloom.llm.common import ship, stash
 #: What parts units.
 PARTS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
 
+#: Words of the shingles of which a window's least is its print.
+SHINGLE = 20
+#: Odd, so that its powers have inverses modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+
 
 def units_of(text: str, unit: str) -> list[tuple[int, int]]:
     """[start, end) of each unit, in code points."""
@@ -68,8 +81,100 @@ def repeated_units(docs: DataFrame, unit: str = "line", id_col: str = "doc_id",
     return every.join(first, F.col("digest") == F.col("_digest")).where(~rank.eqNullSafe(F.col("first"))).select("_id", "_key", "unit")
 
 
-def cut(text: str, gone: list[int], unit: str, least_words: int) -> tuple[str, list[list[int]]]:
-    """text without long enough runs of its repeated units, and what was removed."""
+def rolled(x: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k neighbouring elements."""
+    n = np.arange(len(x) + 1)
+    with np.errstate(over="ignore"):
+        power, back = (np.cumprod(np.where(n == 0, np.uint64(1), np.uint64(b))) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1])])
+        h = (sums[k:] - sums[:-k]) * back[: len(x) - k + 1]
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ h >> np.uint64(33)) * np.uint64(m)
+    return h ^ h >> np.uint64(33)
+
+
+def blocks_of(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prints of the blocks of text, each block's first window, and the hashes of all windows of size words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if len(words) < size:
+        none = np.empty(0, np.uint64)
+        return none, np.empty(0, np.int64), none
+    x = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+    short = min(SHINGLE, size)
+    shingles = rolled(x, short)
+    near = np.lib.stride_tricks.sliding_window_view(shingles, size - short + 1).argmin(1)
+    at = near + np.arange(len(near))
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    return shingles[at[starts]], starts, rolled(x, size)
+
+
+def repeated_passages(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _key, a, z): word numbers [a, z) that windows with an earlier copy cover."""
+    ship(docs.sparkSession)
+
+    def blocks(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                ids, keys, prints, names, starts, ends, windows, at = [], [], [], [], [], [], [], 0
+                for d, k, t in zip(b.column(0)[i : i + 256].to_pylist(), b.column(1)[i : i + 256].to_pylist(), b.column(2)[i : i + 256]):
+                    fp, first, w = blocks_of(t.as_py() or "", size)
+                    if not len(fp):
+                        continue
+                    last = np.append(first[1:], len(w))
+                    raw = w.tobytes()
+                    ids += [d] * len(fp)
+                    keys += [k] * len(fp)
+                    prints.append(fp)
+                    names.append(np.array([xxh64_intdigest(raw[8 * s : 8 * e]) for s, e in zip(first.tolist(), last.tolist())], np.uint64))
+                    starts.append(first)
+                    ends.append(last + at)
+                    windows.append((w >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    at += len(w)
+                if not ids:
+                    continue
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *ends]), pa.int32()), pa.array(np.concatenate(windows)))
+                held = [pa.array(np.concatenate(v).view(np.int64)) for v in (prints, names)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *held, pa.array(np.concatenate(starts), pa.int32()), lists], ["_id", "_key", "fp", "block", "s", "w"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    every = plain.mapInArrow(blocks, "_id long, _key long, fp long, block long, s int, w array<int>")
+    often = every.groupBy("fp").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("many")).where("n > 1").select(F.col("fp").alias("_fp"), "many")
+    often = stash(often, "frequent-prints")
+    # windows of prints with one block only are never opened
+    held = every.join(often, F.col("fp") == F.col("_fp")).select("_id", "_key", "fp", "block", "s", F.size("w").alias("n"), F.when(F.col("many"), F.col("w")).alias("w"))
+    held = stash(held, "blocks")
+    same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_key") == F.col("first._key"))
+    later = ~same | (F.col("s") >= F.col("first.s") + size)
+    rank = F.struct("_id", "_key", "s")
+    least = stash(held.groupBy("fp", "block").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("_fp"), F.col("block").alias("_block"), "first"), "earliest-blocks")
+    known = held.join(least, (F.col("fp") == F.col("_fp")) & (F.col("block") == F.col("_block")), "left").select("_id", "_key", "fp", "s", "n", "w", (F.col("first").isNotNull() & later).alias("gone"))
+    known = stash(known, "known-blocks")
+    whole = known.where("gone").select("_id", "_key", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + size).alias("z"))
+    opened = known.where(~F.col("gone") & F.col("w").isNotNull()).select("_id", "_key", "fp", F.col("s").alias("_s"), F.posexplode("w").alias("o", "w"))
+    opened = stash(opened.select("_id", "_key", "fp", "w", (F.col("_s") + F.col("o")).alias("s")), "passage-windows")
+    least = stash(opened.groupBy("fp", "w").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("_fp"), F.col("w").alias("_w"), "first"), "earliest-windows")
+    single = opened.join(least, (F.col("fp") == F.col("_fp")) & (F.col("w") == F.col("_w"))).where(later).select("_id", "_key", F.col("s").alias("a"), (F.col("s") + size).alias("z"))
+    return whole.unionByName(single)
+
+
+def passages_in(text: str, ranges: list) -> list[list[int]]:
+    """[start, end) in code points of the joined ranges of words."""
+    joined: list[list[int]] = []
+    for a, z in sorted((r["a"], r["z"]) for r in ranges):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(z, joined[-1][1])
+        else:
+            joined.append([a, z])
+    places = [m.span() for m in re.finditer(r"\S+", text)]
+    return [[places[a][0], places[z - 1][1]] for a, z in joined]
+
+
+def cut(text: str, gone: list[int], unit: str, least_words: int, passages: list[list[int]] = ()) -> tuple[str, list[list[int]]]:
+    """text without long enough runs of its repeated units and without its passages, and what was removed."""
     places, repeated, spans = units_of(text, unit), set(gone), []
     run: list[int] = []
     words = 0
@@ -88,19 +193,66 @@ def cut(text: str, gone: list[int], unit: str, least_words: int) -> tuple[str, l
         elif text[a:z].strip():
             close()
     close()
+    whole = {tuple(s) for s in spans}
+    partly: dict[int, list[list[int]]] = {}
+    at = 0
+    for n, (a, z) in enumerate(places):
+        if (a, z) in whole:
+            continue
+        while at < len(passages) and passages[at][1] <= a:
+            at += 1
+        inside = []
+        for p in passages[at:]:
+            if p[0] >= z:
+                break
+            inside.append([max(a, p[0]), min(z, p[1])])
+        if not inside:
+            continue
+        left = []
+        for s, e in inside:
+            # the blanks after a passage go with it, at the end of a unit those before it
+            e += len(text[e:z]) - len(text[e:z].lstrip())
+            if e == z:
+                s = a + len(text[a:s].rstrip())
+            if s < e:
+                left.append([s, e])
+        kept = text[a : left[0][0]] + "".join(text[x[1] : y[0]] for x, y in zip(left, left[1:])) + text[left[-1][1] : z] if left else text[a:z]
+        if kept.strip():
+            partly[n] = left
+        elif text[a:z].strip():
+            whole.add((a, z))
+            left = [[a, z]]
+        else:
+            left = []  # a blank unit inside a passage stays
+        spans.extend(left)
     if not spans:
         return text, spans
-    removed = {tuple(s) for s in spans}
-    return ("\n" if unit == "line" else "\n\n").join(text[a:z] for a, z in places if (a, z) not in removed or a == z), spans
+    spans.sort()
+    out = []
+    for n, (a, z) in enumerate(places):
+        if (a, z) in whole and a != z:
+            continue
+        start = a
+        piece = ""
+        for s, e in partly.get(n, ()):
+            piece += text[start:s]
+            start = e
+        out.append(piece + text[start:z])
+    return ("\n" if unit == "line" else "\n\n").join(out), spans
 
 
-def remove_repeats(docs: DataFrame, least_words: int = 30, unit: str = "line", id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_words: int = 30, unit: str = "line", id_col: str = "doc_id", text_col: str = "text", report: bool = False, passage_words: int = 0) -> DataFrame:
     """docs without repeated passages in its text, other columns as they are.
 
+    passage_words: repeated passages of so many words go too, wherever they begin and end in a unit; 0: units only.
+
     report: (doc_id, text, n_removed, removed_chars, spans) instead, spans as [start, end) in code
     points of the original text, the breaks between units left out.
     """
-    found = repeated_units(docs, unit, id_col, text_col).groupBy("_id", "_key").agg(F.collect_set("unit").alias("__s_gone")).withColumnsRenamed({"_id": "__s_id", "_key": "__s_text"})
+    marks = repeated_units(docs, unit, id_col, text_col).select("_id", "_key", "unit", F.lit(None).cast("struct<a:int,z:int>").alias("part"))
+    if passage_words:
+        marks = marks.unionByName(repeated_passages(docs, passage_words, id_col, text_col).select("_id", "_key", F.lit(None).cast("int").alias("unit"), F.struct("a", "z").alias("part")))
+    found = marks.groupBy("_id", "_key").agg(F.struct(F.collect_set("unit").alias("units"), F.collect_set("part").alias("parts")).alias("__s_gone")).withColumnsRenamed({"_id": "__s_id", "_key": "__s_text"})
     rows = docs.withColumn("__s_key", F.xxhash64(text_col))
     both = rows.join(found, rows[id_col].eqNullSafe(found["__s_id"]) & (rows["__s_key"] == found["__s_text"]), "left")
     others = [c for c in docs.columns if c != text_col] if not report else [id_col]
@@ -113,7 +265,10 @@ def remove_repeats(docs: DataFrame, least_words: int = 30, unit: str = "line", i
                 part = b.slice(i, 256)
                 texts, spans = [], []
                 for t, gone in zip(part.column(0), part.column(1)):
-                    new, out = (t.as_py(), []) if not gone.is_valid or not t.is_valid else cut(t.as_py(), gone.as_py(), unit, least_words)
+                    new, out = t.as_py(), []
+                    if gone.is_valid and t.is_valid:
+                        marked = gone.as_py()
+                        new, out = cut(new, marked["units"], unit, least_words, passages_in(new, marked["parts"]) if marked["parts"] else [])
                     texts.append(new)
                     spans.append(out)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), *part.columns[2:]], ["text", "spans", *(f"x{i}" for i in range(len(others)))])
