@@ -1,7 +1,8 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
 Rule. Lines are split at newlines; blank lines are never counted and never removed. Over a document's
-other lines a *window* is ``run`` consecutive lines, or a single line of at least ``long_words`` words.
+other lines a *window* is ``run`` consecutive lines, or a single line of at least ``long_words`` words, or two
+consecutive shorter lines that hold so many words together.
 A line is removed if it stands in a window whose lines (trimmed) also stand, in the same order, in a
 window that comes earlier (by doc_id, then text hash, then position) and does not overlap it. So every
 repeated run of ``run`` lines or more goes wholly, whatever stands around it, and its first copy stays.
@@ -47,7 +48,7 @@ def _windows(docs: DataFrame, run: int, long_words: int) -> DataFrame:
     h = solid.select(
         "_id", "_key",
         F.transform("l", lambda x: F.xxhash64(x["s"])).alias("h"), F.transform("l", lambda x: F.crc32(x["s"])).alias("c"), F.transform("l", lambda x: x["i"] + 0).alias("i"),
-        F.transform("l", lambda x, k: F.when(F.size(F.split(x["s"], SPACES)) >= long_words, k)).alias("long"),
+        F.transform("l", lambda x: F.size(F.split(x["s"], SPACES))).alias("n"),
     )
     out = []
     if run > 1:
@@ -69,9 +70,17 @@ def _windows(docs: DataFrame, run: int, long_words: int) -> DataFrame:
             return F.struct(F.get("h", F.get("w", s)).alias("fp"), F.transform(at, lambda j: F.struct(F.get("h", j).alias("h"), F.get("c", j).alias("c"), F.get("i", j).alias("i"))).alias("l"), F.lit(run).alias("run"))
 
         out.append(spans.select("_id", "_key", F.explode(F.transform("f", carried)).alias("x")))
-    # a long line is a window of its own
-    single = F.filter("long", lambda k: k.isNotNull())
-    alone = F.transform(single, lambda k: F.struct(F.get("h", k).alias("fp"), F.array(F.struct(F.get("h", k).alias("h"), F.get("c", k).alias("c"), F.get("i", k).alias("i"))).alias("l"), F.lit(1).alias("run")))
+    # a long line is a window of its own, and so are two shorter ones that are long together: each its own fingerprint
+    def element(k: Column) -> Column:
+        return F.struct(F.get("h", k).alias("h"), F.get("c", k).alias("c"), F.get("i", k).alias("i"))
+
+    single = F.filter(F.transform("n", lambda n, k: F.when(n >= long_words, k)), lambda k: k.isNotNull())
+    alone = F.transform(single, lambda k: F.struct(F.get("h", k).alias("fp"), F.array(element(k)).alias("l"), F.lit(1).alias("run")))
+    if run > 2:
+        after = lambda k: F.get("n", k + 1)
+        two = F.filter(F.transform("n", lambda n, k: F.when((n < long_words) & (after(k) < long_words) & (n + after(k) >= long_words), k)), lambda k: k.isNotNull())
+        pairs = F.transform(two, lambda k: F.struct(F.xxhash64(F.get("h", k), F.get("h", k + 1)).alias("fp"), F.array(element(k), element(k + 1)).alias("l"), F.lit(2).alias("run")))
+        alone = F.concat(alone, pairs)
     out.append(h.select("_id", "_key", F.explode(alone).alias("x")))
     both = out[0].unionByName(out[1]) if run > 1 else out[0]
     return both.select("_id", "_key", "x.fp", "x.run", F.col("x.l.h").alias("h"), F.col("x.l.c").alias("c"), F.col("x.l.i").alias("i"))

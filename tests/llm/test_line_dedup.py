@@ -65,3 +65,34 @@ def test_empty_table_and_self_overlap(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "\n".join("aaaaaaa"))], "doc_id long, text string")
     assert dedup_lines(df).first().text == "a\na\na"
+
+
+def brute_with_pairs(docs, keys, long_words):
+    """As brute, with windows of two shorter lines that hold long_words words together."""
+    seen, out = {}, {}
+    for d, t in sorted(set(docs), key=lambda x: (x[0] is not None, x[0] or 0, keys[x[1]])):
+        gone = set()
+        solid = [(i, x.strip(" ")) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+        for size in (1, 2, 3):
+            for s in range(len(solid) - size + 1):
+                part = solid[s : s + size]
+                n = [len(x.split()) for _, x in part]
+                if (size == 1 and n[0] < long_words) or (size == 2 and (max(n) >= long_words or sum(n) < long_words)):
+                    continue
+                first = seen.setdefault(tuple(x for _, x in part), (d, t, part[-1][0]))
+                if first[:2] != (d, t) or part[0][0] > first[2]:
+                    gone |= {i for i, _ in part}
+        out[d, t] = sorted(gone)
+    return out
+
+
+def test_two_lines_that_are_long_together_match_brute_force(spark):
+    r = random.Random(9)
+    pool = [" ".join(f"w{k}" for _ in range(n)) for k, n in enumerate((10, 24, 25, 26, 40, 49, 50))] + ["", " "]
+    docs = [(k, "\n".join(r.choice(pool + [f"own {r.random()}"] * 5) for _ in range(r.randint(0, 14)))) for k in range(60)]
+    docs += [(90, f"a\n{pool[4]}\n\n{pool[1]}\nb"), (91, f"c\n{pool[4]}\n{pool[1]}\nd\n{pool[4]}\n{pool[1]}"), (None, None), docs[0], docs[0]]
+    want = brute_with_pairs(docs, signed_hash(spark, [t for _, t in docs]), 50)
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), report=True).collect()
+    by = {d: want[d, t] for d, t in docs}
+    assert len(got) == len(docs) and all(x.removed == by[x.doc_id] for x in got)
+    assert by[91] == [1, 2, 4, 5]
