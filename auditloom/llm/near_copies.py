@@ -1,0 +1,115 @@
+"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands to find the candidates.
+
+A text's set is the XXH64 of its shingles of ``size`` words (A-Z lower-cased, parted by ASCII white
+space; fewer words are one shingle, none are the empty shingle). Two texts are linked if their sets have a Jaccard similarity
+of ``least`` or more; the components of the links are the groups. At the defaults a pair at 0.8 shares
+one of the 24 bands of five minima with probability 0.9999.
+
+A bucket of up to ``small`` texts is compared in all its pairs. In a larger one every text is compared with
+the earliest; those that differ from it form the bucket anew in the next round, until none is left. So of a larger bucket a text
+that is near to later texts only may miss its group, if it shares no smaller bucket with them.
+
+SimHash is not used here: at similarity 0.8 fingerprints differ by up to 13 bits, and within 13 bits a trie
+join is nearly all pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from auditloom.llm.common import ship, stash
+from auditloom.llm.graph import components
+from auditloom.llm.simhash import rows_of
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a whole text."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.unique(np.array([xxh64_intdigest(joined[a:z], 42) for a, z in zip(starts.tolist(), ends[size - 1 :].tolist())], np.uint64))
+
+
+def bands_of(found: np.ndarray, factors: np.ndarray, offsets: np.ndarray, bands: int) -> list[int]:
+    """A hash of each band of minima, as signed longs."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
+    for i in range(0, len(found), 2048):
+        least = np.minimum(least, (found[i : i + 2048, None] * factors + offsets).min(0))
+    return np.array([xxh64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(bands, -1))], np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int = 24, width: int = 5, small: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near copies of a kept document: of each group the first by (doc_id, text hash) stays, columns as they are."""
+    ship(docs.sparkSession)
+    rng = np.random.default_rng(11)
+    factors, offsets = (rng.integers(0, 1 << 64, bands * width, dtype=np.uint64) for _ in range(2))
+    factors |= np.uint64(1)
+
+    def sign(batches):
+        for b in batches:
+            found = [bands_of(shingles(t.as_py(), size), factors, offsets, bands) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["_id", "_key", "bands"])
+
+    def check(batches):
+        for b in batches:
+            sets: dict[int, np.ndarray] = {}
+            near = []
+            for k, r, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if len(sets) > 512:
+                    sets.clear()
+                for name, t in ((k, x), (r, y)):
+                    if name not in sets:
+                        sets[name] = shingles(t.as_py(), size)
+                near.append(jaccard(sets[k], sets[r]) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["src", "dst", "near"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
+    signed = plain.mapInArrow(sign, "_id long, _key long, bands array<bigint>")
+    # equal texts are one class
+    classes = stash(signed.groupBy("_key").agg(F.min(F.struct("_id", "_key")).alias("first"), F.first("bands").alias("bands")), "signed-classes")
+    live = classes.select("_key", F.explode("bands").alias("band"))
+    edges = None
+    while True:
+        counted = live.groupBy("band").agg(F.count("*").alias("n"), F.min("_key").alias("rep")).where("n > 1").select(F.col("band").alias("_band"), "n", "rep")
+        counted = stash(counted, "buckets")
+        live = stash(live.join(counted, F.col("band") == F.col("_band")).select("_key", "band", "n", "rep"), "bucketed")
+        few = live.where(F.col("n") <= small).select("_key", "band")
+        other = few.select(F.col("_key").alias("rep"), F.col("band").alias("_band"))
+        pairs = few.join(other, (F.col("band") == F.col("_band")) & (F.col("_key") > F.col("rep"))).select("_key", "rep")
+        pairs = stash(pairs.unionByName(live.where((F.col("n") > small) & (F.col("_key") != F.col("rep"))).select("_key", "rep")).distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        need = pairs.select(F.explode(F.array("_key", "rep")).alias("_need")).distinct()
+        texts = stash(plain.join(need, F.col("_key") == F.col("_need"), "left_semi").groupBy("_key").agg(F.first("_text").alias("t")), "candidate-texts")
+        one, two = texts.select(F.col("_key").alias("_a"), F.col("t").alias("x")), texts.select(F.col("_key").alias("_b"), F.col("t").alias("y"))
+        laid = pairs.join(one, F.col("_key") == F.col("_a")).join(two, F.col("rep") == F.col("_b")).select("_key", "rep", "x", "y")
+        checked = stash(laid.mapInArrow(check, "src long, dst long, near boolean"), "checked-pairs")
+        good = checked.where("near").select("src", "dst")
+        edges = good if edges is None else edges.unionByName(good)
+        far = checked.where(~F.col("near")).select("src", "dst")
+        big = live.where((F.col("n") > small) & (F.col("_key") != F.col("rep")))
+        live = stash(big.join(far, (F.col("_key") == F.col("src")) & (F.col("rep") == F.col("dst")), "left_semi").select("_key", "band"), "left-over")
+        if live.isEmpty():
+            break
+    if edges is None:
+        kept = classes.select("first")
+    else:
+        linked = components(edges)
+        roots = classes.join(linked, classes["_key"] == linked["node"], "left").select(F.coalesce("root", "_key").alias("root"), "first")
+        kept = roots.groupBy("root").agg(F.min("first").alias("first"))
+    return rows_of(docs, kept.select(F.col("first._id").alias("__k_id"), F.col("first._key").alias("__k_text")), id_col, text_col)

@@ -173,9 +173,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str
 
 def keep_one_each(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near-duplicates of a kept document: one row of each component stays, columns as they are."""
+    kept = near_duplicates(docs, size, budget, id_col, text_col).where("keeper").select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_text")).distinct()
+    return rows_of(docs, kept, id_col, text_col)
+
+
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each (__k_id, __k_text), id and text hash, of kept."""
     from pyspark.sql import Window
 
-    kept = near_duplicates(docs, size, budget, id_col, text_col).where("keeper").select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_text")).distinct()
     kept = stash(kept, "keepers")
     rows = docs.withColumn("__k_key", F.xxhash64(text_col))
     out = rows.join(kept, rows[id_col].eqNullSafe(kept["__k_id"]) & (rows["__k_key"] == kept["__k_text"]), "left_semi")

@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""A corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage works on all that the stage before kept. All but the last return the columns of documents;
 ``n_chars`` follows the text where line dedup shortens it.
@@ -13,9 +13,9 @@ from auditloom.llm.common import stash, table
 from auditloom.llm.decontaminate import clean_documents
 from auditloom.llm.langid import keep_identified
 from auditloom.llm.line_dedup import dedup_lines
+from auditloom.llm.near_copies import keep_one_of_each
 from auditloom.llm.packing import pack
 from auditloom.llm.queries import vocabulary
-from auditloom.llm.simhash import keep_one_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of smallest doc_id."""
-    return keep_one_each(docs)
+    """One document of each group of near duplicates (Jaccard 0.8 on five-word shingles) stays: the one of smallest doc_id."""
+    return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

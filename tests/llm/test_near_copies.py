@@ -1,0 +1,63 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from auditloom.llm.near_copies import keep_one_of_each
+from auditloom.llm.simhash import fingerprint
+
+from .helpers import odd_docs, odd_rows, words
+from .test_line_dedup import signed_hash
+
+
+def sets(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute(rows, hashes):
+    """(doc_id, text) of the first of each component, all pairs compared."""
+    rows = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    held, label = [sets(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j]):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    return [rows[i] for i in sorted(set(label))]
+
+
+def altered(r, text, n):
+    w = text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = "changed" + str(r.random())
+    return " ".join(w)
+
+
+# in groups without chains a star of each bucket finds what all pairs find
+@pytest.mark.parametrize("small, rate", [(32, 25), (2, 100)])
+def test_matches_all_pairs(spark, small, rate):
+    r = random.Random(3)
+    rows = odd_rows(3)
+    for k in range(12):
+        base = words(r, r.randint(60, 400))
+        rows += [(1000 + 20 * k + j, altered(r, base, r.randint(0, len(base.split()) // rate))) for j in range(8)]
+    want = brute(rows, signed_hash(spark, [t for _, t in rows]))
+    docs = odd_docs(spark, rows)
+    got = keep_one_of_each(docs, small=small)
+    assert got.columns == docs.columns
+    order = lambda x: (x[0] is not None, x[0] or 0, str(x[1]))
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=order) == sorted(want, key=order)
+    assert keep_one_of_each(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_stage_joins_near_copies_more_than_four_bits_apart(spark):
+    r = random.Random(8)
+    rows = []
+    while len(rows) < 20:
+        base = words(r, 200)
+        copy = altered(r, base, 3)
+        if (fingerprint(base) ^ fingerprint(copy)).bit_count() > 4 and len(sets(base) & sets(copy)) >= 0.8 * len(sets(base) | sets(copy)):
+            rows += [(len(rows), base), (len(rows) + 1, copy)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, 20, 2))
