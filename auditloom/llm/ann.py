@@ -6,8 +6,11 @@ goes the stored norm of the sum. A query's score for a vector is a sum of table
 codebook; the best of each block of the index are scored again exactly, in double precision, and the
 blocks' winners are merged.
 
-Codebooks are fitted on a sample of at most ``train_rows`` rows, drawn by a hash of the id; every row
-is coded and indexed. Queries are broadcast in passes of at most ``pass_rows`` rows, each against all
+Equal vectors are one row of the index, with the smallest ``k`` + 1 of their ids: copies take one place of a
+shortlist and are told apart, smaller ids first, after the exact scores.
+
+Codebooks are fitted on a sample of at most ``train_rows`` rows, drawn by a hash of the id; every distinct
+vector is coded and indexed. Queries are broadcast in passes of at most ``pass_rows`` rows, each against all
 rows in blocks; index blocks are cut by a row count, so no task holds more than one block.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and those whose length is
@@ -112,9 +115,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, w
             v = matrix(b.column(1), dim)
             codes = np.concatenate([beam_encode(v[i : i + 2048].astype(np.float32), held, beam) for i in range(0, len(v), 2048)]) if len(v) else np.zeros((0, books), np.uint8)
             norm = np.square(decode(codes, held)).sum(1) if len(v) else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), b.column(1)], ["id", "code", "norm", "vec"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), b.column(1)], ["ids", "code", "norm", "vec"])
 
-    index = stash(good.mapInArrow(encode, "id long, code binary, norm float, vec array<double>"), "aq-index")
+    # k other ids are left whichever id asks
+    place = Window.partitionBy("vec").orderBy("id")
+    ids = good.withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    index = stash(ids.select("ids", "vec").mapInArrow(encode, "ids array<bigint>, code binary, norm float, vec array<double>"), "aq-index")
     asked = good.where(F.pmod("id", F.lit(every)) == 0)
     n_queries = asked.count()
     passes = max(1, -(-n_queries // (pass_rows * 3 // 4)))
@@ -151,7 +157,7 @@ def _blocks(batches, rows: int, books: int, dim: int):
     held, n = [], 0
 
     def give():
-        ids = np.concatenate([b.column(0).to_numpy() for b in held])
+        ids = [x for b in held for x in np.split(b.column(0).flatten().to_numpy(), np.cumsum(b.column(0).value_lengths().to_numpy())[:-1])]
         codes = np.frombuffer(b"".join(x.as_py() for b in held for x in b.column(1)), np.uint8).reshape(-1, books)
         norms = np.concatenate([b.column(2).to_numpy() for b in held])
         return ids, codes, norms, np.concatenate([matrix(b.column(3), dim) for b in held])
@@ -168,22 +174,29 @@ def _blocks(batches, rows: int, books: int, dim: int):
 
 
 def _best(q_ids, q, tables, ids, codes, norms, v, k: int, rerank: int) -> pa.RecordBatch:
-    """Each query's k best of a block: look-up scores for all rows, exact scores for the best of those."""
+    """Each query's k best of a block: look-up scores for all rows, exact scores for the best of those. ids: those of each row, sorted."""
+    least, most = np.array([x[0] for x in ids]), np.array([x[-1] for x in ids])
+    # the smallest id besides the smallest
+    second = np.array([x[np.searchsorted(x, x[0], "right")] if x[0] != x[-1] else x[0] for x in ids])
     score = np.zeros((len(ids), len(q)), np.float32)
     for j in range(codes.shape[1]):
         score += tables[j][codes[:, j]]
     if norms is not None:
         score = 2 * score - norms[:, None]
     score = np.ascontiguousarray(score.T)
-    score[q_ids[:, None] == ids[None, :]] = -np.inf
+    score[(q_ids[:, None] == least) & (least == most)] = -np.inf
     width = min(rerank, len(ids))
     short = np.argpartition(-score, width - 1, axis=1)[:, :width]
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
         at = short[i][np.isfinite(score[i, short[i]])]
         exact = v[at] @ q[i] if norms is None else -np.square(v[at] - q[i]).sum(1)
-        own = np.lexsort((ids[at], -exact))[:k]
+        rows = np.lexsort((np.where(least[at] == q_ids[i], second[at], least[at]), -exact))[:k]
+        others = [ids[j][ids[j] != q_ids[i]][:k] for j in at[rows]]
+        named = np.concatenate([*others, np.empty(0, np.int64)]).astype(np.int64)
+        scores = np.repeat(exact[rows], [len(x) for x in others])
+        own = np.lexsort((named, -scores))[:k]
         out_q.append(np.full(len(own), q_ids[i]))
-        out_v.append(ids[at[own]])
-        out_s.append(exact[own])
+        out_v.append(named[own])
+        out_s.append(scores[own])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], ["query_id", "vec_id", "score"])

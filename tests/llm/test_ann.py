@@ -42,3 +42,24 @@ def test_few_and_none(spark):
     got = nearest(frame(spark, [(0, [1.0, 0.0]), (3, [1.0, 1.0]), (7, [2.0, 0.0]), (8, [2.0, 5.0])])).collect()
     assert [(x["rank"], x.vec_id, x.score) for x in sorted(got, key=lambda x: x["rank"])] == [(1, 7, 2.0), (2, 8, 2.0), (3, 3, 1.0)]
     assert nearest(frame(spark, [])).count() == 0
+
+
+def test_thousands_of_copies_take_one_place(spark):
+    r = np.random.default_rng(4)
+    v = r.integers(-8, 9, size=(5000, 8)).astype(np.float32)
+    group = r.permutation(5000)[:3500]
+    v[group] = v[group[0]]
+    got = nearest(frame(spark, [(i, x.tolist()) for i, x in enumerate(v)]), every=250)
+    ids, d = np.arange(5000), v.astype(np.float64)
+    by = {}
+    for x in sorted(got.collect(), key=lambda x: x["rank"]):
+        by.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert sorted(by) == list(range(0, 5000, 250))
+    near_group = 0
+    for i, found in by.items():
+        s = d @ d[i]
+        s[i] = -np.inf
+        top = np.lexsort((ids, -s))[:20]
+        assert found == [(int(j), s[j]) for j in top]
+        near_group += len(set(top.tolist()) & set(group.tolist()))
+    assert near_group >= 20
