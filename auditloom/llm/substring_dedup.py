@@ -16,7 +16,8 @@ earlier, by the same rank, and does not overlap it; so a repeated passage goes f
 last, wherever lines break. A window is named by the smallest hash of the ``SHINGLE``-word shingles in it (its
 print, the leftmost of equals) and its own hash; the neighbouring windows of one print are a block.
 Prints that occur once are dropped; equal blocks are compared with their earliest, and only the earliest
-of differing blocks of a print are opened into windows. The blocks are computed twice rather than stored.
+of differing blocks of a print are opened into windows, from their documents' texts. Words are parted by ASCII white
+space and hashed all at once, by prefix sums over bytes.
 
 Cases: null text stays null; units without words are never repeats; repeated rows (equal doc_id and
 text) are one document and get the same result; null doc_ids rank first; an empty table gives no rows;
@@ -33,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import ship, stash
+from auditloom.llm.common import ship, stash, unstash
+from auditloom.llm.hashing import groups, ranges_hashed, rolled, word_hashes
 
 #: What parts units.
 PARTS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Words of the shingles of which a window's least is its print.
 SHINGLE = 20
-#: Odd, so that its powers have inverses modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
 
 
 def units_of(text: str, unit: str) -> list[tuple[int, int]]:
@@ -81,33 +82,37 @@ def repeated_units(docs: DataFrame, unit: str = "line", id_col: str = "doc_id",
     return every.join(first, F.col("digest") == F.col("_digest")).where(~rank.eqNullSafe(F.col("first"))).select("_id", "_key", "unit")
 
 
-def rolled(x: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k neighbouring elements."""
-    n = np.arange(len(x) + 1)
-    with np.errstate(over="ignore"):
-        power, back = (np.cumprod(np.where(n == 0, np.uint64(1), np.uint64(b))) for b in (BASE, pow(BASE, -1, 1 << 64)))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[:-1])])
-        h = (sums[k:] - sums[:-k]) * back[: len(x) - k + 1]
-        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-            h = (h ^ h >> np.uint64(33)) * np.uint64(m)
-    return h ^ h >> np.uint64(33)
+def least_of(x: np.ndarray, k: int) -> np.ndarray:
+    """The smallest of every k neighbouring elements."""
+    span = 1
+    while span < k:
+        step = min(span, k - span)
+        x = np.minimum(x[:-step], x[step:])
+        span += step
+    return x
 
 
-def blocks_of(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prints of the blocks of text, each block's first window, and the hashes of all windows of size words."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if len(words) < size:
-        none = np.empty(0, np.uint64)
-        return none, np.empty(0, np.int64), none
-    x = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+def blocks_of(texts: list, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block: its text's number, print, name, first window and number of windows."""
+    x, counts = word_hashes(texts)
+    none = np.empty(0, np.int64)
+    if len(x) < size:
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
     short = min(SHINGLE, size)
-    shingles = rolled(x, short)
-    near = np.lib.stride_tricks.sliding_window_view(shingles, size - short + 1).argmin(1)
-    at = near + np.arange(len(near))
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    return shingles[at[starts]], starts, rolled(x, size)
+    text = np.repeat(np.arange(len(texts)), counts)
+    whole = np.flatnonzero(text[: len(x) - size + 1] == text[size - 1 :])  # windows inside one text
+    if not len(whole):
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
+    prints, windows, text = least_of(rolled(x, short), size - short + 1)[whole], rolled(x, size)[whole], text[whole]
+    new = np.ones(len(whole), bool)
+    new[1:] = (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])
+    # a print that stands often in a short stretch: no block is so long that two of its windows lie apart
+    run = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    new |= (np.arange(len(new)) - run) % (size - short + 1) == 0
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(whole))
+    first = (np.cumsum(counts) - counts)[text[begin]]
+    return text[begin], prints[begin], ranges_hashed(windows, begin, end), whole[begin] - first, end - begin
 
 
 def repeated_passages(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,48 +120,43 @@ def repeated_passages(docs: DataFrame, size: int, id_col: str = "doc_id", text_c
     ship(docs.sparkSession)
 
     def blocks(batches):
-        from xxhash import xxh64_intdigest
+        for b in batches:
+            for i, j in groups(b.column(2)):
+                part = b.slice(i, j - i)
+                text, prints, names, first, n = blocks_of(part.column(2).to_pylist(), size)
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(prints.view(np.int64)), pa.array(names.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["_id", "_key", "fp", "block", "s", "n"])
 
+    def windows(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                ids, keys, prints, names, starts, ends, windows, at = [], [], [], [], [], [], [], 0
-                for d, k, t in zip(b.column(0)[i : i + 256].to_pylist(), b.column(1)[i : i + 256].to_pylist(), b.column(2)[i : i + 256]):
-                    fp, first, w = blocks_of(t.as_py() or "", size)
-                    if not len(fp):
-                        continue
-                    last = np.append(first[1:], len(w))
-                    raw = w.tobytes()
-                    ids += [d] * len(fp)
-                    keys += [k] * len(fp)
-                    prints.append(fp)
-                    names.append(np.array([xxh64_intdigest(raw[8 * s : 8 * e]) for s, e in zip(first.tolist(), last.tolist())], np.uint64))
-                    starts.append(first)
-                    ends.append(last + at)
-                    windows.append((w >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    at += len(w)
-                if not ids:
-                    continue
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], *ends]), pa.int32()), pa.array(np.concatenate(windows)))
-                held = [pa.array(np.concatenate(v).view(np.int64)) for v in (prints, names)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *held, pa.array(np.concatenate(starts), pa.int32()), lists], ["_id", "_key", "fp", "block", "s", "w"])
+            for i in range(b.num_rows):
+                x = rolled(word_hashes([b.column(2)[i].as_py()])[0], size)
+                wanted = b.column(3)[i].values
+                fp, s, n = (wanted.field(k).to_numpy() for k in range(3))
+                which = np.repeat(np.arange(len(n)), n)
+                at = s[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
+                for k in range(0, len(which), 1 << 16):
+                    w, m = at[k : k + (1 << 16)], which[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(w)), pa.repeat(b.column(1)[i], len(w)), pa.array(fp[m]), pa.array(x[w].view(np.int64)), pa.array(w.astype(np.int32))], ["_id", "_key", "fp", "w", "s"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("_text"))
-    every = plain.mapInArrow(blocks, "_id long, _key long, fp long, block long, s int, w array<int>")
-    often = every.groupBy("fp").agg(F.count("*").alias("n"), (F.min("block") != F.max("block")).alias("many")).where("n > 1").select(F.col("fp").alias("_fp"), "many")
-    often = stash(often, "frequent-prints")
-    # windows of prints with one block only are never opened
-    held = every.join(often, F.col("fp") == F.col("_fp")).select("_id", "_key", "fp", "block", "s", F.size("w").alias("n"), F.when(F.col("many"), F.col("w")).alias("w"))
-    held = stash(held, "blocks")
+    every = stash(plain.mapInArrow(blocks, "_id long, _key long, fp long, block long, s int, n int"), "blocks")
+    often = every.groupBy("fp").agg(F.count("*").alias("k"), (F.min("block") != F.max("block")).alias("many")).where("k > 1").select(F.col("fp").alias("_fp"), "many")
+    held = stash(every.join(often, F.col("fp") == F.col("_fp")).drop("_fp"), "frequent-blocks")
+    unstash(every)
     same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_key") == F.col("first._key"))
     later = ~same | (F.col("s") >= F.col("first.s") + size)
     rank = F.struct("_id", "_key", "s")
-    least = stash(held.groupBy("fp", "block").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("_fp"), F.col("block").alias("_block"), "first"), "earliest-blocks")
-    known = held.join(least, (F.col("fp") == F.col("_fp")) & (F.col("block") == F.col("_block")), "left").select("_id", "_key", "fp", "s", "n", "w", (F.col("first").isNotNull() & later).alias("gone"))
+    least = held.groupBy("fp", "block").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("_fp"), F.col("block").alias("_block"), "first")
+    known = held.join(least, (F.col("fp") == F.col("_fp")) & (F.col("block") == F.col("_block")), "left").select("_id", "_key", "fp", "s", "n", "many", (F.col("first").isNotNull() & later).alias("gone"))
     known = stash(known, "known-blocks")
+    unstash(held)
     whole = known.where("gone").select("_id", "_key", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + size).alias("z"))
-    opened = known.where(~F.col("gone") & F.col("w").isNotNull()).select("_id", "_key", "fp", F.col("s").alias("_s"), F.posexplode("w").alias("o", "w"))
-    opened = stash(opened.select("_id", "_key", "fp", "w", (F.col("_s") + F.col("o")).alias("s")), "passage-windows")
-    least = stash(opened.groupBy("fp", "w").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("_fp"), F.col("w").alias("_w"), "first"), "earliest-windows")
+    # windows of prints with one block only are never opened
+    wanted = known.where(~F.col("gone") & F.col("many")).groupBy(F.col("_id").alias("_d"), F.col("_key").alias("_k")).agg(F.collect_set(F.struct("fp", "s", "n")).alias("wanted"))
+    texts = plain.join(wanted, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))).select("_id", "_key", "_text", "wanted")
+    opened = stash(texts.mapInArrow(windows, "_id long, _key long, fp long, w long, s int"), "passage-windows")
+    least = opened.groupBy("fp", "w").agg(F.min(rank).alias("first"), F.count("*").alias("k")).where("k > 1").select(F.col("fp").alias("_fp"), F.col("w").alias("_w"), "first")
     single = opened.join(least, (F.col("fp") == F.col("_fp")) & (F.col("w") == F.col("_w"))).where(later).select("_id", "_key", F.col("s").alias("a"), (F.col("s") + size).alias("z"))
     return whole.unionByName(single)
 
@@ -169,7 +169,7 @@ def passages_in(text: str, ranges: list) -> list[list[int]]:
             joined[-1][1] = max(z, joined[-1][1])
         else:
             joined.append([a, z])
-    places = [m.span() for m in re.finditer(r"\S+", text)]
+    places = [m.span() for m in WORD.finditer(text)]
     return [[places[a][0], places[z - 1][1]] for a, z in joined]
 
 
