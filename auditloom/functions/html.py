@@ -1,60 +1,114 @@
 """HTML as column expressions: one cleaned text, start tags by name, attributes, element texts.
 
 Comments and the insides of script and style are blanked first, so their text is never taken for
-markup. Expressions stay in the JVM; ``parse`` stages them in projections so that each is computed once.
+markup. Expressions stay in the JVM; ``parse`` stages them in projections so that each is computed once, and builds
+only what the wanted fields read.
+
+No pattern recurses or starts over as a page grows: repeated groups are possessive, which the regex engine loops over, and a
+tag that never ends takes the rest of the page with it. So a hostile page costs its length, not a stack.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import built_once
 from auditloom.functions.keywords import keywords
-from auditloom.functions.urls import is_full_url, resolve
+from auditloom.functions.urls import is_full_url, is_joinable, resolve
 
-COMMENT = r"(?s)<!--.*?-->"
-RAW = {"script": r"(?is)(<script\b[^>]*>).*?(</script>)", "style": r"(?is)(<style\b[^>]*>).*?(</style>)"}
+#: Comments, scripts and styles in one pass, so that the first to begin counts; what never ends goes on to the page's end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*+>).*?(?:(</\2\s*+>)|\z)"
 HEAD_TAG = r"(?i)<head[\s>]"
 #: Head elements that open a document without a head tag: a lenient parser supplies the head.
-LEADING = r"(?is)^\s*(?:<!doctype[^>]*>)?\s*(?:<html[^>]*>)?\s*<(?:title|meta|link|base|style|script)\b"
-# Entities decoded in texts and attributes, the ampersand last.
-ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;?", " "), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&"))
+LEADING = r"(?is)^\s*+(?:<!doctype[^>]*+>)?\s*+(?:<html[^>]*+>)?\s*+<(?:title|meta|link|base|style|script)\b"
+HEAD_END = r"(?is)(?:</head>|<body\b).*\z"
+#: What stands between a tag's name and its end. A quote opens a value only behind an equals sign.
+INSIDE = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+"
+#: Any tag; a < that begins none is text.
+ANY_TAG = rf"(?s)<[A-Za-z]{INSIDE}>|</?[A-Za-z!?][^>]*+>?"
+#: What follows a reference's ampersand, and the names that need no semicolon, the longest first.
+ENTITY = r"^(?:#[0-9]++|#[xX][0-9A-Fa-f]++|[A-Za-z][A-Za-z0-9]*+);?"
+OLD_NAMES = "^(?:" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=len, reverse=True)) + ")"
+# The characters that the numeric references 128 to 159 stand for, in order; a blank keeps the number's own.
+CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
 
 
 def tag_pattern(name: str) -> str:
-    return rf"(?is)<{name}\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"
+    """Group 1 is a closed tag. A tag without an end matches to the page's end, one with an open quote to its first >."""
+    return rf"(?is)(<(?:{name})\b{INSIDE}>)|<(?:{name})\b{INSIDE}\z|<(?:{name})\b[^>]*+>?"
+
+
+def element_pattern(name: str, until: str) -> str:
+    """Group 1 is a closed start tag, group 2 what follows it up to one of until or the end."""
+    return rf"(?is)(<(?:{name})\b{INSIDE}>)(.*?)(?=<(?:{until})\b|</(?:{name})\s*+>|\z)|<(?:{name})\b{INSIDE}\z|<(?:{name})\b[^>]*+>?"
 
 
 def attribute_pattern(name: str) -> str:
-    return rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    """Attributes are walked from the tag's name on, so a value that holds another attribute's text is no attribute."""
+    value = r"(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
+    return rf"(?is)^<[a-z0-9]++(?:[\s/]++(?!{name}(?:[\s=>/]))[^\s/=>]++{value}|=[^\s>]*+)*+[\s/]++{name}(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+(?=[\s/>=])"
+
+
+@built_once
+def _named() -> Column:
+    """Names of characters to the characters, from the standard table; a name without its semicolon is its own key."""
+    import json
+
+    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+
+def _character(name: Column) -> Column:
+    """What a reference stands for, by its name without & and ;, or NULL."""
+    digits = F.substring(name, 2, 12)
+    number = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 9), 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    old = F.substring(F.lit(CP1252), (number - 127).cast("int"), F.lit(1))
+    number = F.when(number.isNull() | (number <= 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF) | (F.length(digits) > 11), 0xFFFD).otherwise(number)
+    made = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(number.between(128, 159) & (old != " "), old).otherwise(made)
 
 
 def decode(c: Column) -> Column:
-    for pattern, to in ENTITIES:
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    """Character references as a browser reads them: named by the standard table, decimal and hexadecimal; unknown ones stay."""
+
+    def piece(p: Column, k: Column) -> Column:
+        whole, start = F.regexp_extract(p, ENTITY, 0), F.regexp_extract(p, OLD_NAMES, 0)
+        after = lambda name: F.substr(p, F.length(name) + 1)
+        return (
+            F.when(k == 0, p)
+            .when(whole.startswith("#"), F.concat(_character(F.rtrim(whole, F.lit(";"))), after(whole)))
+            .when(F.try_element_at(_named(), whole).isNotNull(), F.concat(F.try_element_at(_named(), whole), after(whole)))
+            .when(start != "", F.concat(F.try_element_at(_named(), start), after(start)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
 
 
 def clean(html: Column) -> Column:
-    c = F.regexp_replace(html, COMMENT, "")
-    for pattern in RAW.values():
-        c = F.regexp_replace(c, pattern, "$1$2")
-    return c
+    return F.regexp_replace(html, HIDDEN, "$1$3")
 
 
 def tags(c: Column, name: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(tag_pattern(name)), 0)
+    return F.filter(F.regexp_extract_all(c, F.lit(tag_pattern(name)), 1), lambda t: t != "")
+
+
+def elements(c: Column, name: str, until: str) -> Column:
+    """(tag, inner) of each element."""
+    p = F.lit(element_pattern(name, until))
+    return F.filter(F.arrays_zip(F.regexp_extract_all(c, p, 1).alias("tag"), F.regexp_extract_all(c, p, 2).alias("inner")), lambda x: x["tag"] != "")
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """The decoded value; NULL if the attribute is absent."""
+    """The decoded value, '' for an attribute without one; NULL if the attribute is absent."""
     p = attribute_pattern(name)
     return F.when(tag.rlike(p), decode(F.concat(*(F.regexp_extract(tag, p, k) for k in (1, 2, 3)))))
 
 
 def text_of(inner: Column) -> Column:
-    return decode(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))
+    return decode(F.regexp_replace(inner, ANY_TAG, ""))
 
 
 def first(array: Column) -> Column:
@@ -66,60 +120,114 @@ def has_rel(tag: Column, rel: str) -> Column:
     return F.coalesce(F.array_contains(F.split(attribute(tag, "rel"), r"\s+"), rel), F.lit(False))
 
 
-def _held(df: DataFrame, prefix: str = "_") -> DataFrame:
+def _held(df: DataFrame) -> DataFrame:
     """df with its working columns passed through a Generate: projections above can't fold in what computes them."""
-    work = [c for c in df.columns if c.startswith(prefix)]
+    work = [c for c in df.columns if c.startswith("_")]
     others = [c for c in df.columns if c not in work]
     return df.select(*others, F.explode(F.array(F.struct(*work))).alias("_g")).select(*others, "_g.*")
 
 
 @built_once
-def _heads() -> dict[str, Column]:
-    """The first head element of each kind."""
-    named = lambda name: F.filter("_metas", lambda t: F.coalesce(attribute(t, "name") == name, F.lit(False)))
-    linked = lambda rel: F.filter("_rels", lambda t: has_rel(t, rel))
-    return {"_desc": first(named("description")), "_robots": first(named("robots")), "_canon": first(linked("canonical")), "_next": first(linked("next")), "_prev": first(linked("prev"))}
+def _links(url: str) -> Column:
+    page = F.col(url)
+    links = F.transform("_a", lambda x: F.struct(F.trim(F.coalesce(attribute(x["tag"], "href"), F.lit(""))).alias("href"), text_of(x["inner"]).alias("text"), attribute(x["tag"], "alt").alias("alt"), F.split(attribute(x["tag"], "rel"), r"\s+").alias("rel")))
+    whole = lambda x: is_joinable(x["href"])
+    links = F.transform(links, lambda x: F.struct(F.when(whole(x), resolve(x["href"], page)).otherwise(x["href"]).alias("url"), whole(x).alias("valid"), x["text"].alias("text"), x["alt"].alias("alt"), x["rel"].alias("rel")))
+    return F.filter(links, lambda x: (x["url"] != "") & ~x["url"].contains("mailto:"))
 
 
 @built_once
-def _document(url: str) -> Column:
-    """The parsed struct, from working columns."""
-    page = F.col(url)
-    links = F.transform("_a", lambda t: F.struct(attribute(t, "href").alias("href"), text_of(t).alias("text"), attribute(t, "alt").alias("alt"), F.split(attribute(t, "rel"), r"\s+").alias("rel")))
-    links = F.transform(links, lambda x: F.struct(resolve(F.coalesce(x["href"], F.lit("")), page).alias("url"), F.lit(True).alias("valid"), x["text"].alias("text"), x["alt"].alias("alt"), x["rel"].alias("rel")))
+def _sources(url: str) -> Column:
     sources = F.transform("_src", lambda t: F.struct(F.trim(F.coalesce(F.nullif(attribute(t, "src"), F.lit("")), attribute(t, "href"), F.lit(""))).alias("raw"), attribute(t, "alt").alias("alt")))
-    sources = F.transform(F.filter(sources, lambda x: x["raw"] != ""), lambda x: F.struct(F.when(is_full_url(x["raw"]), x["raw"]).otherwise(resolve(x["raw"], page)).alias("url"), x["alt"].alias("alt")))
-    kw = lambda c: keywords(c)
-    return F.struct(
-        F.col("_has").alias("has_head"), F.when(F.col("_has"), F.col("_title")).alias("title"), F.col("_desc").isNotNull().alias("has_description"), F.col("_desc_text").alias("description"),
-        F.col("_canon").isNotNull().alias("has_canonical"), attribute(F.col("_canon"), "href").alias("canonical"), F.col("_next").isNotNull().alias("has_next"), attribute(F.col("_next"), "href").alias("rel_next"),
-        F.col("_prev").isNotNull().alias("has_prev"), attribute(F.col("_prev"), "href").alias("rel_prev"), attribute(F.col("_robots"), "content").alias("robots"),
-        F.col("_h1_text").alias("h1s"), F.size("_h1").alias("h1_count"), F.col("_n_a").alias("link_count"), F.size("_img").alias("img_count"),
-        F.size(F.filter("_img", lambda t: F.coalesce(attribute(t, "alt"), F.lit("")) == "")).alias("img_no_alt"), F.col("_len").alias("size"),
-        kw(F.col("_title")).alias("title_keywords"), F.when(F.size("_h1") > 0, kw(first(F.col("_h1_text")))).otherwise(F.array().cast("array<string>")).alias("h1_keywords"),
-        F.when(F.col("_desc").isNotNull(), kw(F.coalesce("_desc_text", F.lit("None")))).otherwise(F.array().cast("array<string>")).alias("description_keywords"),
-        F.filter(links, lambda x: (x["url"] != "") & ~x["url"].contains("mailto:")).alias("links"), sources.alias("sources"),
-    )
-
-
-def parse(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    usable = F.filter(sources, lambda x: (x["raw"] != "") & is_joinable(x["raw"]))
+    return F.transform(usable, lambda x: F.struct(F.when(is_full_url(x["raw"]), x["raw"]).otherwise(resolve(x["raw"], F.col(url))).alias("url"), x["alt"].alias("alt")))
+
+
+def _pieces(url: str) -> dict[str, tuple[tuple[str, ...], object]]:
+    """Columns by name, in an order in which each reads only earlier ones: name -> (columns it reads, what builds it).
+
+    Names with one underscore are worked out first, those with two from held ones, others are fields of the document.
+    """
+    named = lambda name: first(F.filter("_metas", lambda t: F.coalesce(attribute(t, "name") == name, F.lit(False))))
+    linked = lambda rel: first(F.filter("_rels", lambda t: has_rel(t, rel)))
+    none = lambda: F.array().cast("array<string>")
+    cut = lambda: F.regexp_replace("_c", HEAD_END, "")
+    return {
+        "_has": ((), lambda: F.col("_c").rlike(HEAD_TAG) | F.col("_c").rlike(LEADING)),
+        "_metas": ((), lambda: F.when(F.col("_c").rlike(HEAD_TAG) | F.col("_c").rlike(LEADING), tags(cut(), "meta"))),
+        "_rels": ((), lambda: F.when(F.col("_c").rlike(HEAD_TAG) | F.col("_c").rlike(LEADING), tags(cut(), "link"))),
+        "_h1": ((), lambda: F.transform(elements(F.col("_c"), "h1", "h1"), lambda x: x["inner"])),
+        "_a": ((), lambda: elements(F.col("_c"), "a", "a")),
+        "_img": ((), lambda: tags(F.col("_c"), "img")),
+        "_src": ((), lambda: tags(F.col("_c"), "img|link|script|style|meta")),
+        "_title": ((), lambda: F.when(F.col("_c").rlike(r"(?i)<title\b[^>]*+>"), decode(F.regexp_extract("_c", r"(?is)<title\b[^>]*+>(.*?)(?:</title>|\z)", 1))).otherwise(F.lit("None"))),
+        "__desc": (("_metas",), lambda: named("description")),
+        "__robots": (("_metas",), lambda: named("robots")),
+        "__canon": (("_rels",), lambda: linked("canonical")),
+        "__next": (("_rels",), lambda: linked("next")),
+        "__prev": (("_rels",), lambda: linked("prev")),
+        "__h1s": (("_h1",), lambda: F.transform("_h1", text_of)),
+        "has_head": (("_has",), lambda: F.col("_has")),
+        "title": (("_has", "_title"), lambda: F.when(F.col("_has"), F.col("_title"))),
+        "has_description": (("__desc",), lambda: F.col("__desc").isNotNull()),
+        "description": (("__desc",), lambda: attribute(F.col("__desc"), "content")),
+        "has_canonical": (("__canon",), lambda: F.col("__canon").isNotNull()),
+        "canonical": (("__canon",), lambda: attribute(F.col("__canon"), "href")),
+        "has_next": (("__next",), lambda: F.col("__next").isNotNull()),
+        "rel_next": (("__next",), lambda: attribute(F.col("__next"), "href")),
+        "has_prev": (("__prev",), lambda: F.col("__prev").isNotNull()),
+        "rel_prev": (("__prev",), lambda: attribute(F.col("__prev"), "href")),
+        "robots": (("__robots",), lambda: attribute(F.col("__robots"), "content")),
+        "h1s": (("__h1s",), lambda: F.col("__h1s")),
+        "h1_count": (("_h1",), lambda: F.size("_h1")),
+        "link_count": (("_a",), lambda: F.size("_a")),
+        "img_count": (("_img",), lambda: F.size("_img")),
+        "img_no_alt": (("_img",), lambda: F.size(F.filter("_img", lambda t: F.coalesce(attribute(t, "alt"), F.lit("")) == ""))),
+        "size": (("_len",), lambda: F.col("_len")),
+        "title_keywords": (("_title",), lambda: keywords(F.col("_title"))),
+        "h1_keywords": (("__h1s",), lambda: F.when(F.size("__h1s") > 0, keywords(first(F.col("__h1s")))).otherwise(none())),
+        "description_keywords": (("__desc",), lambda: F.when(F.col("__desc").isNotNull(), keywords(F.coalesce(attribute(F.col("__desc"), "content"), F.lit("None")))).otherwise(none())),
+        "links": (("_a",), lambda: _links(url)),
+        "sources": (("_src",), lambda: _sources(url)),
+    }
+
+
+#: The fields of a parsed document.
+FIELDS = tuple(n for n in _pieces("url") if not n.startswith("_"))
+
+
+@built_once
+def _built(url: str, name: str) -> Column:
+    return _pieces(url)[name][1]().alias(name)
+
+
+def parse(df: DataFrame, html: str = "html", url: str = "url", parts: tuple[str, ...] = FIELDS) -> DataFrame:
     """df with the parsed pieces of each document in a struct column ``doc``; documents stay in their rows.
 
-    Cases: a NULL document has a NULL doc; a document without head has has_head false and NULL fields.
+    parts: the fields wanted; the plan holds no pattern that only others need.
+    Cases: a NULL document has a NULL doc; a document without head has has_head false and NULL fields. Columns of df whose
+    names begin with an underscore are kept; those of the working columns must not be among them.
     """
-    body = F.coalesce(F.col(html), F.lit(""))
-    a = _held(df.withColumn("_c", clean(body)).withColumn("_len", F.length(body)).withColumn("_there", F.col(html).isNotNull()), "_")
-    cut = F.regexp_replace(F.col("_c"), r"(?is)(?:</head>|<body\b).*\z", "")
-    a = a.withColumn("_has", F.col("_c").rlike(HEAD_TAG) | F.col("_c").rlike(LEADING)).withColumn("_head", F.when(F.col("_has"), cut))
-    a = (
-        a.withColumn("_metas", tags(F.col("_head"), "meta")).withColumn("_rels", tags(F.col("_head"), "link"))
-        .withColumn("_h1", F.regexp_extract_all("_c", F.lit(r"(?is)<h1\b[^>]*>(.*?)(?:</h1>|\z)"), 1))
-        .withColumn("_a", F.regexp_extract_all("_c", F.lit(r"(?is)<a\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>.*?(?:</a>|\z)"), 0))
-        .withColumn("_n_a", F.size(tags(F.col("_c"), "a"))).withColumn("_img", tags(F.col("_c"), "img"))
-        .withColumn("_src", F.regexp_extract_all("_c", F.lit(r"(?is)<(?:img|link|script|style|meta)\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*>"), 0))
-        .withColumn("_title", F.when(F.col("_c").rlike(r"(?i)<title\b[^>]*>"), decode(F.regexp_extract("_c", r"(?is)<title\b[^>]*>(.*?)(?:</title>|\z)", 1))).otherwise(F.lit("None")))
-    )
-    a = _held(a)
-    a = a.withColumns(_heads())
-    a = a.withColumn("_h1_text", F.transform("_h1", text_of)).withColumn("_desc_text", attribute(F.col("_desc"), "content"))
-    return a.withColumn("doc", F.when(F.col("_there"), _document(url))).select(*df.columns, "doc")
+    pieces = _pieces(url)
+    parts = tuple(n for n in FIELDS if n in parts)
+    wanted: set[str] = set(parts)
+    for n in reversed(pieces):
+        if n in wanted:
+            wanted |= set(pieces[n][0])
+    own = [c for c in df.columns if c.startswith("_")]
+    a = df.withColumnsRenamed({c: f"kept{c}" for c in own})
+    source = html if html not in own else f"kept{html}"
+    body = F.coalesce(F.col(source), F.lit(""))
+    work = {"_there": F.col(source).isNotNull()} | ({"_len": F.length(body)} if "_len" in wanted else {})
+    early, late = ([n for n in pieces if n in wanted and n.startswith("_") and n.startswith("__") == two] for two in (False, True))
+    a = a.withColumns(work)
+    if early:
+        a = _held(a.withColumn("_c", clean(body)))
+        a = a.withColumns({n: _built(url, n) for n in early}).drop("_c")
+    if late:
+        a = _held(a).withColumns({n: _built(url, n) for n in late})
+    if early:
+        a = _held(a)
+    doc = F.struct(*[_built(url, n) for n in parts]) if parts else F.struct(F.col("_there").alias("there"))
+    a = a.withColumn("doc", F.when(F.col("_there"), doc))
+    return a.select(*[F.col(f"kept{c}").alias(c) if c in own else F.col(c) for c in df.columns], "doc")

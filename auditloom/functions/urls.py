@@ -33,6 +33,12 @@ def same_site(url: Column, source: Column) -> Column:
     return ~is_full_url(url) | (a == b) | a.endswith(b) | b.endswith(a)
 
 
+def is_joinable(href: Column) -> Column:
+    """Whether a reference can be read as a URL: brackets in its host stand in pairs."""
+    host = F.regexp_extract(F.coalesce(href, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
+    return host.contains("[") == host.contains("]")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda's argument is a variable, so the expression tree holds it once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

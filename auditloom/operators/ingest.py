@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.html import parse
+from auditloom.functions.html import FIELDS, parse
 from auditloom.functions.urls import content_hash, netloc, path
+from auditloom.operators.lint import fields as rule_fields
 from auditloom.operators.lint import level_count, lint_html, results_json
 
 # The 38 columns of a crawled URL, in order.
@@ -23,36 +24,52 @@ def is_html(code: Column, content_type: Column) -> Column:
     return F.coalesce((code == 200) & (content_type == "text/html"), F.lit(False))
 
 
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """Adds ``doc`` and ``lint`` to responses (url, code, content_type, content, ...); NULL for what is no HTML page."""
-    gated = responses.withColumn("_page", F.when(is_html(F.col("code"), F.col("content_type")), F.coalesce("content", F.lit(""))))
-    return lint_html(parse(gated, "_page", "url")).drop("_page")
+#: What of a parsed document the page details read.
+DETAIL_FIELDS = ("has_head", "canonical", "title", "has_description", "description", "h1s", "h1_count", "robots", "rel_next", "rel_prev")
 
 
-def details(d: Column) -> dict[str, Column]:
-    """The stored page details; all NULL without a head. The description's length is stored as 0, as it always was."""
-    has = F.coalesce(d["has_head"], F.lit(False))
-    on = lambda c: F.when(has, c)
+def parse_responses(responses: DataFrame, parts: tuple[str, ...] = FIELDS, lint: bool = True) -> DataFrame:
+    """Adds ``doc`` (and ``lint``) to responses (url, code, content_type, content, ...); NULL for what is no HTML page."""
+    gated = responses.withColumn("page__", F.when(is_html(F.col("code"), F.col("content_type")), F.coalesce("content", F.lit(""))))
+    parsed = parse(gated, "page__", "url", (*parts, *(rule_fields() if lint else ())))
+    return (lint_html(parsed) if lint else parsed).drop("page__")
+
+
+def details(d: Column) -> dict[str, object]:
+    """The stored page details, each as what builds it; all NULL without a head. The description's length is stored as 0, as it always was."""
+    on = lambda name, c: lambda: F.when(F.coalesce(d["has_head"], F.lit(False)), c())
     h1 = lambda k: F.try_element_at(d["h1s"], F.lit(k))
-    return {
-        "canonical": on(d["canonical"]), "title_1": on(d["title"]), "title_length_1": on(F.length(d["title"])), "meta_description_1": on(d["description"]),
-        "meta_description_length_1": on(F.when(d["has_description"], F.lit(0)).otherwise(F.lit(0))), "h1_1": on(h1(1)), "h1_length_1": on(F.coalesce(F.length(h1(1)), F.lit(0))), "h1_2": on(h1(2)),
-        "h1_length_2": on(F.coalesce(F.length(h1(2)), F.lit(0))), "h1_count": on(d["h1_count"]), "meta_robots": on(d["robots"]), "rel_next": on(d["rel_next"]), "rel_prev": on(d["rel_prev"]),
+    values = {
+        "canonical": lambda: d["canonical"], "title_1": lambda: d["title"], "title_length_1": lambda: F.length(d["title"]), "meta_description_1": lambda: d["description"],
+        "meta_description_length_1": lambda: F.lit(0), "h1_1": lambda: h1(1), "h1_length_1": lambda: F.coalesce(F.length(h1(1)), F.lit(0)), "h1_2": lambda: h1(2),
+        "h1_length_2": lambda: F.coalesce(F.length(h1(2)), F.lit(0)), "h1_count": lambda: d["h1_count"], "meta_robots": lambda: d["robots"], "rel_next": lambda: d["rel_next"], "rel_prev": lambda: d["rel_prev"],
     }
+    return {name: on(name, c) for name, c in values.items()}
 
 
-def crawl_urls(parsed: DataFrame) -> DataFrame:
-    """The 38 columns from parsed responses with id, run_id, url, external, code, reason, content, size, encoding, content_type, response_time, timestamp, doc, lint."""
+def crawl_urls(parsed: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The 38 columns, or those named, from parsed responses with id, run_id, url, external, code, reason, content, size, encoding, content_type, response_time, timestamp, doc, lint."""
     u, body, lint = F.col("url"), F.coalesce("content", F.lit("")), F.col("lint")
-    got = details(F.col("doc"))
-    null = F.lit(None)
+    null, counted = lambda: F.lit(None), lambda letter: lambda: level_count(lint, letter)
     values = {
-        "id": F.col("id"), "run_id": F.col("run_id"), "level": F.lit(0), "content_hash": content_hash(body), "address": u, "domain": netloc(u), "path": path(u), "external": F.col("external"),
-        "status_code": F.col("code"), "status": F.col("reason"), "body": body, "size": F.greatest(F.lit(0), F.coalesce(F.col("size").cast("bigint"), F.lit(0))), "address_length": F.length(u),
-        "encoding": F.col("encoding"), "content_type": F.col("content_type"), "response_time": F.col("response_time"), "redirect_uri": null, **got, "title_occurences_1": null, "meta_description_occurrences_1": null,
-        "lint_critical": level_count(lint, "C"), "lint_error": level_count(lint, "E"), "lint_warn": level_count(lint, "W"), "lint_info": level_count(lint, "I"), "lint_results": results_json(lint), "timestamp": F.col("timestamp"),
+        "id": lambda: F.col("id"), "run_id": lambda: F.col("run_id"), "level": lambda: F.lit(0), "content_hash": lambda: content_hash(body), "address": lambda: u, "domain": lambda: netloc(u), "path": lambda: path(u), "external": lambda: F.col("external"),
+        "status_code": lambda: F.col("code"), "status": lambda: F.col("reason"), "body": lambda: body, "size": lambda: F.greatest(F.lit(0), F.coalesce(F.col("size").cast("bigint"), F.lit(0))), "address_length": lambda: F.length(u),
+        "encoding": lambda: F.col("encoding"), "content_type": lambda: F.col("content_type"), "response_time": lambda: F.col("response_time"), "redirect_uri": null, **details(F.col("doc")), "title_occurences_1": null, "meta_description_occurrences_1": null,
+        "lint_critical": counted("C"), "lint_error": counted("E"), "lint_warn": counted("W"), "lint_info": counted("I"), "lint_results": lambda: results_json(lint), "timestamp": lambda: F.col("timestamp"),
     }
-    return parsed.select(*[values[name].cast(kind).alias(name) for name, kind in (c.split(" ") for c in URL_SCHEMA.split(", "))])
+    return parsed.select(*[values[name]().cast(kind).alias(name) for name, kind in (c.split(" ") for c in URL_SCHEMA.split(", ")) if columns is None or name in columns])
+
+
+def build_urls(responses: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of crawl_urls from fetched responses; with columns, pages are parsed and linted for these only."""
+    if columns is None:
+        return crawl_urls(parse_responses(responses, DETAIL_FIELDS))
+    lint = any(c.startswith("lint_") for c in columns)
+    reads = {"title_1": ("title",), "title_length_1": ("title",), "meta_description_1": ("description",), "h1_1": ("h1s",), "h1_length_1": ("h1s",), "h1_2": ("h1s",), "h1_length_2": ("h1s",), "meta_robots": ("robots",)}
+    named = set(details(F.col("doc"))) & set(columns)
+    parts = {p for c in named for p in reads.get(c, (c,))} & set(FIELDS) | ({"has_head"} if named else set())
+    parsed = parse_responses(responses, tuple(parts), lint) if parts or lint else responses
+    return crawl_urls(parsed, columns)
 
 
 def with_occurrences(urls: DataFrame) -> DataFrame:

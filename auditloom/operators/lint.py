@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import built_once
+from auditloom.functions.html import parse
 from auditloom.functions.keywords import match_count
 
 LEVELS = {"C": ("critical", 0), "E": ("error", 1), "W": ("warning", 2), "I": ("info", 3)}
@@ -37,33 +38,65 @@ def _result(rule: str, fires: Column, number: Column | None = None, text: Column
     return F.when(fires, value.cast(RESULT))
 
 
-def html_results(d: Column) -> Column:
-    """All rules that fire on a parsed document, in evaluation order; a document without head has C22 alone."""
-    title, desc = d["title"], F.coalesce(d["description"], F.lit(""))
-    robots = F.coalesce(d["robots"], F.lit(""))
-    h1, described = match_count(d["title_keywords"], d["h1_keywords"]), match_count(d["title_keywords"], d["description_keywords"])
-    tk, hk, dk = d["title_keywords"], d["h1_keywords"], d["description_keywords"]
-    rules = [
-        _result("E02", title == ""), _result("W03", F.length(title) > 58), _result("E05", ~d["has_description"]), _result("W06", d["has_description"] & (F.length(desc) > 150)),
-        _result("E08", ~d["has_canonical"]), _result("E09", d["h1_count"] == 0), _result("I10", ~d["has_next"]), _result("I11", ~d["has_prev"]),
-        _result("W16", d["link_count"] >= 300, d["link_count"]), _result("E17", d["link_count"] >= 1000, d["link_count"]), _result("E18", d["size"] >= 204800, d["size"]),
-        _result("I20", robots.contains("nofollow"), text=robots), _result("I21", robots.contains("noindex"), text=robots), _result("W23", d["h1_count"] >= 1, d["h1_count"]),
-        _result("E12", h1 < 1, h1, left=tk, right=hk), _result("E13", described < 1, described, left=tk, right=dk), _result("W14", h1 < 3, h1, left=tk, right=hk), _result("W15", described < 3, described, left=tk, right=dk),
-        _result("W19", d["img_no_alt"] > 0, d["img_no_alt"]),
-    ]
-    alone = F.array(_result("C22", F.lit(True)))
-    return F.when(d["has_head"], F.filter(F.array(*rules), lambda r: r.isNotNull())).otherwise(alone)
+def _rules(d: Column) -> dict[str, tuple[tuple[str, ...], object]]:
+    """rule -> (the fields it reads, what builds it), in evaluation order; all but C22 are for documents with a head."""
+    def words(fields: str, rule: str, most: int):
+        shared = match_count(d["title_keywords"], d[fields])
+        return _result(rule, shared < most, shared, left=d["title_keywords"], right=d[fields])
+
+    description, robots = lambda: F.coalesce(d["description"], F.lit("")), lambda: F.coalesce(d["robots"], F.lit(""))
+    keyed, described = ("title_keywords", "h1_keywords"), ("title_keywords", "description_keywords")
+    return {
+        "E02": (("title",), lambda: _result("E02", d["title"] == "")),
+        "W03": (("title",), lambda: _result("W03", F.length(d["title"]) > 58)),
+        "E05": (("has_description",), lambda: _result("E05", ~d["has_description"])),
+        "W06": (("has_description", "description"), lambda: _result("W06", d["has_description"] & (F.length(description()) > 150))),
+        "E08": (("has_canonical",), lambda: _result("E08", ~d["has_canonical"])),
+        "E09": (("h1_count",), lambda: _result("E09", d["h1_count"] == 0)),
+        "I10": (("has_next",), lambda: _result("I10", ~d["has_next"])),
+        "I11": (("has_prev",), lambda: _result("I11", ~d["has_prev"])),
+        "W16": (("link_count",), lambda: _result("W16", d["link_count"] >= 300, d["link_count"])),
+        "E17": (("link_count",), lambda: _result("E17", d["link_count"] >= 1000, d["link_count"])),
+        "E18": (("size",), lambda: _result("E18", d["size"] >= 204800, d["size"])),
+        "I20": (("robots",), lambda: _result("I20", robots().contains("nofollow"), text=robots())),
+        "I21": (("robots",), lambda: _result("I21", robots().contains("noindex"), text=robots())),
+        "W23": (("h1_count",), lambda: _result("W23", d["h1_count"] >= 1, d["h1_count"])),
+        "E12": (keyed, lambda: words("h1_keywords", "E12", 1)),
+        "E13": (described, lambda: words("description_keywords", "E13", 1)),
+        "W14": (keyed, lambda: words("h1_keywords", "W14", 3)),
+        "W15": (described, lambda: words("description_keywords", "W15", 3)),
+        "W19": (("img_no_alt",), lambda: _result("W19", d["img_no_alt"] > 0, d["img_no_alt"])),
+    }
+
+
+def fields(rules: tuple[str, ...] = HTML_RULES) -> tuple[str, ...]:
+    """The parsed fields that the rules read."""
+    held = _rules({n: None for n in ("title_keywords", "h1_keywords", "description_keywords")})
+    return ("has_head", *dict.fromkeys(f for r in rules if r in held for f in held[r][0]))
+
+
+def html_results(d: Column, rules: tuple[str, ...] = HTML_RULES) -> Column:
+    """Those of the rules that fire on a parsed document, in evaluation order; a document without head has C22 alone."""
+    none = F.array().cast(f"array<{RESULT}>")
+    fired = [build() for r, (_, build) in _rules(d).items() if r in rules]
+    alone = F.array(_result("C22", F.lit(True))) if "C22" in rules else none
+    return F.when(d["has_head"], F.filter(F.array(*fired), lambda r: r.isNotNull()) if fired else none).otherwise(alone)
 
 
 @built_once
-def _results_of(doc: str) -> Column:
-    return F.when(F.col(doc).isNotNull(), html_results(F.col(doc)))
+def _results_of(doc: str, *rules: str) -> Column:
+    return F.when(F.col(doc).isNotNull(), html_results(F.col(doc), rules))
 
 
-def lint_html(parsed: DataFrame, doc: str = "doc") -> DataFrame:
+def lint_html(parsed: DataFrame, doc: str = "doc", rules: tuple[str, ...] = HTML_RULES) -> DataFrame:
     """Adds ``lint``. The Generate keeps a filter on the results from computing the parse again."""
     held = parsed.select("*", F.explode(F.array(F.struct(F.col(doc).alias("d")))).alias("_g"))
-    return held.withColumn("lint", _results_of("_g.d")).drop("_g")
+    return held.withColumn("lint", _results_of("_g.d", *rules)).drop("_g")
+
+
+def lint_pages(pages: DataFrame, html: str = "html", url: str = "url", rules: tuple[str, ...] = HTML_RULES) -> DataFrame:
+    """pages with ``lint``: of each page only what the rules read is parsed."""
+    return lint_html(parse(pages, html, url, fields(rules)), rules=rules).drop("doc")
 
 
 def at_level(results: Column, level_no: int) -> Column:

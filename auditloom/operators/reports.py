@@ -21,16 +21,28 @@ def _code(prefix: str) -> Column:
     return F.col("status_code").cast("string").like(prefix + "%")
 
 
-#: name -> (predicate of a row, value column reported beside address and timestamp)
-def sections() -> dict[str, tuple[Column, str]]:
-    page = _ci(F.col("content_type")) == "text/html"
+#: name -> (the columns that its predicate reads, the predicate, the value column reported beside address and timestamp)
+def _sections() -> dict[str, tuple[tuple[str, ...], object, str]]:
+    page = lambda c: lambda: (_ci(F.col("content_type")) == "text/html") & F.col(c).isNull()
+    above = lambda c: lambda: F.col(c) > 0
     return {
-        "5xx or 0 status codes": (_code("5") | (F.col("status_code") == 0), "status_code"), "4xx status codes": (_code("4"), "status_code"),
-        "missing canonical": (page & F.col("canonical").isNull(), "content_type"), "missing title": (page & F.col("title_1").isNull(), "content_type"),
-        "missing meta description": (page & F.col("meta_description_1").isNull(), "content_type"), "lint level critical": (F.col("lint_critical") > 0, "lint_critical"), "lint level error": (F.col("lint_error") > 0, "lint_error"),
+        "5xx or 0 status codes": (("status_code",), lambda: _code("5") | (F.col("status_code") == 0), "status_code"), "4xx status codes": (("status_code",), lambda: _code("4"), "status_code"),
+        "missing canonical": (("content_type", "canonical"), page("canonical"), "content_type"), "missing title": (("content_type", "title_1"), page("title_1"), "content_type"),
+        "missing meta description": (("content_type", "meta_description_1"), page("meta_description_1"), "content_type"), "lint level critical": (("lint_critical",), above("lint_critical"), "lint_critical"), "lint level error": (("lint_error",), above("lint_error"), "lint_error"),
     }
 
 
+def sections() -> dict[str, tuple[Column, str]]:
+    """name -> (predicate of a row, value column)."""
+    return {n: (where(), value) for n, (_, where, value) in _sections().items()}
+
+
+def columns(names: tuple[str, ...]) -> tuple[str, ...]:
+    """What these sections read of crawl_urls."""
+    held = _sections()
+    return ("id", "run_id", "address", "external", "timestamp", *dict.fromkeys(c for n in names for c in held[n][0]))
+
+
 BUILD = ("5xx or 0 status codes", "4xx status codes", "missing canonical", "missing title", "missing meta description", "lint level critical", "lint level error")
 STATUS = BUILD[:2]
 

@@ -1,7 +1,7 @@
 """Audit inputs derived from the pages table by arithmetic on page_id, in Spark and in SQL alike.
 
 Raw pages fire a fixed few rules and hold no link graph; the recipe gives them run ids, status codes,
-content types, times with ties, and twelve variants of their markup.
+content types, times with ties, and thirteen variants of their markup.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 TITLE = r"(?s)<title>(.*?)</title>"
 HEAD = r"(?s)<head>.*</head>"
+H1 = r"(?s)<h1>.*?</h1>"
 START = 1704067200  # 2024-01-01
 LONG = "word " * 31
 IMAGES = '<img src="/a.png" alt="a"><img src="/b.png" alt=""><img src="http://cdn.example.com/c.png#x">'
@@ -27,9 +28,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, html) with the markup of page_id % 12."""
+    """(page_id, url, html) with the markup of page_id % 13."""
     p = pages(spark, sf_dir)
-    h, t, v = F.col("html"), F.regexp_extract("html", TITLE, 1), F.col("page_id") % 12
+    h, t, v = F.col("html"), F.regexp_extract("html", TITLE, 1), F.col("page_id") % 13
     before = lambda mark, *what: F.replace(h, F.lit(mark), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in what], F.lit(mark)))
     made = (
         F.when(v == 1, before("</head>", '<meta name="description" content="', t, '">'))
@@ -43,6 +44,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(v == 9, before("</article>", F.repeat(F.lit('<a href="/x">x</a>'), 300)))
         .when(v == 10, before("</article>", F.repeat(F.lit('<a href="/x">x</a>'), 1000)))
         .when(v == 11, before("</article>", F.repeat(F.lit("x"), 204800)))
+        .when(v == 12, F.regexp_replace(h, H1, ""))
         .otherwise(h)
     )
     return p.select("page_id", "url", made.alias("html"))
@@ -76,7 +78,7 @@ def robots_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, u = F.col("page_id"), F.col("url")
-    one = F.concat(F.lit("<url><loc>"), u, F.lit("</loc>"), F.when(n % 2 == 0, "<priority>0.5</priority>").otherwise("<priority></priority>"), F.when(n % 3 == 0, "<lastmod>2024-01-01</lastmod>").otherwise(""), F.lit("</url>"))
+    one = F.concat(F.lit("<url><loc>"), u, F.lit("</loc>"), F.when(n % 2 == 0, "<priority>0.5</priority>").otherwise("<priority></priority>"), F.when(n % 3 == 0, "<lastmod>2024-01-01</lastmod>").otherwise(""), F.when(n % 5 == 0, "<changefreq>daily</changefreq>").otherwise(""), F.lit("</url>"))
     xml = F.when(n % 6 == 0, F.concat(F.lit("<sitemapindex><sitemap><loc>"), u, F.lit("</loc></sitemap></sitemapindex>"))).when(n % 6 == 1, "<urlset></urlset>").when(n % 6 == 2, "<nothing/>").otherwise(F.concat(F.lit("<urlset>"), F.repeat(one, F.when(n % 30 == 3, 10000).otherwise(2).cast("int")), F.lit("</urlset>")))
     return pages(spark, sf_dir).select("page_id", xml.alias("xml"))
 
@@ -100,7 +102,7 @@ def _before(mark: str, what: str) -> str:
     return f"replace(html, {q(mark)}, {what} || {q(mark)})"
 
 
-VARIANTS_SQL = f"""base AS (SELECT page_id, url, html, page_id % 12 AS v, regexp_extract(html, {q(TITLE)}, 1) AS t0 FROM pages),
+VARIANTS_SQL = f"""base AS (SELECT page_id, url, html, page_id % 13 AS v, regexp_extract(html, {q(TITLE)}, 1) AS t0 FROM pages),
 variants AS (SELECT page_id, url, CASE v
  WHEN 1 THEN {_before("</head>", q('<meta name="description" content="') + " || t0 || " + q('">'))}
  WHEN 2 THEN {_before("</head>", q(f'<meta name="description" content="{LONG}">'))}
@@ -113,6 +115,7 @@ variants AS (SELECT page_id, url, CASE v
  WHEN 9 THEN {_before("</article>", "repeat(" + q('<a href="/x">x</a>') + ", 300)")}
  WHEN 10 THEN {_before("</article>", "repeat(" + q('<a href="/x">x</a>') + ", 1000)")}
  WHEN 11 THEN {_before("</article>", "repeat('x', 204800)")}
+ WHEN 12 THEN regexp_replace(html, {q(H1)}, '', 'g')
  ELSE html END AS html FROM base)"""
 
 RESPONSES_SQL = f"""{VARIANTS_SQL},

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.functions.html import parse
-from auditloom.operators.lint import lint_html
+from auditloom.operators.lint import lint_pages
 
 PAGES = "page_id bigint, url string, html string"
 
@@ -15,7 +14,7 @@ def pages_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 
 def lint_stream(pages: DataFrame) -> DataFrame:
-    return lint_html(parse(pages)).select("page_id", "url", "lint")
+    return lint_pages(pages).select("page_id", "url", "lint")
 
 
 def start(spark: SparkSession, folder: str, out: str, checkpoint: str):
