@@ -31,27 +31,33 @@ TOKEN = re.compile(r"[^\W\d_]+|\n")
 CHAIN = 256
 BITS = 16
 MASK = (1 << BITS) - 1
+#: Which features training saw is kept by more bits than weights are, so that few others share their places.
+SEEN_SHIFT = 12
 #: What is not a label.
 UNKNOWN = "und"
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a lower-case word: affixes, n-grams, itself, and the languages whose lexicon has it."""
+    """Hashed features (32 bits) of a lower-case word: affixes, n-grams, itself, and the languages whose lexicon has it."""
     b = f"<{word}>".encode()
     n = len(b)
-    out = [crc32(b[i : i + 3]) & MASK for i in range(n - 2)]
-    out += [crc32(b[i : i + 2], 1) & MASK for i in range(n - 1)]
+    out = [crc32(b[i : i + 3]) for i in range(n - 2)]
+    out += [crc32(b[i : i + 2], 1) for i in range(n - 1)]
     # affixes of four and five bytes with the edge, the word, and what lexicons say of it
-    out += (crc32(b[:4], 2) & MASK, crc32(b[-4:], 3) & MASK, crc32(b[:5], 2) & MASK, crc32(b[-5:], 3) & MASK, crc32(b, 4) & MASK, crc32(b"%d" % lexicon.get(word, 0), 5) & MASK)
+    out += (crc32(b[:4], 2), crc32(b[-4:], 3), crc32(b[:5], 2), crc32(b[-5:], 3), crc32(b, 4), crc32(b"%d" % lexicon.get(word, 0), 5))
     return out
 
 
-def emissions(words: list[str], weights: np.ndarray, lexicon: dict[str, int]) -> np.ndarray:
-    """Scores (words x languages)."""
-    lists = [features(w, lexicon) for w in words]
-    ends = np.cumsum([0] + [len(x) for x in lists])[:-1]
+def emissions(words: list[str], model: Model) -> np.ndarray:
+    """Scores (words x languages), and in a last column the share of a word's features that training saw."""
+    if not words:
+        return np.zeros((0, len(model.langs) + 1), np.float32)
+    lists = [features(w, model.lexicon) for w in words]
+    sizes = np.array([len(x) for x in lists])
     flat = np.fromiter((k for x in lists for k in x), np.int64)
-    return np.add.reduceat(weights[flat], ends, axis=0) if len(words) else np.zeros((0, weights.shape[1]), weights.dtype)
+    sums = np.add.reduceat(np.column_stack([model.weights[flat & MASK], model.seen[flat >> SEEN_SHIFT]]), np.cumsum(sizes) - sizes, axis=0)
+    sums[:, -1] /= sizes
+    return sums
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray, pairs: bool = False):
@@ -91,8 +97,10 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start:
 
 
 class Model:
-    def __init__(self, langs, weights, trans, start, lexicon):
-        self.langs, self.weights, self.trans, self.start, self.lexicon = langs, weights, trans, start, lexicon
+    """seen: which features the training words had."""
+
+    def __init__(self, langs, weights, trans, start, lexicon, seen):
+        self.langs, self.weights, self.trans, self.start, self.lexicon, self.seen = langs, weights, trans, start, lexicon, seen
 
 
 def lines_of(text: str) -> list[list[str]]:
@@ -139,7 +147,8 @@ def train(rows: list[tuple[str, str]], steps: int = 25, lexicon_size: int = 500,
     np.add.at(gold_pairs, (gold[b - 1], gold[b]), 1)
     lists = [features(w, lexicon) for w in types]
     sizes = np.array([len(x) for x in lists])
-    ends, flat = np.cumsum(sizes) - sizes, np.fromiter((f for x in lists for f in x), np.int64)
+    ends, full = np.cumsum(sizes) - sizes, np.fromiter((f for x in lists for f in x), np.int64)
+    flat = full & MASK
     weights, trans, start = np.zeros((1 << BITS, k)), np.zeros((k, k)), np.zeros(k)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, trans)]
     one = np.eye(k)[gold]
@@ -155,16 +164,19 @@ def train(rows: list[tuple[str, str]], steps: int = 25, lexicon_size: int = 500,
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             value += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(langs, weights.astype(np.float32), trans, start, lexicon)
+    return Model(langs, weights.astype(np.float32), trans, start, lexicon, np.bincount(full >> SEEN_SHIFT, minlength=1 << 32 - SEEN_SHIFT) > 0)
 
 
 class Labeller(dict):
-    """word -> row of the emission table; rows of new words are filled before they are read."""
+    """word -> row of the emission table; rows of new words are filled before they are read. Emptied when it holds ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         super().__init__()
         self.model, self.limit, self.new = model, limit, []
-        self.table = np.zeros((1 << 14, len(model.langs)), np.float32)
+        self.table = self.blank()
+
+    def blank(self) -> np.ndarray:
+        return np.zeros((1 << 14, len(self.model.langs) + 1), np.float32)
 
     def __missing__(self, word: str) -> int:
         if word == "\n":
@@ -180,13 +192,14 @@ class Labeller(dict):
             end, first = len(self), len(self) - len(self.new)
             if end > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
-            self.table[first:end] = emissions(self.new, self.model.weights, self.model.lexicon)
+            self.table[first:end] = emissions(self.new, self.model)
             self.new = []
 
-    def label(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(best language or -1, its mean probability) of each whole text."""
+    def label(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(best language or -1, its mean probability, mean share of known features) of each whole text."""
         if len(self) > self.limit:
             self.clear()
+            self.table = self.blank()
         get, rows = self.__getitem__, []
         for t in texts:
             ws = TOKEN.findall(t.lower()) if t else []
@@ -198,21 +211,22 @@ class Labeller(dict):
         # a chain ends at a line's end, a document's end and after CHAIN words
         line = np.cumsum(flat == -1) + doc
         flat, doc, line = flat[word], doc[word], line[word]
-        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+        best, score, known = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
         if not len(flat):
-            return best, score
+            return best, score, known
         new = np.ones(len(flat), bool)
         new[1:] = line[1:] != line[:-1]
         first = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
         new |= (np.arange(len(flat)) - first) % CHAIN == 0
         at = np.flatnonzero(new)
-        p = marginals(self.table[flat].astype(np.float64), np.diff(np.append(at, len(flat))), self.model.trans, self.model.start)
+        p = marginals(self.table[flat, :-1].astype(np.float64), np.diff(np.append(at, len(flat))), self.model.trans, self.model.start)
         n = np.bincount(doc, minlength=len(texts))
         mean = np.stack([np.bincount(doc, p[:, y], len(texts)) for y in range(p.shape[1])], 1) / np.maximum(n, 1)[:, None]
         some = n > 0
         best[some] = mean[some].argmax(1)
         score[some] = np.clip(mean[some].max(1), 0, 1)
-        return best, score
+        known[some] = np.bincount(doc, self.table[flat, -1], len(texts))[some] / n[some]
+        return best, score, known
 
 
 def held_out(id_col: str):
@@ -244,7 +258,10 @@ def sample(docs: DataFrame, sample_docs: int, sample_chars: int, id_col: str, te
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 250, sample_chars: int = 200_000, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row, then the columns named in extra, under their own names."""
+    """(doc_id, held_out, lang_pred, score, known) of every row, then the columns named in extra, under their own names.
+
+    known: the mean share of a word's features (n-grams, affixes) that training saw, 0 to 1.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = sample(docs, sample_docs, sample_chars, id_col, text_col, lang_col)
@@ -255,23 +272,29 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         names = np.array([*(model.value.langs if work is not None else []), UNKNOWN], object)
         for b in batches:
             texts, sizes = b.column(2), 0
-            best, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            best, score, known = np.full(b.num_rows, -1), np.zeros(b.num_rows), np.zeros(b.num_rows)
             first = 0
             for i in range(b.num_rows if work is not None else 0):
                 sizes += len(texts[i].as_buffer()) if texts[i].is_valid else 0
-                if sizes > 4 << 20 or i == b.num_rows - 1:
-                    best[first : i + 1], score[first : i + 1] = work.label([t.as_py() for t in texts[first : i + 1]])
+                if sizes > 1 << 20 or i == b.num_rows - 1:
+                    at = slice(first, i + 1)
+                    best[at], score[at], known[at] = work.label([t.as_py() for t in texts[at]])
                     first, sizes = i + 1, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", *(f"x{i}" for i in range(len(extra)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(known), *b.columns[3:]], ["doc_id", "held_out", "lang_pred", "score", "known", *(f"x{i}" for i in range(len(extra)))])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(extra)])
-    out = plain.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", x{i} {kinds[c]}" for i, c in enumerate(extra)))
+    out = plain.mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double, known double" + "".join(f", x{i} {kinds[c]}" for i, c in enumerate(extra)))
     return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(extra)}) if extra else out
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, languages: tuple[str, ...] | None = None, **kw) -> DataFrame:
-    """docs without rejected ones: no letters, no language of at least this score, or one not wanted. Columns as they are."""
-    found = identify(docs, extra=tuple(docs.columns), **kw).toDF("__i_id", "__i_out", "__i_lang", "__i_score", *docs.columns)
-    good = (F.col("__i_lang") != UNKNOWN) & (F.col("__i_score") >= least)
-    return found.where(good & F.col("__i_lang").isin(list(languages)) if languages else good).drop("__i_id", "__i_out", "__i_lang", "__i_score")
+def keep_identified(docs: DataFrame, least: float = 0.3, familiar: float = 0.6, languages: tuple[str, ...] | None = None, **kw) -> DataFrame:
+    """docs without rejected ones, columns as they are.
+
+    Rejected are texts without letters, those of no language of score ``least`` or more, those whose words know less than
+    ``familiar`` of their features (a score is shared out among learned languages only, so it can be high for a text in
+    none of them), and those of a language that is not wanted. A table without labelled rows keeps nothing.
+    """
+    found = identify(docs, extra=tuple(docs.columns), **kw).toDF("__i_id", "__i_out", "__i_lang", "__i_score", "__i_known", *docs.columns)
+    good = (F.col("__i_lang") != UNKNOWN) & (F.col("__i_score") >= least) & (F.col("__i_known") >= familiar)
+    return found.where(good & F.col("__i_lang").isin(list(languages)) if languages else good).drop("__i_id", "__i_out", "__i_lang", "__i_score", "__i_known")

@@ -2,7 +2,7 @@
 
 A BPE tokenizer merges inside each pre-token only, so the ids of a text are the ids of its pre-tokens
 one after the other. Corpora repeat their words, so a worker keeps what the library returned for each
-pre-token and only asks it about new ones. Texts with characters outside a plain range, where this
+pre-token and only asks it about new ones, up to ``memo`` pre-tokens of at most 64 characters (some 30 MB). Texts with characters outside a plain range, where this
 module's split might differ from the library's, go to the library whole.
 """
 
@@ -28,7 +28,7 @@ WORD_FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder(dict):
     """pre-token -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, memo: int = 800_000):
+    def __init__(self, path: str, memo: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -45,7 +45,8 @@ def test_marginals_are_those_of_all_paths():
 def test_code_switched_line():
     m = train([(x, t) for _, t, x in rows() if x and t])
     r = random.Random(5)
-    best, score = Labeller(m).label([text(r, "bb", 30) + " " + text(r, "cc", 8), "", None, "7"])
+    best, score, known = Labeller(m).label([text(r, "bb", 30) + " " + text(r, "cc", 8), "", None, "7"])
+    assert known[0] > 0.9 and not known[1:].any()
     assert m.langs[best[0]] == "bb" and 0.5 < score[0] < 0.95 and list(best[1:]) == [-1, -1, -1]
 
 
@@ -66,3 +67,22 @@ def test_keep(spark):
     kept = keep_identified(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 3
     assert keep_identified(spark.createDataFrame([], docs.schema)).count() == 0
+
+
+def test_unlearned_languages_go(spark):
+    r = random.Random(4)
+    noise = [" ".join("".join(r.choices("bdfghjmnpqrvwxy", k=r.randint(2, 9))) for _ in range(60)) for _ in range(5)]
+    noise += ["Это текст на языке, которого никто не учил, и его здесь быть не должно", "nikt nigdy nie widział takich dziwnych wyrazów w żadnym zbiorze"]
+    data = rows() + [(1000 + k, t, None) for k, t in enumerate(noise)]
+    kept = {x.doc_id for x in keep_identified(frame(spark, data)).collect()}
+    assert not kept & set(range(1000, 1010)) and kept >= set(range(240))
+
+
+def test_few_words_held_at_once():
+    m = train([(x, t) for _, t, x in rows() if x and t])
+    r = random.Random(6)
+    texts = [text(r, "aabbcc"[k % 3 * 2 :][:2], 60) for k in range(30)]
+    small, large = Labeller(m, limit=40), Labeller(m)
+    for t in texts:
+        assert [x.tolist() for x in small.label([t])] == [x.tolist() for x in large.label([t])]
+    assert len(small) < len(large)
