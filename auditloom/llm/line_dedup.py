@@ -88,6 +88,7 @@ def repeated_runs(docs: DataFrame, run: int = 3, long_words: int = 50, id_col: s
     name = ["size", "w1", "w2"]
     first = held.groupBy(*name).agg(F.min(F.struct("_id", "_key", "a", "z", "p")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select(*[F.col(c).alias(f"_{c}") for c in name], *[F.col(f"first.{c}").alias(f"from{c if c[0] == '_' else '_' + c}") for c in ("_id", "_key", "a", "z", "p")])
+    first = stash(first, "earliest")  # read anew, so that adaptive execution may split a window that many documents hold
     found = held.join(first, reduce(Column.__and__, [F.col(c) == F.col(f"_{c}") for c in name]))
     same = F.col("_id").eqNullSafe(F.col("from_id")) & (F.col("_key") == F.col("from_key"))
     matches = found.where(~same | (F.col("a") > F.col("from_z"))).withColumn("far", F.col("p") - F.col("from_p"))
