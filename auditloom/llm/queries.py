@@ -37,7 +37,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.simhash import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
