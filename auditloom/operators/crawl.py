@@ -6,22 +6,29 @@ an external address fetched depends only on earlier events of the same URL, so a
 projection, a few anti-joins and minima by URL; nothing but counts comes to the driver.
 
 ``web`` holds a response per URL: url, code, reason, content, content_type, size, encoding,
-response_time, and optionally ``hops``, an array of such structs for the redirects before it. URLs
-that it lacks get code 0.
+response_time, and optionally ``asked``, the address that it answers where that is not its own, and ``hops``, an array of
+such structs for the redirects before it. URLs that it lacks get code 0. Each response, hops too, is a row and, for links
+and assets, an edge.
+
+Ids of rows and edges are their places in the sequence, packed: 31 bits of the page's rank, one for its assets, 21 of the
+position on the page and 10 of the hop. So they are unique and ascend as a sequential crawl would insert; what doesn't fit fails.
 """
 
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.urls import ascii_only, is_full_url, same_site
-from auditloom.operators.ingest import LINK_SCHEMA, crawl_urls, parse_responses
+from auditloom.operators.ingest import LINK_SCHEMA, URL_SCHEMA, crawl_urls, parse_responses
 
 RESPONSE = ("url", "code", "reason", "content", "content_type", "size", "encoding", "response_time")
 TURN, LINKS, ASSETS = 0, 1, 2
+#: The position, among assets, of the redirects before a page.
+LAST = (1 << 21) - 2
 
 
 class Store:
@@ -40,8 +47,8 @@ class Store:
 def ranked(df: DataFrame, order: list[str], first: int, name: str, store: Store) -> DataFrame:
     """df with ``rank`` counting from first in the given order: a range sort and the partitions' own counts, no single-task sort."""
     laid = store.put(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), name)
-    sizes = laid.groupBy("_pid").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._pid") < F.col("a._pid"), "left").groupBy(F.col("a._pid").alias("_p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))  # a row per partition
+    sizes = laid.groupBy("_pid").agg(F.count("*").alias("n"))  # a row per partition, summed up in one task
+    before = sizes.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_pid").orderBy(*order)
     return laid.join(F.broadcast(before), F.col("_pid") == F.col("_p")).withColumn("rank", F.row_number().over(w) + F.col("_before") + (first - 1)).drop("_pid", "_p", "_before")
 
@@ -49,42 +56,69 @@ def ranked(df: DataFrame, order: list[str], first: int, name: str, store: Store)
 def _fetch(urls: DataFrame, web: DataFrame) -> DataFrame:
     """(all columns of urls, hop, response): the final response first, then redirect hops."""
     has_hops = "hops" in web.columns
+    key = F.coalesce("w.asked", "w.url") if "asked" in web.columns else F.col("w.url")
     one = F.struct(*[F.col(f"w.{c}").alias(c) for c in RESPONSE])
     missing = F.struct(F.col("u.url").alias("url"), F.lit(0).alias("code"), F.lit("Connection Error").alias("reason"), *[F.lit(None).cast(web.schema[c].dataType).alias(c) for c in RESPONSE[3:]])
     found = F.when(F.col("w.url").isNull(), F.array(missing)).otherwise(F.concat(F.array(one), F.coalesce(F.col("w.hops"), F.array())) if has_hops else F.array(one))
-    return urls.alias("u").join(web.alias("w"), F.col("u.url") == F.col("w.url"), "left").select("u.*", F.posexplode(found).alias("hop", "r"))
+    return urls.alias("u").join(web.alias("w"), F.col("u.url") == key, "left").select("u.*", F.posexplode(found).alias("hop", "r"))
+
+
+def _id(rank: Column, phase: Column, pos: Column, hop: Column) -> Column:
+    """The packed place. The page's own turn has position 0, its links and assets are counted from 1, and its redirects come last."""
+    fits = (rank < (1 << 31)) & (pos <= LAST) & (hop < (1 << 10))
+    packed = rank * (1 << 32) + (phase == ASSETS).cast("long") * (1 << 31) + (pos + 1).cast("long") * (1 << 10) + hop
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("a crawl of more pages, links a page or redirects than ids have room for")).cast("long"))
+
 
+class Crawl(NamedTuple):
+    run_id: str
+    urls: DataFrame
+    links: DataFrame
+    #: (url, rank) of what is still queued, and the links found but not yet resolved: what a later part needs.
+    frontier: DataFrame
+    pending: DataFrame
 
-def _id(rank: Column, slot: Column) -> Column:
-    """Row ids that ascend in insertion order: a rank's rows have room for 2**24."""
-    return rank * F.lit(1 << 24) + slot
 
+PENDING = "from_url string, to_url string, text string, alt string, rel string, seq struct<rank:bigint,phase:int,pos:int>"
 
-def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, folder: str, internal: bool = False, limit: int = 0, run_id: str | None = None, processed: DataFrame | None = None, clock: Column | None = None, max_rounds: int | None = None, full_graph: bool = False) -> tuple[str, DataFrame, DataFrame, DataFrame]:
-    """(run id, crawl_urls, crawl_links, frontier left over).
 
-    internal: follow links within the site. limit: stop queuing for good once the queue is this long.
-    processed: (url, id) of an earlier part of the run. full_graph: record every internal link, not only first discoveries.
+def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web, folder: str, internal: bool = False, limit: int = 0, run_id: str | None = None, processed: DataFrame | None = None, clock: Column | None = None, max_rounds: int | None = None, full_graph: bool = False, pending: DataFrame | None = None) -> Crawl:
+    """Crawls web from seeds: URLs in order, or a table of (url, pos).
+
+    web: the table of responses, or what fetches one: web(urls, full) for a table of urls, full where pages are wanted
+    with their bodies; what it returns is stored before it is read.
+    internal: follow links within the site. limit: stop queuing for good once the queue is this long. full_graph: record
+    every internal link, not only first discoveries. max_rounds: stop after so many rounds.
+    Resuming: seeds is the frontier of the earlier part, (url, rank), processed its (url, id), pending its unresolved links.
+    Links between pages are resolved when the queue is empty, as either end may be fetched later.
     """
     run_id = run_id or str(uuid.uuid4())
     clock = F.current_timestamp() if clock is None else clock
     store = Store(spark, folder)
     start = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "pos long, url string")
-    frontier = store.put(start.select("url", F.col("pos").alias("rank").cast("long")), "frontier")
-    total = frontier.count()
+    place = "rank" if "rank" in start.columns else "pos"
+    frontier = store.put(start.select("url", F.col(place).cast("long").alias("rank")), "frontier")
+    total = (frontier.agg(F.max("rank")).first()[0] or 0) + 1
     seen = store.put((processed if processed is not None else spark.createDataFrame([], "url string, id long")).select("url", F.col("id").cast("long")), "seen")
-    pages, edges, pending = [], [], []
+    pages, edges, waiting = [], [], [] if pending is None else [pending]
     stopped, rounds, depth = False, 0, 0
-    queued = [frontier]
+    zero = F.lit(0)
+
+    def answers(urls: DataFrame, full: bool) -> DataFrame:
+        return _fetch(urls, store.put(web(urls.select("url"), full), "responses") if callable(web) else web)
+
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         turn = frontier.where(is_full_url(F.col("url")))
-        got = _fetch(turn, web).withColumn("asked", F.col("url")).select("rank", "hop", "asked", "r.*")
+        got = answers(turn, True).withColumn("asked", F.col("url")).select("rank", "hop", "asked", "r.*")
         parsed = store.put(parse_responses(got), "parsed")
-        own = parsed.withColumn("id", _id(F.col("rank"), F.col("hop"))).withColumn("external", F.lit(0))
-        html = own.where(F.col("doc").isNotNull())
-        links = html.select("rank", "hop", "asked", F.col("id").alias("from_id"), F.posexplode("doc.links").alias("pos", "x")).select("rank", "asked", "from_id", F.lit(LINKS).alias("phase"), (F.col("pos") + F.col("hop") * (1 << 20)).alias("pos"), F.col("x.url").alias("url"), F.col("x.valid").alias("valid"), F.col("x.text").alias("text"), F.col("x.alt").alias("alt"), F.array_join("x.rel", " ").alias("rel"))
-        assets = html.select("rank", "hop", "asked", F.col("id").alias("from_id"), F.posexplode("doc.sources").alias("pos", "x")).select("rank", "asked", "from_id", F.lit(ASSETS).alias("phase"), (F.col("pos") + F.col("hop") * (1 << 20)).alias("pos"), F.col("x.url").alias("url"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("text"), F.col("x.alt").alias("alt"), F.lit(None).cast("string").alias("rel"))
+        first = F.col("hop") == 0
+        own = parsed.withColumn("id", F.when(first, _id(F.col("rank"), F.lit(TURN), F.lit(-1), zero)).otherwise(_id(F.col("rank"), F.lit(ASSETS), F.lit(LAST), F.col("hop")))).withColumn("external", zero)
+        html = own.where(F.col("doc").isNotNull() & first)
+        none = F.lit(None).cast("string")
+        base = ("rank", "asked", F.col("id").alias("from_id"))
+        links = html.select(*base, F.posexplode("doc.links").alias("pos", "x")).select("rank", "asked", "from_id", F.lit(LINKS).alias("phase"), "pos", "x.url", "x.valid", "x.text", "x.alt", F.array_join("x.rel", " ").alias("rel"))
+        assets = html.select(*base, F.posexplode("doc.sources").alias("pos", "x")).select("rank", "asked", "from_id", F.lit(ASSETS).alias("phase"), "pos", "x.url", F.lit(True).alias("valid"), none.alias("text"), "x.alt", none.alias("rel"))
         inside = same_site(F.col("url"), F.col("asked"))
         kind = F.when(F.col("phase") == ASSETS, "asset").when(~F.col("valid"), "malformed").when(~inside, "external").otherwise("internal")
         seq = F.struct("rank", "phase", "pos")
@@ -92,28 +126,36 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, fol
         # a URL's first event that marks it processed: its own turn, a malformed link, an external or asset fetch
         turns = frontier.select("url", F.struct("rank", F.lit(TURN).alias("phase"), F.lit(-1).alias("pos")).alias("seq"))
         marks = turns.unionByName(events.where("kind <> 'internal'").select("url", "seq")).groupBy("url").agg(F.min("seq").alias("first"))
-        state = marks
-        fetches = events.where("kind in ('external', 'asset')").join(seen.select(F.col("url").alias("_s")), F.col("url") == F.col("_s"), "left_anti").join(state.select(F.col("url").alias("_m"), "first"), F.col("url") == F.col("_m")).where(F.col("seq") == F.col("first")).drop("_m", "first")
-        # slots of a page's rows: its hops, then one for each link and asset event
-        slot = F.lit(64) + F.col("pos") * 2 + F.when(F.col("phase") == ASSETS, F.lit(1 << 22)).otherwise(F.lit(0))
-        fetched = _fetch(fetches, web).select("rank", "phase", "pos", "kind", "asked", "hop", "r.*").withColumn("id", _id(F.col("rank"), slot + F.col("hop")))
-        fetched = fetched.withColumn("external", F.when(F.col("kind") == "external", 1).otherwise((~same_site(F.col("url"), F.col("asked"))).cast("int")))
-        bad = events.where("kind = 'malformed'").select("rank", "url", "seq", "from_id", "text", "alt", "rel", _id(F.col("rank"), slot).alias("id"))
-        rows = own.unionByName(fetched, allowMissingColumns=True).unionByName(bad.select("id", "url", F.lit(0).alias("code"), F.lit(0).alias("external")), allowMissingColumns=True)
+        outer = events.where("kind in ('external', 'asset')")
+        fetches = outer.join(seen.select(F.col("url").alias("_s")), F.col("url") == F.col("_s"), "left_anti").join(marks.select(F.col("url").alias("_m"), "first"), F.col("url") == F.col("_m")).where(F.col("seq") == F.col("first")).drop("_m", "first")
+        fetches = store.put(fetches, "fetches")
+        fetched = answers(fetches.withColumn("link", F.col("url")), False).select("rank", "phase", "pos", "kind", "asked", "link", "from_id", "text", "alt", "rel", "hop", "r.*")
+        fetched = fetched.withColumn("id", _id(F.col("rank"), F.col("phase"), F.col("pos"), F.col("hop")))
+        fetched = store.put(fetched.withColumn("external", F.when(F.col("kind") == "external", 1).otherwise((~same_site(F.col("url"), F.col("asked"))).cast("int"))), "fetched")
+        bad = events.where("kind = 'malformed'").select("rank", "url", "seq", "from_id", "text", "alt", "rel", _id(F.col("rank"), F.col("phase"), F.col("pos"), zero).alias("id"))
+        taken = ("link", "from_id", "text", "alt", "rel", "kind", "phase", "pos")
+        rows = own.unionByName(fetched.drop(*taken), allowMissingColumns=True).unionByName(bad.select("id", "url", zero.alias("code"), zero.alias("external")), allowMissingColumns=True)
         stamped = rows.withColumn("run_id", F.lit(run_id)).withColumn("timestamp", clock)
         pages.append(store.put(crawl_urls(stamped).withColumn("depth", F.lit(depth)), "pages"))
-        # ids by URL: the last row of an asked URL stands for it
-        ids = own.select(F.col("asked").alias("url"), "id").unionByName(fetched.where("kind = 'external'").select("url", "id")).unionByName(fetched.where("kind = 'asset'").join(fetches.select("seq", F.col("url").alias("_u")), F.struct("rank", "phase", "pos") == F.col("seq")).select(F.col("_u").alias("url"), "id")).unionByName(bad.select("url", "id"))
+        # ids by URL: the last row of an asked URL stands for it; an external response stands for its own address too
+        ids = own.select(F.col("asked").alias("url"), "id").unionByName(fetched.select(F.col("link").alias("url"), "id")).unionByName(fetched.where("kind = 'external'").select("url", "id")).unionByName(bad.select("url", "id"))
+        answered = fetched.where("kind = 'external' and url = link").select("url", F.col("id").alias("_own"))
         skipped = frontier.where(~is_full_url(F.col("url"))).select("url", F.lit(None).cast("long").alias("id"))
-        seen_next = store.put(seen.unionByName(ids).unionByName(skipped).groupBy("url").agg(F.max("id").alias("id")), "seen")
-        direct = events.where("kind in ('external', 'asset')").join(seen_next.select(F.col("url").alias("_t"), F.col("id").alias("to_id")), F.col("url") == F.col("_t"))
-        out = direct.select("from_id", "to_id", F.when(F.col("kind") == "asset", "asset").otherwise("anchor").alias("type"), "text", "alt", "rel").unionByName(bad.select("from_id", F.col("id").alias("to_id"), F.lit("anchor").alias("type"), "text", "alt", "rel"))
+        latest = seen.unionByName(ids).unionByName(skipped).groupBy("url").agg(F.max("id").alias("id"))
+        own_answer = answered.groupBy(F.col("url").alias("_u")).agg(F.max("_own").alias("_own"))
+        seen_next = store.put(latest.join(own_answer, F.col("url") == F.col("_u"), "left").select("url", F.coalesce("_own", "id").alias("id")), "seen")
+        named = F.when(F.col("kind") == "asset", "asset").otherwise("anchor").alias("type")
+        later = outer.join(fetches.select(F.col("seq").alias("_q")), F.col("seq") == F.col("_q"), "left_anti").join(seen_next.select(F.col("url").alias("_t"), F.col("id").alias("to_id")), F.col("url") == F.col("_t"))
+        out = fetched.select("id", "from_id", F.col("id").alias("to_id"), named, "text", "alt", "rel")
+        out = out.unionByName(later.select(_id(F.col("rank"), F.col("phase"), F.col("pos"), zero).alias("id"), "from_id", "to_id", named, "text", "alt", "rel"))
+        out = out.unionByName(bad.select("id", "from_id", F.col("id").alias("to_id"), F.lit("anchor").alias("type"), "text", "alt", "rel"))
         edges.append(store.put(out, "edges"))
         fresh = None
         if internal:
             inner = events.where("kind = 'internal'")
-            known = _union([seen.select("url"), *[x.select("url") for x in queued]], spark, None).distinct().withColumnRenamed("url", "_k")
-            new = inner.join(known, F.col("url") == F.col("_k"), "left_anti").join(state.withColumnsRenamed({"url": "_m"}), F.col("url") == F.col("_m"), "left").where(F.col("first").isNull() | (F.col("seq") < F.col("first"))).drop("_m", "first")
+            # what was queued earlier has had its turn, and so has been seen
+            known = seen.select("url").unionByName(frontier.select("url")).distinct().withColumnRenamed("url", "_k")
+            new = inner.join(known, F.col("url") == F.col("_k"), "left_anti").join(marks.withColumnsRenamed({"url": "_m"}), F.col("url") == F.col("_m"), "left").where(F.col("first").isNull() | (F.col("seq") < F.col("first"))).drop("_m", "first")
             firsts = new.groupBy("url").agg(F.min("seq").alias("seq")).select("url", "seq", F.col("seq.rank").alias("parent"), F.col("seq.pos").alias("pos"))
             placed = ranked(firsts, ["parent", "pos"], total, "ranked", store)
             if limit:
@@ -126,22 +168,23 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, fol
             # a queued URL is pending from the page that queued it; one past the limit, from every page that links to it
             by = placed.select(F.col("url").alias("_p"), F.col("seq").alias("_seq"))
             every = inner if full_graph else new.join(by, F.col("url") == F.col("_p"), "left").where(F.col("_seq").isNull() | (F.col("seq") == F.col("_seq")))
-            pending.append(store.put(every.select(F.col("asked").alias("from_url"), F.col("url").alias("to_url"), "text", "alt", "rel", "seq"), "pending"))
+            waiting.append(store.put(every.select(F.col("asked").alias("from_url"), F.col("url").alias("to_url"), "text", "alt", "rel", "seq"), "pending"))
         seen, depth = seen_next, depth + 1
         frontier = fresh if fresh is not None else frontier.limit(0)
-        queued.append(frontier)
         total += frontier.count()
-    urls = _union(pages, spark, None)
-    links_out = _union(edges, spark, "from_id long, to_id long, type string, text string, alt string, rel string")
-    if pending:
-        held = _union(pending, spark, None)
+    urls = _union(pages, spark, URL_SCHEMA + ", depth int")
+    links_out = _union(edges, spark, "id long, from_id long, to_id long, type string, text string, alt string, rel string")
+    held = _union(waiting, spark, PENDING)
+    if frontier.isEmpty():
         # of repeated discoveries of a link by one page, the last stands
-        last = held.groupBy("from_url", "to_url").agg(F.max_by(F.struct("text", "alt", "rel"), "seq").alias("x"))
+        last = held.groupBy("from_url", "to_url").agg(F.max("seq").alias("seq"), F.max_by(F.struct("text", "alt", "rel"), "seq").alias("x"))
         f, t = seen.select(F.col("url").alias("_f"), F.col("id").alias("from_id")), seen.select(F.col("url").alias("_t"), F.col("id").alias("to_id"))
-        links_out = links_out.unionByName(last.join(f, F.col("from_url") == F.col("_f")).join(t, F.col("to_url") == F.col("_t")).where("from_id <> to_id").select("from_id", "to_id", F.lit("anchor").alias("type"), "x.text", "x.alt", "x.rel"))
+        found = last.join(f, F.col("from_url") == F.col("_f")).join(t, F.col("to_url") == F.col("_t")).where("from_id <> to_id")
+        links_out = links_out.unionByName(found.select(_id(F.col("seq.rank"), F.col("seq.phase"), F.col("seq.pos"), zero).alias("id"), "from_id", "to_id", F.lit("anchor").alias("type"), "x.text", "x.alt", "x.rel"))
+        held = held.limit(0)
     keep = lambda c: F.when(F.col(c) != "", ascii_only(F.col(c)))
-    named = links_out.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull()).select(F.xxhash64("from_id", "to_id", "type", "text", "alt").alias("id"), F.lit(run_id).alias("run_id"), "type", F.col("from_id").alias("from_url_id"), F.col("to_id").alias("to_url_id"), keep("text").alias("link_text"), keep("alt").alias("alt_text"), "rel")
-    return run_id, urls, named.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in LINK_SCHEMA.split(", ")]), frontier
+    named = links_out.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull()).select("id", F.lit(run_id).alias("run_id"), "type", F.col("from_id").alias("from_url_id"), F.col("to_id").alias("to_url_id"), keep("text").alias("link_text"), keep("alt").alias("alt_text"), "rel")
+    return Crawl(run_id, urls, named.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in LINK_SCHEMA.split(", ")]), frontier, held)
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str | None) -> DataFrame:

@@ -77,6 +77,29 @@ def status_code_report(urls: DataFrame, run_id: str) -> DataFrame:
     return composite(urls, run_id, STATUS)
 
 
+def parts(urls: DataFrame, kind: str, run_id: str) -> list[tuple[str, list[str], DataFrame]]:
+    """(section, columns rendered, rows in report order) of a report; the report of all rows is one section of all columns."""
+    if kind == "all":
+        rows = all_report(urls, run_id)
+        return [("all", [c for c in rows.columns if c != "run_id"], rows)]
+    if kind not in REPORTS:
+        raise ValueError(f"unknown report type {kind}")
+    held = sections()
+    return [(n, ["address", "timestamp", held[n][1]], section(urls, run_id, n)) for n in (BUILD if kind == "build" else STATUS)]
+
+
+def stored_urls(spark, source: str, run_id: str | None = None, **options: str) -> DataFrame:
+    """Stored rows of crawl_urls: a table of the catalog, a Parquet folder, or jdbc:... with its options (dbtable, user, password).
+
+    With a run id, only that run's partitions are read.
+    """
+    if source.startswith("jdbc:"):
+        urls = spark.read.format("jdbc").options(url=source, **{"dbtable": "crawl_urls"} | options).load()
+    else:
+        urls = spark.read.parquet(source) if "/" in source else spark.table(source)
+    return urls if run_id is None else urls.where(F.col("run_id") == run_id)
+
+
 REPORTS = {"build": build_report, "status_code": status_code_report, "all": all_report}
 
 

@@ -15,6 +15,7 @@ from auditloom.operators import crawl as C
 from auditloom.operators import ingest, lint, render, reports
 from auditloom.plans import fixtures as X
 from auditloom.plans.fixtures import q
+from auditloom.session import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -464,11 +465,9 @@ _AT = "'http://site.example.com/p' || "
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{d or 'file://' + tempfile.mkdtemp(prefix='auditloom-')}/crawl-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/crawl-{name}-{uuid.uuid4().hex}"
 
 
 def crawl_site(spark: SparkSession, sf_dir: str, **kw):
@@ -477,18 +476,24 @@ def crawl_site(spark: SparkSession, sf_dir: str, **kw):
 
 @query("crawl_bfs", f"{_GRAPH} SELECT {_AT}n AS address, d::BIGINT AS depth, CASE WHEN n IN (SELECT n FROM p) THEN 200 ELSE 0 END::BIGINT AS status_code FROM reach")
 def crawl_bfs(spark, sf_dir):
-    urls = crawl_site(spark, sf_dir, internal=True)[1]
+    urls = crawl_site(spark, sf_dir, internal=True).urls
     return urls.where("address like 'http://site.example.com/%'").select("address", F.col("depth").cast("bigint").alias("depth"), F.col("status_code").cast("bigint").alias("status_code"))
 
 
-@query("crawl_limit")
+_LIMITED = "WITH s AS (SELECT count(*) AS n FROM pages), q AS (SELECT unnest(range(CASE WHEN n > 17 THEN 37 ELSE 2 * n + 1 END)) AS k, n FROM s)"
+
+
+# Page k finds k + 1 URLs queued and adds two, so the second link of page 17 makes the queue 20 long.
+@query("crawl_limit", f"""{_LIMITED} SELECT {_AT}k AS address, floor(log2(k + 1))::BIGINT AS depth, CASE WHEN k < n THEN 200 ELSE 0 END::BIGINT AS status_code, 0::BIGINT AS external FROM q
+UNION ALL SELECT 'http://out.example.org/' || k, floor(log2(k + 1))::BIGINT, 0, 1 FROM q WHERE k < 5 UNION ALL SELECT 'http://cdn.example.net/logo.png', 0, 0, 1""")
 def crawl_limit(spark, sf_dir):
-    return crawl_site(spark, sf_dir, internal=True, limit=20)[1].select("id", "address", "depth", "status_code", "external")
+    return crawl_site(spark, sf_dir, internal=True, limit=20).urls.select("address", *[F.col(c).cast("bigint").alias(c) for c in ("depth", "status_code", "external")])
 
 
 @query("links_resolved", f"{_GRAPH}, src AS (SELECT n FROM reach WHERE n IN (SELECT n FROM p)) SELECT {_AT}n AS from_address, {_AT}(2 * n + k.k) AS to_address, 'anchor' AS type FROM src, (VALUES (1), (2)) AS k(k) UNION ALL SELECT {_AT}n, 'http://out.example.org/' || (n % 5), 'anchor' FROM src UNION ALL SELECT {_AT}n, 'http://cdn.example.net/logo.png', 'asset' FROM src")
 def links_resolved(spark, sf_dir):
-    _, urls, links, _ = crawl_site(spark, sf_dir, internal=True)
+    found = crawl_site(spark, sf_dir, internal=True)
+    urls, links = found.urls, found.links
     a = urls.select(F.col("id").alias("from_url_id"), F.col("address").alias("from_address"))
     b = urls.select(F.col("id").alias("to_url_id"), F.col("address").alias("to_address"))
     return links.join(a, "from_url_id").join(b, "to_url_id").select("from_address", "to_address", "type")
@@ -496,7 +501,7 @@ def links_resolved(spark, sf_dir):
 
 @query("external_links", "SELECT 'http://out.example.org/0' AS address, 1::BIGINT AS external UNION ALL SELECT 'http://cdn.example.net/logo.png', 1")
 def external_links(spark, sf_dir):
-    return crawl_site(spark, sf_dir)[1].where("external = 1").select("address", F.col("external").cast("bigint").alias("external"))
+    return crawl_site(spark, sf_dir).urls.where("external = 1").select("address", F.col("external").cast("bigint").alias("external"))
 
 
 @query("frontier_new_urls", f"WITH l AS (SELECT DISTINCT {_AT}m AS url, m FROM (SELECT page_id, unnest([2 * page_id + 1, 2 * page_id + 2, page_id]) AS m FROM pages)) SELECT url FROM l WHERE m NOT IN (SELECT page_id FROM pages)")

@@ -18,3 +18,20 @@ def local_session(cpus: int | str = "*", name: str = "auditloom", partitions: in
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one of this machine only in local mode, as in tests."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if d:
+        return d.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    import tempfile
+
+    d = "file://" + tempfile.mkdtemp(prefix="auditloom-")
+    spark.sparkContext.setCheckpointDir(d)
+    return d

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions.urls import netloc
 
 TIMEOUT = 16
-WEB_SCHEMA = "url string, code int, reason string, content string, content_type string, size bigint, encoding string, response_time float, hops array<struct<url:string,code:int,reason:string,content:string,content_type:string,size:bigint,encoding:string,response_time:float>>"
+WEB_SCHEMA = "asked string, url string, code int, reason string, content string, content_type string, size bigint, encoding string, response_time float, hops array<struct<url:string,code:int,reason:string,content:string,content_type:string,size:bigint,encoding:string,response_time:float>>"
 
 
 def fetch_one(url: str, agent: str | None = None, full: bool = True, opener=None) -> dict:
@@ -49,8 +49,11 @@ def fetch_one(url: str, agent: str | None = None, full: bool = True, opener=None
     return out | {"response_time": time.time() - began, "hops": hops}
 
 
-def fetch(urls: DataFrame, agent: str | None = None, full: bool = True, delay_ms: int = 0, hosts: int = 200) -> DataFrame:
-    """A web table for the distinct URLs of ``url``: dealt by host, so a host sees one caller at a time."""
+def fetch(urls: DataFrame, agent: str | None = None, full: bool = True, delay_ms: int = 0, hosts: int = 200, batch: int = 8, opener=None) -> DataFrame:
+    """A web table for the distinct URLs of ``url``: dealt by host, so a host sees one caller at a time.
+
+    Responses leave the worker ``batch`` at a time, so it holds few bodies. opener: what opens requests, for tests.
+    """
     names = [c.split(" ")[0] for c in WEB_SCHEMA.split(", ")]
 
     def run(frames):
@@ -61,8 +64,12 @@ def fetch(urls: DataFrame, agent: str | None = None, full: bool = True, delay_ms
         for pdf in frames:
             rows = []
             for u in pdf["url"]:
-                rows.append({n: None for n in names} | fetch_one(u, agent, full) | {"url": u})
+                rows.append({n: None for n in names} | fetch_one(u, agent, full, opener) | {"asked": u})
                 time.sleep(delay_ms / 1000)
-            yield pd.DataFrame(rows, columns=names)
+                if len(rows) == batch:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
 
     return urls.select("url").distinct().repartition(hosts, netloc(F.col("url"))).mapInPandas(run, WEB_SCHEMA)

@@ -40,6 +40,12 @@ def load_job(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return urls, pending
 
 
+def drop_job(spark: SparkSession, folder: str) -> None:
+    """Removes the saved job of a crawl that has ended; nothing if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def document(spark: SparkSession, path: str) -> DataFrame:
     """A whole file as one ``text``."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))

@@ -124,3 +124,57 @@ def test_stream(spark, tmp_path):
 def test_unknown_report(spark):
     with pytest.raises(ValueError):
         reports.report(None, "nonesuch", "r")
+
+
+def test_lint_command(spark, tmp_path, capsys):
+    from auditloom import cli
+
+    files = {"page.html": "<html><head></head><body></body></html>", "map.xml": "<urlset></urlset>", "good.txt": "Sitemap: http://h.com/s\nDisallow: /x\nUser-agent: *\n", "robots.txt": "Disallow: /x\n"}
+    status = {}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+        status[name] = cli.main(["lint", str(tmp_path / name)], spark)
+    out = capsys.readouterr().out
+    assert status == {"page.html": 1, "map.xml": 1, "good.txt": 0, "robots.txt": 1}
+    assert "E09: has h1 (error)" in out and "C27: has locs (critical)" in out and "C23: has sitemap (critical)" in out
+    assert cli.main(["lint", "-f", "txt", str(tmp_path / "page.html")], spark) == 1
+
+
+def test_fetch_with_an_opener(spark):
+    from email.message import Message
+
+    from auditloom.sources.fetch import fetch_one
+
+    class Response:
+        def __init__(self, url, method):
+            self.url, self.status, self.reason, self.headers = url, 200, "OK", Message()
+            self.headers["content-type"] = "text/html; charset=latin-1"
+            self.body = "é".encode("latin-1") if method == "GET" else b""
+
+        def read(self):
+            return self.body
+
+    class Opener:
+        asked = []
+
+        def open(self, req, timeout):
+            self.asked.append((req.get_method(), req.full_url, req.get_header("User-agent"), timeout))
+            if "slow" in req.full_url:
+                raise TimeoutError
+            if "gone" in req.full_url:
+                raise OSError("refused")
+            return Response(req.full_url, req.get_method())
+
+    opener = Opener()
+    got = fetch_one("http://h.com/", "me", True, opener)
+    assert (got["content"], got["content_type"], got["encoding"], got["code"]) == ("é", "text/html", "iso-8859-1", 200) or got["encoding"] == "latin-1"
+    assert [x[:3] for x in opener.asked] == [("HEAD", "http://h.com/", "me"), ("GET", "http://h.com/", "me")] and opener.asked[0][3] == 16
+    assert fetch_one("http://h.com/", None, False, opener)["content"] == "" and len(opener.asked) == 3
+    assert fetch_one("http://slow.com/", None, True, opener)["reason"] == "Timeout 16" and fetch_one("http://gone.com/", None, True, opener)["code"] == 0
+
+
+def test_yaml_list(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "u.yaml").write_text("urls:\n- http://a.com/\n- http://b.com/\n")
+    assert [r.url for r in seeds.yaml_urls(spark, str(tmp_path / "u.yaml")).orderBy("pos").collect()] == ["http://a.com/", "http://b.com/"]
+    assert seeds.yaml_urls(spark, str(tmp_path / "u.yaml"), "none").count() == 0
