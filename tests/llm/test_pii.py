@@ -1,8 +1,11 @@
 import hashlib
+import itertools
 import random
 import re
 
-from auditloom.llm.pii import KINDS, base_spans, find, personal_data, redact, train
+import numpy as np
+
+from auditloom.llm.pii import BITS, KINDS, LABELS, Field, base_spans, features, find, personal_data, redact, skips, tokens, train
 
 from .helpers import key, odd_docs, odd_rows
 
@@ -48,3 +51,32 @@ def test_query_shape(spark):
     x = next(x for x in got if x.doc_id == 500)
     assert "[EMAIL]" in redact(dict(rows)[500], x.spans) and x.n_card == x.n_ip == x.n_phone == 1
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def enumerated(field, found, seen):
+    """Marginals by all labelings."""
+    n = len(found)
+    unary = [field.weights[features(core, before)].sum(0) for _, _, core, before, _ in found]
+    edges = [(i, i + 1, 0 if found[i + 1][4] == found[i][4] + 1 else 1) for i in range(n - 1)] + [(i, j, 2) for i, j in skips(found)]
+    out = np.zeros((n, LABELS))
+    for y in itertools.product(range(LABELS), repeat=n):
+        if any(s and s != k for s, k in zip(seen, y)):
+            continue
+        score = sum(u[k] for u, k, s in zip(unary, y, seen) if not s) + sum(field.edge[kind][y[i], y[j]] for i, j, kind in edges)
+        out[np.arange(n), y] += np.exp(score)
+    return out / out.sum(1, keepdims=True), len(edges)
+
+
+def test_marginals_by_messages_and_by_enumeration():
+    r = np.random.default_rng(3)
+    field = Field(r.normal(size=(1 << BITS, LABELS)), *(r.normal(size=(3, LABELS, LABELS))))
+    chain = tokens("a1 b22 and c333, d4 then e55")
+    want, edges = enumerated(field, chain, np.array([0, 0, 0, 0, 0]))
+    assert edges == 4 and np.allclose(field.marginals(chain, np.zeros(5, int), rounds=100), want, atol=1e-6)
+    seen = np.array([0, 3, 0, 0, 1])
+    assert np.allclose(field.marginals(chain, seen, rounds=100), enumerated(field, chain, seen)[0], atol=1e-6)
+    # with a skip edge the messages go in a loop, and are near
+    loop = tokens("call 5551234 or x1 else 5551234 now")
+    weak = Field(field.weights / 4, *(e / 4 for e in field.edge))
+    want, edges = enumerated(weak, loop, np.zeros(3, int))
+    assert edges == 3 and np.allclose(weak.marginals(loop, np.zeros(3, int), rounds=100), want, atol=0.05)
