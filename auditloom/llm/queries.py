@@ -74,7 +74,8 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.line_dedup import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    found = dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    return found.select("doc_id", "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
@@ -82,9 +83,20 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_sub
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: Only decontamination has a plain SQL form that is quick on whole tables; the tests hold the others
+_PIECE = "SELECT doc_id, {size} AS size, {key} AS k, i AS a, {end} AS z FROM w WHERE {where}"
+
+#: The others have no plain SQL form that is quick on whole tables; the tests hold them
 #: against brute force, exact round trips, recall or held-out accuracy.
 ORACLES: dict[str, str] = {
+    "op10_line_dedup": f"""WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line FROM split),
+solid AS (SELECT *, len(string_split_regex(s, '\\s+')) AS n FROM (SELECT doc_id, i, trim(replace(replace(line, chr(9), ' '), chr(13), ' '), ' ') AS s FROM lines) WHERE s <> ''),
+w AS (SELECT doc_id, i, s, n, lead(s) OVER d AS s1, lead(s, 2) OVER d AS s2, lead(n) OVER d AS n1, lead(i) OVER d AS i1, lead(i, 2) OVER d AS i2 FROM solid WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+windows AS ({' UNION ALL '.join(_PIECE.format(size=k, key=key, end=end, where=where) for k, key, end, where in ((1, 's', 'i', 'n >= 50'), (2, 's || chr(10) || s1', 'i1', 'n < 50 AND n1 < 50 AND n + n1 >= 50'), (3, 's || chr(10) || s1 || chr(10) || s2', 'i2', 's2 IS NOT NULL')))}),
+found AS (SELECT doc_id, a, z, first_value(doc_id) OVER f AS d0, first_value(z) OVER f AS z0 FROM windows WINDOW f AS (PARTITION BY size, k ORDER BY doc_id, a)),
+gone AS (SELECT DISTINCT s.doc_id, s.i FROM found f JOIN solid s ON s.doc_id = f.doc_id AND s.i BETWEEN f.a AND f.z WHERE f.doc_id <> d0 OR a > z0),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(g.i::VARCHAR, ',' ORDER BY g.i) AS removed FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.removed, '') AS removed FROM documents d LEFT JOIN kept k USING (doc_id)""",
     "op7_decontaminate": f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM sized)),
