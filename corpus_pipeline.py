@@ -2,6 +2,9 @@
 
 Each stage works on all that the stage before kept. All but the last return the columns of documents;
 ``n_chars`` follows the text where line dedup shortens it.
+
+Cases: null texts, empty ones and those without letters go in the first stage; a null doc_id is a document like others, first
+in rank; rows that repeat a document end as one, by near-dedup; further columns are carried along; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
 
-#: No stage but line dedup can be expressed in SQL; tests compare the whole with a brute-force version.
+#: Language ID, near-dedup and packing have no SQL form; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
