@@ -30,7 +30,7 @@ from auditloom.llm.common import ship, shared_dir
 HEADER = np.dtype([("magic", "S4"), ("width", "u1"), ("low", "u1"), ("pad", "<u2"), ("docs", "<u8"), ("ids", "<u8"), ("high", "<u8")])
 #: One select sample for so many boundaries.
 SAMPLE = 64
-SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_ids long, data binary"
+SEGMENT_SCHEMA = "part int, start long, n_docs long, n_ids long, data binary"
 
 
 def elias_fano(values: np.ndarray, universe: int) -> tuple[int, bytes, bytes, bytes]:
@@ -105,8 +105,8 @@ class Segment:
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 20, path: str | None = None) -> str:
     """Encode every document and write segments in ascending order of id_col; returns the folder.
 
-    The order is by range partition, then by segment within it. Memory in a worker is bounded by
-    segment_ids and the longest document.
+    The order is by range partition, then by segment within it; a segment holds its start within its partition. Rows of
+    one id are parted by the hash of their texts too. Memory in a worker is bounded by segment_ids and the longest document.
     """
     import uuid
 
@@ -120,12 +120,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
 
         enc = encoder(tokenizer)
         width = 2 if enc.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-        part, seq = TaskContext.get().partitionId(), 0
+        part, start = TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(4, "little")
         keys, lengths, parts, held = [], [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([write_segment(keys, lengths, b"".join(parts), width)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "start": pa.array([start], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([held], pa.int64()), "data": pa.array([write_segment(keys, lengths, b"".join(parts), width)], pa.binary())})
 
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -136,29 +136,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
                 held += lengths[-1]
                 if held >= segment_ids:
                     yield flush()
-                    seq += 1
+                    start += held
                     keys, lengths, parts, held = [], [], [], 0
         if keys:
             yield flush()
 
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    (plain.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text")).mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path))
+    order = ("_id", F.xxhash64("_text"))
+    plain.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path)
     return path
 
 
 def read_tokens(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each document of a folder of segments."""
+    """(start, data) of each segment of a folder, start counted over all of them. Segments stay where they are read.
+
+    The driver adds up the ids of the range partitions, a number for each.
+    """
     segs = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    # Starts from the sums of each range partition (a few rows) and of the segments within one.
-    sums = segs.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    earlier = sums.alias("a").join(F.broadcast(sums).alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    own = segs.select("part", "seq", "n_ids").join(earlier, "part")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = own.select(F.col("part").alias("_p"), F.col("seq").alias("_s"), (F.col("before") + F.coalesce(F.sum("n_ids").over(w), F.lit(0))).alias("start"))
-    placed = segs.join(starts, (F.col("part") == F.col("_p")) & (F.col("seq") == F.col("_s"))).select("start", "data")
-    return placed
+    sums = sorted((r["part"], r["n"]) for r in segs.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    before = np.cumsum([0] + [n for _, n in sums]).tolist()
+    starts = spark.createDataFrame([(part, at) for (part, _), at in zip(sums, before)], "_part int, _before long")
+    return segs.join(F.broadcast(starts), F.col("part") == F.col("_part")).select((F.col("start") + F.col("_before")).alias("start"), "data")
 
 
 def decode(placed: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A BPE tokenizer merges inside each pre-token only, so the ids of a text are the ids of its pre-tokens
 one after the other. Corpora repeat their words, so a worker keeps what the library returned for each
-pre-token and only asks it about new ones, up to ``memo`` pre-tokens of at most 64 characters (some 30 MB). Texts with characters outside a plain range, where this
+pre-token and only asks it about new ones. It holds two generations of up to ``memo`` pre-tokens of at most 64 characters
+(some 120 MB): when the younger is full it becomes the older, and what is met again comes over, so frequent ones stay. Texts with characters outside a plain range, where this
 module's split might differ from the library's, go to the library whole.
 """
 
@@ -18,9 +19,9 @@ LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Only for texts made of these characters is the split below known to be the library's.
 PLAIN = re.compile(rf"[\x20-\x7e\n\t{LETTER}]*")
-# The split patterns of the two known tokenizers, for the plain range.
-BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^ \n\t{LETTER}0-9]+|[ \n\t]+(?![^ \n\t])|[ \n\t]+"
-WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^ \n\t{LETTER}0-9]+"
+# The split patterns of the two known tokenizers, for the plain range; letters, of which most pieces are, are tried first.
+BYTE_LEVEL = rf" ?[{LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^ \n\t{LETTER}0-9]+|[ \n\t]+(?![^ \n\t])|[ \n\t]+"
+WORD_LEVEL = rf"[{LETTER}]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \n\t{LETTER}0-9]+"
 #: The pattern in the file of the word-level tokenizer, by which it is recognised.
 WORD_FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -28,7 +29,7 @@ WORD_FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder(dict):
     """pre-token -> its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -37,7 +38,7 @@ class Encoder(dict):
         conf.pop("model")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # a text is never control: special strings are ordinary text
-        self.limit = memo
+        self.limit, self.older = memo, {}
         pre = conf.get("pre_tokenizer") or {}
         kinds = [x.get("type") for x in (conf.get("normalizer") or {}).get("normalizers", [])]
         self.lower, self.split = False, None
@@ -47,10 +48,11 @@ class Encoder(dict):
             self.lower, self.split = True, re.compile(WORD_LEVEL).findall
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self.whole(piece)
+        out = self.older.get(piece) or self.whole(piece)
         if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
             self[piece] = out
         return out
 
