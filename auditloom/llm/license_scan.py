@@ -5,8 +5,8 @@ their longest increasing subsequence fixes the anchors that keep order, and the
 are aligned the same way, down to equal words at a gap's ends. Coverage is the share of the
 template's words that were aligned.
 
-Regions lie around the occurrences of a template's key words (its longest words, any of which a match
-must hold): as far to both sides as the template is long, and half as far again. A match of at least
+Regions lie around the occurrences of a template's key words (its longest words, so many that a match of enough
+coverage holds at least one of their places): as far to both sides as the template is long, and half as far again. A match of at least
 ``least`` coverage is reported and the scan goes on behind it, so a notice that stands twice is found twice; of
 matches that overlap, the one with more aligned words stays, then the one of higher coverage.
 
@@ -27,19 +27,51 @@ from auditloom.llm.common import ship
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-# Public license notices, (license, notice).
+# Public license notices and texts, (license, notice).
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", MIT_TEXT),
+    ("ISC", ISC_TEXT),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under Apache 2.0."),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache-2.0", APACHE_NOTICE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", GPL_NOTICE.format(name="General Public License", n=2)),
+    ("GPL-3.0", GPL_NOTICE.format(name="General Public License", n=3)),
+    ("LGPL-2.1", GPL_NOTICE.format(name="Lesser General Public License", n=2.1)),
+    ("LGPL-3.0", GPL_NOTICE.format(name="Lesser General Public License", n=3)),
+    ("AGPL-3.0", GPL_NOTICE.format(name="Affero General Public License", n=3)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", f"{BSD_HEAD}\n{BSD_TAIL}"),
+    ("BSD-3-Clause", f"{BSD_HEAD}\n{BSD_THIRD}\n{BSD_TAIL}"),
     ("reserved", "All rights reserved."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")),
 )
 
 
@@ -96,36 +128,49 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, license_: str, text: str):
-        self.license, self.words = license_, [w.lower() for w in WORD.findall(text)]
-        longest = sorted(set(self.words), key=lambda w: (-len(w), w))
-        self.keys = set(longest[: max(1, len(longest) // 3)])
-
+    """A notice's words, and its keys for matches that cover ``least`` of it."""
 
-def scan(text: str | None, templates: list[Template], least: float) -> list[tuple]:
+    def __init__(self, license_: str, text: str, least: float):
+        self.license, self.words = license_, [w.lower() for w in WORD.findall(text)]
+        self.places: dict[str, list[int]] = {}
+        for k, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(k)
+        self.enough = -int(-least * len(self.words) // 1)
+        # a match may lack this many places, so keys that have more can't all be missing
+        spare = len(self.words) - self.enough
+        self.keys: set[str] = set()
+        for w in sorted(self.places, key=lambda w: (-len(w), w)):
+            self.keys.add(w)
+            spare -= len(self.places[w])
+            if spare < 0:
+                break
+
+    def near(self, pairs: list[tuple[int, int]], key: str, at: int) -> list[tuple[int, int]]:
+        """The pairs that stand about where the key's place in the notice puts them; words aligned far from there are chance."""
+        slack = max(3, len(self.words) // 4)
+        return max(([p for p in pairs if abs(p[1] - at - p[0] + place) <= slack] for place in self.places[key]), key=len)
+
+
+def scan(text: str | None, templates: list[Template]) -> list[tuple]:
     """(license, start, end, coverage, aligned words) of each match of a whole text, in order."""
     if not text:
         return []
-    low = text.lower()
-    live = [t for t in templates if any(k in low for k in t.keys)]
-    if not live:
-        return []
     places = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
     words = [w for _, _, w in places]
+    present = set(words)
     found = []
-    for t in live:
+    for t in templates:
+        if t.keys.isdisjoint(present) or sum(w in present for w in t.words) < t.enough:
+            continue
         n, done = len(t.words), 0
-        need = set(t.words)
         for k, w in enumerate(words):
             if w not in t.keys or k < done:
                 continue
             a, z = max(done, k - n - n // 2), min(len(words), k + n + n // 2 + 1)
-            if sum(x in need for x in words[a:z]) < least * n:
+            if sum(x in t.places for x in words[a:z]) < t.enough:
                 continue
-            pairs = align(t.words, words[a:z])
-            # words aligned far from the rest are chance: keep the stretch around the key
-            pairs = [p for p in pairs if abs((p[1] + a) - k - (p[0] - t.words.index(w))) <= max(3, n // 4)]
-            if pairs and len(pairs) >= least * n:
+            pairs = t.near(align(t.words, words[a:z]), w, k - a)
+            if pairs and len(pairs) >= t.enough:
                 first, last = a + pairs[0][1], a + pairs[-1][1]
                 found.append((len(pairs), len(pairs) / n, -places[first][0], t.license, places[last][1]))
                 done = last + 1
@@ -142,9 +187,9 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, least: float = 0.8, id_c
     texts = tuple(templates)
 
     def rows(batches):
-        held = [Template(*t) for t in texts]
+        held = [Template(*t, least) for t in texts]
         for b in batches:
-            out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for m in scan(t.as_py(), held, least)]
+            out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for m in scan(t.as_py(), held)]
             cols = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "license", "start", "end", "coverage", "n_words"])
