@@ -13,9 +13,10 @@ Codebooks are fitted on a sample of at most ``train_rows`` rows, drawn by a hash
 vector is coded and indexed. Queries are broadcast in passes of at most ``pass_rows`` rows, each against all
 rows in blocks; index blocks are cut by a row count, so no task holds more than one block.
 
-Cases: vectors that are null, zero, or hold null or non-finite components, and those whose length is
-not the most usual one, take no part; a null id takes no part; rows that repeat an id are one
-candidate each; fewer candidates than asked for are all returned; an empty table gives no rows.
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, and neither does a null id; vectors
+of different lengths are no candidates of each other, so each length is searched on its own; where rows repeat an id with
+other vectors, a pair of ids stands once, at its best score; fewer candidates than asked for are all returned; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,13 +98,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, w
     """
     spark = vectors.sparkSession
     ship(spark)
-    kinds = "query_id long, vec_id long, score double"
     good = usable(vectors, id_col, vec_col)
-    usual = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if usual is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = int(usual["d"]), int(usual["count"])
-    good = good.where(F.size("vec") == dim)
+    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    for r in good.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect():  # a row for each length
+        if r["count"] > 1:
+            out = out.unionByName(_search(good.where(F.size("vec") == r["d"]), r["d"], r["count"], every, k, books, words, beam, rerank, train_rows, pass_rows, block_rows, distance))
+    return _top(out, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(good: DataFrame, dim: int, total: int, every: int, k: int, books: int, words: int, beam: int, rerank: int, train_rows: int, pass_rows: int, block_rows: int, distance: bool) -> DataFrame:
+    """(query_id, vec_id, score) of vectors of one length, more than the best k."""
+    spark = good.sparkSession
+    kinds = "query_id long, vec_id long, score double"
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, 1.2 * train_rows / total) * (1 << 40))
     taken = good.where(draw).orderBy(F.xxhash64("id")).limit(train_rows).select("vec").toArrow()
     x = matrix(taken.column("vec").combine_chunks(), dim) if taken.num_rows else np.ones((1, dim))
@@ -134,22 +140,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, w
         def search(batches):
             q_ids, q = batch.value
             held = model.value
-            tables = np.einsum("qd,mkd->mkq", q.astype(np.float32), held)  # look-up tables: codebook x word x query
             for ids, codes, norms, v in _blocks(batches, block_rows, books, dim):
                 for a in range(0, len(q), 1024):
-                    yield _best(q_ids[a : a + 1024], q[a : a + 1024], np.ascontiguousarray(tables[:, :, a : a + 1024]), ids, codes, norms if distance else None, v, k, rerank)
+                    mine = q[a : a + 1024]
+                    tables = np.einsum("qd,mkd->mkq", mine.astype(np.float32), held)  # look-up tables: codebook x word x query
+                    yield _best(q_ids[a : a + 1024], mine, tables, ids, codes, norms if distance else None, v, k, rerank)
 
         part = index.mapInArrow(search, kinds)
-        part = stash(_top(part, k), "aq-found") if passes > 1 else _top(part, k)
+        part = stash(_top(part, k).select("query_id", "vec_id", "score"), "aq-found") if passes > 1 else part
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return out
+    return spark.createDataFrame([], kinds) if out is None else out
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def _blocks(batches, rows: int, books: int, dim: int):
@@ -191,11 +197,16 @@ def _best(q_ids, q, tables, ids, codes, norms, v, k: int, rerank: int) -> pa.Rec
     for i in range(len(q)):
         at = short[i][np.isfinite(score[i, short[i]])]
         exact = v[at] @ q[i] if norms is None else -np.square(v[at] - q[i]).sum(1)
-        rows = np.lexsort((np.where(least[at] == q_ids[i], second[at], least[at]), -exact))[:k]
-        others = [ids[j][ids[j] != q_ids[i]][:k] for j in at[rows]]
-        named = np.concatenate([*others, np.empty(0, np.int64)]).astype(np.int64)
-        scores = np.repeat(exact[rows], [len(x) for x in others])
-        own = np.lexsort((named, -scores))[:k]
+        order = np.lexsort((np.where(least[at] == q_ids[i], second[at], least[at]), -exact))
+        for most in (k, len(order)):  # all of the shortlist only where ids repeat
+            rows = order[:most]
+            others = [ids[j][ids[j] != q_ids[i]][:k] for j in at[rows]]
+            named = np.concatenate([*others, np.empty(0, np.int64)]).astype(np.int64)
+            scores = np.repeat(exact[rows], [len(x) for x in others])
+            own = np.lexsort((named, -scores))
+            own = own[np.sort(np.unique(named[own], return_index=True)[1])][:k]
+            if len(own) == k:
+                break
         out_q.append(np.full(len(own), q_ids[i]))
         out_v.append(named[own])
         out_s.append(scores[own])
