@@ -219,13 +219,14 @@ class Labeller(dict):
         first = np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))
         new |= (np.arange(len(flat)) - first) % CHAIN == 0
         at = np.flatnonzero(new)
-        p = marginals(self.table[flat, :-1].astype(np.float64), np.diff(np.append(at, len(flat))), self.model.trans, self.model.start)
+        drawn = self.table[flat]
+        p = marginals(drawn[:, :-1].astype(np.float64), np.diff(np.append(at, len(flat))), self.model.trans, self.model.start)
         n = np.bincount(doc, minlength=len(texts))
         mean = np.stack([np.bincount(doc, p[:, y], len(texts)) for y in range(p.shape[1])], 1) / np.maximum(n, 1)[:, None]
         some = n > 0
         best[some] = mean[some].argmax(1)
         score[some] = np.clip(mean[some].max(1), 0, 1)
-        known[some] = np.bincount(doc, self.table[flat, -1], len(texts))[some] / n[some]
+        known[some] = np.bincount(doc, drawn[:, -1], len(texts))[some] / n[some]
         return best, score, known
 
 
@@ -250,11 +251,13 @@ def sample(docs: DataFrame, sample_docs: int, sample_chars: int, id_col: str, te
         if docs_ < sample_docs and (not docs_ or chars + r["n"] <= sample_chars) and r["n"] <= sample_chars:
             held[r["_lang"]] = (docs_ + 1, chars + r["n"])
             picked.append(r["_id"])
+    long = sorted(set(counts) - set(held))  # languages of longer texts only: each one's shortest, as far as the bound goes
+    extra = [(r[0], r[1]) for r in labelled.where(F.col("_lang").isin(long)).groupBy("_lang").agg(F.min_by(F.substring("_text", 1, sample_chars), F.struct(F.length("_text"), "_id"))).collect()] if long else []
     wanted = docs.sparkSession.createDataFrame([(x,) for x in picked], "_want long") if picked else None
     if wanted is None:
-        return []
+        return sorted(extra)
     rows = drawn.join(F.broadcast(wanted), F.col("_id") == F.col("_want")).select("_id", "_lang", "_text").distinct().collect()
-    return [(r["_lang"], r["_text"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_lang"], r["_text"]))]
+    return [(r["_lang"], r["_text"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_lang"], r["_text"]))] + sorted(extra)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 250, sample_chars: int = 200_000, extra: tuple[str, ...] = ()) -> DataFrame:

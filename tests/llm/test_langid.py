@@ -86,3 +86,10 @@ def test_few_words_held_at_once():
     for t in texts:
         assert [x.tolist() for x in small.label([t])] == [x.tolist() for x in large.label([t])]
     assert len(small) < len(large)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    r = random.Random(7)
+    data = [(4 * k, text(r, "aa", 40), "aa") for k in range(30)] + [(4 * k + 1, text(r, "bb", 900), "bb") for k in range(8)]
+    got = identify(frame(spark, data), sample_chars=3000).collect()
+    assert all(len(t) > 3000 for _, t, x in data if x == "bb") and {x.lang_pred for x in got if x.doc_id % 4 == 1} == {"bb"}
