@@ -2,7 +2,8 @@
 
 A document's ids (with its end id) are cut at multiples of the sequence length; whole cuts are
 sequences of their own. What remains of each document is one item. Items of a group (by a hash of the
-document, so that no key can gather a group) are packed first-fit decreasing: the tree holds each
+document's id and ids, which no order of rows changes; rows that repeat a document within a task are told apart by their
+count, so that they are spread over groups) are packed first-fit decreasing: the tree holds each
 bin's free room, its inner nodes the most room below, and the descent to the left finds the first bin
 that fits. Bins left with more than ``max_pad`` free slots are dissolved: their items are cut into
 lengths of powers of two, which fill whole sequences and at the end sequences of power-of-two lengths,
@@ -15,6 +16,7 @@ they occur; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +114,7 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, groups: int, room: int
 
         from auditloom.llm.tokens import encoder
 
-        enc, end, k = encoder(tokenizer), int(end_id).to_bytes(4, "little"), 0
+        enc, end, met = encoder(tokenizer), int(end_id).to_bytes(4, "little"), Counter()
         part = TaskContext.get().partitionId()
         for b in batches:
             cols: dict[str, list] = {"doc_id": [], "n": [], "whole": [], "rest": [], "bits": [], "grp": []}
@@ -129,8 +131,10 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, groups: int, room: int
                     bits.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
                     at += size
                 cols["bits"].append(bits)
-                k += 1
-                cols["grp"].append(zlib.crc32(b"%d/%d/%d" % (part, k, n)) % groups)
+                name = f"{key}/{n}/{zlib.crc32(ids)}"
+                met[again := hash(name)] += 1
+                copy = f"/{part}/{met[again]}" if met[again] > 1 else ""
+                cols["grp"].append(zlib.crc32(f"{name}{copy}".encode()) % groups)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(cols["doc_id"], pa.int64()), "n": pa.array(cols["n"], pa.int64()), "whole": pa.array(cols["whole"], pa.list_(pa.int64())), "rest": pa.array(cols["rest"], pa.int64()), "bits": pa.array(cols["bits"], pa.list_(pa.int64())), "grp": pa.array(cols["grp"], pa.int32())})
 
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
