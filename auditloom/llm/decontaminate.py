@@ -2,10 +2,10 @@
 
 A task reads its documents in shards of bounded size. A shard's words become numbers (the benchmark's
 vocabulary; any other word ends every suffix, as no benchmark text can match across it), and the
-positions of known words are sorted into a suffix array. Every suffix of every benchmark item is then
-binary-searched in it: its neighbours give its longest verbatim match and where it stands, and the
-range of suffixes that begin with a window gives all occurrences of that window. Documents are never
-shuffled, and a shard's answer is complete for its documents.
+positions of known words are sorted into a suffix array. Every suffix of every benchmark item that is long enough to
+begin a window is then binary-searched in it: the range of suffixes that begin with its window gives all occurrences of that
+window, and each is extended as far as document and item agree, which gives the longest verbatim match of each document, its
+item and its place. Documents are never shuffled, and a shard's answer is complete for its documents.
 
 The benchmark is broadcast in blocks of at most ``block_words`` words. A larger one is searched block
 by block, each in its own pass; a document's hits of all passes are then united by word position.
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import ship, stash
+from auditloom.llm.hashing import ranges_hashed
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of the suffixes that one sort key holds.
@@ -54,17 +55,24 @@ class Benchmark:
         self.lookup = Numbers(self.numbers)
         gap = np.zeros(1, np.int64)
         self.flat = np.concatenate([np.concatenate([t, gap]) for t in texts] + [gap])
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        self.windows: dict[bytes, tuple[int, int, set[int]]] = {}  # words -> (place in flat, length, items)
-        for k, t in enumerate(texts):
-            size = min(window, len(t))
-            for s in range(len(t) - size + 1 if size else 0):
-                self.windows.setdefault(t[s : s + size].tobytes(), (int(starts[k]) + s, size, set()))[2].add(k)
-        self.starts, self.lengths = starts[:-1], np.array([len(t) for t in texts], np.int64)
-        found = list(self.windows.values())
-        self.at = np.array([a for a, _, _ in found], np.int64)
-        self.size = np.array([n for _, n, _ in found], np.int64)
-        self.items = [sorted(x) for _, _, x in found]
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
+        sizes = np.minimum(window, self.lengths)
+        count = np.where(sizes > 0, self.lengths - sizes + 1, 0)
+        item = np.repeat(np.arange(len(texts)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.starts[item]
+        size = sizes[item]
+        # places by window: equal ones stand together
+        name = ranges_hashed(self.flat.astype(np.uint64), at, at + size)
+        order = np.lexsort((at, name))
+        new = np.ones(len(order), bool)
+        new[1:] = name[order][1:] != name[order][:-1]
+        #: every place of a window in flat and its item, by window; at and size: of each window one place and its length
+        self.places, self.owners = at[order], item[order]
+        self.first = np.append(np.flatnonzero(new), len(order))
+        self.at, self.size = self.places[self.first[:-1]], size[order][self.first[:-1]]
+        if compare(self.flat, self.places, self.flat, np.repeat(self.at, np.diff(self.first)), size[order]).any():
+            raise ValueError("two windows have one hash")
 
 
 def suffix_array(flat: np.ndarray, words: int, least: int = 1) -> np.ndarray:
@@ -172,42 +180,40 @@ class Shard:
         first = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         return self.sa[first + np.arange(len(which))], which
 
-    def longest(self) -> list[tuple[int, int, int, int]]:
-        """(item, word of the item, words, place) of each item's longest verbatim match in this shard, of indexed length."""
-        b, out = self.bench, []
-        for k, (start, n) in enumerate(zip(b.starts.tolist(), b.lengths.tolist())):
-            best = (0, 0, -1)
-            if n and len(self.sa):
-                q_at = start + np.arange(n)
-                at = search(self.flat, self.sa, b.flat, q_at, n - np.arange(n), False)
-                for side in (np.minimum(at, len(self.sa) - 1), np.maximum(at - 1, 0)):
-                    place, run, live = self.sa[side], np.zeros(n, np.int64), np.arange(n)
-                    for j in range(n):
-                        live = live[(live + j < n) & (place[live] + j < len(self.flat))]
-                        live = live[self.flat[place[live] + j] == b.flat[q_at[live] + j]]
-                        if not len(live):
-                            break
-                        run[live] = j + 1
-                    i = int(run.argmax())
-                    if run[i] > best[0]:
-                        best = (int(run[i]), i, int(place[i]))
-            out.append((k, best[1], best[0], best[2]))
-        return out
-
-    def hits(self) -> tuple[np.ndarray, list[list]]:
-        """For each document: its hit words as a flat mask over the shard, and the numbers of its items."""
+    def hits(self) -> tuple[np.ndarray, list[list], np.ndarray]:
+        """Which words of the shard are hit, and of each document the numbers of its items and its longest match.
+
+        A longest match is (words, item, first word in the document); of equals the first in the document, then the first item.
+        """
+        b = self.bench
         at, which = self.occurrences()
         edge = np.zeros(len(self.flat) + 1, np.int64)
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + self.bench.size[which], -1)
+        np.add.at(edge, at + b.size[which], -1)
         mask = np.cumsum(edge)[:-1] > 0
-        doc = np.searchsorted(self.starts, at, side="right") - 1
         items: list[list] = [[] for _ in self.starts]
-        if len(at):
-            pairs = np.unique(np.stack([doc, which], 1), axis=0)
-            for d, w in pairs.tolist():
-                items[d] += self.bench.items[w]
-        return mask, items
+        longest = np.zeros((len(self.starts), 3), np.int64)
+        if not len(at):
+            return mask, items, longest
+        # every place of the window that stands at an occurrence
+        n = np.diff(b.first)[which]
+        here, there = np.repeat(at, n), b.places[np.repeat(b.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        owner = b.owners[np.repeat(b.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        doc = np.searchsorted(self.starts, here, side="right") - 1
+        for d, k in np.unique(np.stack([doc, owner], 1), axis=0).tolist():
+            items[d].append(k)
+        # a match is extended from where the words before it differ
+        head = (here == 0) | (there == 0) | (self.flat[here - 1] != b.flat[there - 1]) | (self.flat[here - 1] == 0)
+        here, there, owner, doc = here[head], there[head], owner[head], doc[head]
+        run, live = np.zeros(len(here), np.int64), np.arange(len(here))
+        while len(live):
+            x = self.flat[here[live] + run[live]]
+            live = live[(x == b.flat[there[live] + run[live]]) & (x != 0)]
+            run[live] += 1
+        best = np.lexsort((owner, here, -run, doc))
+        best = best[np.unique(doc[best], return_index=True)[1]]
+        longest[doc[best]] = np.stack([run[best], owner[best], here[best] - self.starts[doc[best]]], 1)
+        return mask, items, longest
 
 
 def spans(mask: np.ndarray) -> list[list[int]]:
@@ -229,12 +235,16 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
     yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, text_hash, n_words, n_hit, items, spans) per row: items sorted as strings, spans of hit words [first, end)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 1_000_000, shard_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, text_hash, n_words, n_hit, items, spans, longest, longest_item, longest_at) per row.
+
+    items: sorted as strings; spans: of hit words, [first, end); longest: the words of the document's longest verbatim match
+    of a window or more, with its item and first word (0, null and null where there is none).
+    """
     spark = docs.sparkSession
     ship(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
-    schema = "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, spans array<array<int>>"
+    schema = "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, spans array<array<int>>, longest long, longest_item string, longest_at long"
 
     def one_pass(items):
         held = spark.sparkContext.broadcast(items)
@@ -247,12 +257,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
                 cut = np.cumsum(sizes) // shard_bytes
                 for _, part in _runs(cut):
                     shard = Shard([t.as_py() for t in texts[part.start : part.stop]], bench)
-                    mask, found = shard.hits()
+                    mask, found, longest = shard.hits()
+                    none = longest[:, 0] == 0
                     out = [mask[a : a + n] for a, n in zip(shard.starts, shard.n_words)]
                     names = [sorted({bench.names[k] for k in f if bench.names[k] is not None}) for f in found]
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": pa.array(ids[part.start : part.stop], pa.int64()), "text_hash": pa.array(hashes[part.start : part.stop], pa.int64()), "n_words": pa.array(shard.n_words), "n_hit": pa.array([int(m.sum()) for m in out], pa.int64()),
                         "items": pa.array(names, pa.list_(pa.string())), "spans": pa.array([spans(m) if m.any() else [] for m in out], pa.list_(pa.list_(pa.int32()))),
+                        "longest": pa.array(longest[:, 0]), "longest_item": pa.array([None if x else bench.names[k] for x, k in zip(none.tolist(), longest[:, 1].tolist())], pa.string()), "longest_at": pa.array(longest[:, 2], mask=none),
                     })
 
         return plain.mapInArrow(rows, schema)
@@ -267,8 +279,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     for p in parts[1:]:
         every = every.unionByName(p)
     words = F.flatten(F.transform("spans", lambda s: F.sequence(s[0], s[1] - 1)))
-    whole = every.distinct().groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("hit"))
-    united = whole.select("doc_id", "text_hash", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", F.transform("hit", lambda w: F.array(w, w + 1)).alias("spans"))
+    whole = every.distinct().groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("hit"), F.min(F.struct((-F.col("longest")).alias("n"), "longest_at", "longest_item")).alias("m"))
+    united = whole.select("doc_id", "text_hash", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", F.transform("hit", lambda w: F.array(w, w + 1)).alias("spans"), (-F.col("m.n")).alias("longest"), F.col("m.longest_item").alias("longest_item"), F.col("m.longest_at").alias("longest_at"))
     back = plain.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     return back.join(united, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash"))).select(united.columns)
 

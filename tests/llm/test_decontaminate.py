@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from auditloom.llm.decontaminate import Benchmark, Shard, clean_documents, contaminated, contamination, words_of
+from auditloom.llm.decontaminate import clean_documents, contaminated, contamination, words_of
 
 from .helpers import key, odd_docs, odd_rows, words
 
@@ -56,17 +56,37 @@ def test_matches_brute_force(spark, block_words):
     assert kept.columns == docs.columns and kept.count() == len(rows) - len(bad) > 0 and bad
 
 
-def test_longest_matches():
-    r = random.Random(3)
-    bench = Benchmark([("a", words(r, 40)), ("b", "zebra quagga"), ("c", None)], 13)
-    text = words(r, 50) + " " + " ".join(bench_words(bench, 0)[5:25]) + " zzz"
-    (_, at, n, place), (_, _, none, _), _ = Shard([words(r, 30), text], bench, least=1).longest()
-    assert n >= 20 and none == 0 and place >= 0 and at <= 5
+def brute_longest(text, bench, window=13):
+    """Words, item and place of the longest match that holds a window."""
+    w, best = split(text), (0, None, None)
+    for name, item in bench:
+        b = split(item)
+        for i in range(len(w)):
+            for s in range(len(b)):
+                n = 0
+                while i + n < len(w) and s + n < len(b) and w[i + n] == b[s + n]:
+                    n += 1
+                if n >= min(window, len(b)) and (n > best[0] or (n == best[0] and i < best[2])):
+                    best = (n, name, i)
+    return best
 
 
-def bench_words(bench, k):
-    names = {v: w.decode() for w, v in bench.numbers.items()}
-    return [names[int(x)] for x in bench.flat[bench.starts[k] : bench.starts[k] + bench.lengths[k]]]
+@pytest.mark.parametrize("block_words", [10**6, 40])
+def test_longest_matches(spark, block_words):
+    rows, bench, table = tables(spark, 5)
+    bench = [(k, t) for k, t in bench if k is not None and k != 10]
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    r = random.Random(3)
+    for k in range(6):
+        b = bench[k][1].split()
+        rows.append((200 + k, words(r, 20) + " zzz " + " ".join(b[k : k + 14 + k]) + " zzz " + " ".join(b[: 13 + 2 * (k % 2)])))
+    got = contamination(odd_docs(spark, rows), table, block_words=block_words).collect()
+    want = [(d, *brute_longest(t, bench)) for d, t in rows]
+    assert sum(x[1] > 13 for x in want) > 8
+    # of equal matches at one place either item may be named
+    assert sorted(((x.doc_id, x.longest, x.longest_at) for x in got), key=key) == sorted(((d, n, at) for d, n, _, at in want), key=key)
+    held = {(x.doc_id, x.longest_at): x.longest_item for x in got}
+    assert sum(held[d, at] == (None if name is None else str(name)) for d, _, name, at in want) >= len(want) - 2
 
 
 def test_empty(spark):
