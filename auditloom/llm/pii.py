@@ -71,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     if "@" in text:
         out += [(a, 0, z) for a, z in emails(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         d = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(d) <= 19 and luhn(d):

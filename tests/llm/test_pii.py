@@ -13,7 +13,7 @@ from .helpers import key, odd_docs, odd_rows
 def brute(t):
     t = t or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p.lstrip("0")[:4] or "0") <= 255 for p in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         d = re.sub("[^0-9]", "", m.group())
         if 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
@@ -28,6 +28,9 @@ def test_patterns():
         t = "".join(r.choice("ab1234567890..@@+-% ()é1") for _ in range(r.randint(0, 40)))
         assert base_spans(t) == brute(t)
     assert base_spans("9" * 50000) == brute("9" * 50000)
+    for t in ("0" * 5000 + ".1.1.1", "1." + "0" * 4301 + ".1.1", "1.2." + "0" * 9000 + "255.4", "1.2.3." + "0" * 9000 + "256"):
+        assert base_spans(t) == brute(t) and find(t, None)[0] == brute(t)
+    assert [k for _, k, _ in base_spans("0" * 5000 + ".1.1.1")] == [1]
 
 
 def test_repeated_number_is_found_without_its_code():
