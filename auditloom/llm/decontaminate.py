@@ -4,8 +4,9 @@ A task reads its documents in shards of bounded size. A shard's words become num
 vocabulary; any other word ends every suffix, as no benchmark text can match across it), and the
 positions of known words are sorted into a suffix array. Every suffix of every benchmark item that is long enough to
 begin a window is then binary-searched in it: the range of suffixes that begin with its window gives all occurrences of that
-window, and each is extended as far as document and item agree, which gives the longest verbatim match of each document, its
-item and its place. Documents are never shuffled, and a shard's answer is complete for its documents.
+window. The longest verbatim match of each occurrence is the longest prefix it shares with its neighbours among the sorted
+suffixes of the benchmark, so it costs one value a position, however often the benchmark repeats its words; a document's longest
+is told with its item and place. Documents are never shuffled, and a shard's answer is complete for its documents.
 
 The benchmark is broadcast in blocks of at most ``block_words`` words. A larger one is searched block
 by block, each in its own pass; a document's hits of all passes are then united by word position.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import ship, stash
-from auditloom.llm.hashing import ranges_hashed
+from auditloom.llm.hashing import powers, ranges_hashed
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of the suffixes that one sort key holds.
@@ -67,63 +68,145 @@ class Benchmark:
         order = np.lexsort((at, name))
         new = np.ones(len(order), bool)
         new[1:] = name[order][1:] != name[order][:-1]
-        #: every place of a window in flat and its item, by window; at and size: of each window one place and its length
-        self.places, self.owners = at[order], item[order]
-        self.first = np.append(np.flatnonzero(new), len(order))
-        self.at, self.size = self.places[self.first[:-1]], size[order][self.first[:-1]]
-        if compare(self.flat, self.places, self.flat, np.repeat(self.at, np.diff(self.first)), size[order]).any():
+        places, first = at[order], np.append(np.flatnonzero(new), len(order))
+        #: of each window one place in flat and its length
+        self.at, self.size = places[first[:-1]], size[order][first[:-1]]
+        if compare(self.flat, places, self.flat, np.repeat(self.at, np.diff(first)), size[order]).any():
             raise ValueError("two windows have one hash")
+        # the items of each window, each once
+        which = np.repeat(np.arange(len(self.at)), np.diff(first))
+        pairs = np.unique(np.stack([which, item[order]], 1), axis=0)
+        self.owners = pairs[:, 1]
+        self.owned = np.searchsorted(pairs[:, 0], np.arange(len(self.at) + 1))
+        # the suffixes that a longer match can go on in, and of each whole window where they stand
+        self.window = window
+        self.sa = suffix_array(self.flat, len(self.numbers), window)
+        self.item_at = np.repeat(np.arange(len(texts)), self.lengths + 1)
+        self.prefixes = Prefixes(self.flat)
+        self.low, self.high = (np.where(self.size == window, search(self.flat, self.sa, self.flat, self.at, self.size, right), 0) for right in (False, True))
+
+    def longest(self, text: Prefixes, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each occurrence, the words of its longest match, and the range of suffixes that have so many.
+
+        The suffixes with one's longest common prefix stand where it would: one search in those that share the window.
+        """
+        low, high = self.low[which], self.high[which]
+        run, a, z = self.size[which].copy(), low.copy(), high.copy()
+        some = np.flatnonzero(high > low)
+        x, lo, hi = at[some], low[some], high[some]
+        first, last = lo.copy(), hi.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            n = common(text, x[open_], self.prefixes, self.sa[mid])
+            up = text.flat[x[open_] + n] > self.flat[self.sa[mid] + n]
+            lo[open_[up]], hi[open_[~up]] = mid[up] + 1, mid[~up]
+        best = np.zeros(len(x), np.int64)
+        for there, off in ((lo > first, -1), (lo < last, 0)):
+            k = np.flatnonzero(there)
+            best[k] = np.maximum(best[k], common(text, x[k], self.prefixes, self.sa[lo[k] + off]))
+        run[some] = best
+        for right in (False, True):
+            lo, hi = first.copy(), last.copy()
+            while (open_ := np.flatnonzero(lo < hi)).size:
+                mid = (lo[open_] + hi[open_]) // 2
+                n = np.minimum(common(text, x[open_], self.prefixes, self.sa[mid]), best[open_])
+                whole = n == best[open_]
+                more = text.flat[x[open_] + np.where(whole, 0, n)] > self.flat[self.sa[mid] + np.where(whole, 0, n)]
+                up = more | whole if right else more
+                lo[open_[up]], hi[open_[~up]] = mid[up] + 1, mid[~up]
+            (z if right else a)[some] = lo
+        return run, a, z
+
+    def first_owner(self, which: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The first item of each range of suffixes, or of the window where the range is empty."""
+        out = self.owners[self.owned[which]] if len(which) else which
+        some = np.flatnonzero(z > a)
+        if len(some):
+            ranges, back = np.unique(np.stack([a[some], z[some]], 1), axis=0, return_inverse=True)
+            out[some] = np.array([self.item_at[self.sa[x:y]].min() for x, y in ranges.tolist()])[back.ravel()]
+        return out
 
 
 def suffix_array(flat: np.ndarray, words: int, least: int = 1) -> np.ndarray:
     """Positions of flat sorted by the words that follow up to the next 0. flat ends in 0s.
 
-    Suffixes of fewer than ``least`` words before that 0 are left out: no window can begin there.
+    The first key holds ``STEP`` words; then what is tied is sorted by the rank of what follows, over twice as many words each
+    time, so repeated words cost a logarithm of their number. Suffixes of fewer than ``least`` words are left out: no window can
+    begin there. Equal suffixes stand in any order.
     """
     base = words + 1
     step = STEP if base < 1 << 15 else 3 if base < 1 << 20 else 2
     padded = np.concatenate([flat, np.zeros(step, np.int64)])
-    ends = np.flatnonzero(padded == 0)
-    from_ = np.concatenate([[0], ends[:-1] + 1])
-    long = ends - from_ >= least
-    count = (ends - from_ - least + 1)[long]
-    stop = np.repeat(ends[long], count)  # where each suffix ends
-    order = np.repeat(from_[long] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(len(stop)) if len(count) else np.zeros(0, np.int64)
-
-    def keys(at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        k = np.zeros(len(at), np.int64)
-        for j in range(step):
-            k *= base
-            k += np.where(at + j < end, padded[np.minimum(at + j, len(padded) - 1)], 0)
-        return k
-
-    k = keys(order, stop)
+    at = np.flatnonzero(padded[: len(flat)])
+    if not len(at):
+        return at
+    stop = np.flatnonzero(padded == 0)
+    stop = stop[np.searchsorted(stop, at)]  # where each suffix ends
+    k, open_ = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for j in range(step):
+        open_ &= at + j < stop
+        k = k * base + np.where(open_, padded[at + j], 0)
     by = np.argsort(k, kind="stable")
-    order, stop, k = order[by], stop[by], k[by]
-    # only runs of equal keys that go on need more words
+    order, stop, k = at[by], stop[by], k[by]
     new = np.ones(len(order), bool)
     new[1:] = k[1:] != k[:-1]
-    group = np.cumsum(new)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    rank = np.full(len(flat) + 1, -1, np.int64)  # of the suffix at each position: the place of its group
+    rank[order] = first
     depth = step
     while True:
         tied = np.zeros(len(order), bool)
-        tied[1:] = group[1:] == group[:-1]
+        tied[1:] = first[1:] == first[:-1]
         tied[:-1] |= tied[1:]
-        tied &= order + depth < stop + 1
+        # those that have ended are equal to their fellows and stand before those that go on
         go = np.flatnonzero(tied)
-        # suffixes that ended are equal to their fellows and stand before those that go on
         if not len(go) or not (order[go] + depth < stop[go]).any():
-            return order
-        k = keys(order[go] + depth, stop[go])
-        by = np.lexsort((k, group[go]))
-        o, s, k, g = order[go][by], stop[go][by], k[by], group[go]
+            break
+        o, s, g = order[go], stop[go], first[go]
+        k = np.where(o + depth < s, rank[np.minimum(o + depth, len(flat))], -1)
+        by = np.lexsort((k, g))
+        o, s, g, k = o[by], s[by], g[by], k[by]
         order[go], stop[go] = o, s
-        fresh = np.zeros(len(go), bool)
-        fresh[1:] = (k[1:] != k[:-1]) & (g[1:] == g[:-1])
-        bump = np.zeros(len(order), np.int64)
-        bump[go[fresh]] = 1
-        group = group + np.cumsum(bump)
-        depth += step
+        fresh = np.ones(len(go), bool)
+        fresh[1:] = (k[1:] != k[:-1]) | (g[1:] != g[:-1])
+        first[go] = np.maximum.accumulate(np.where(fresh, go, 0))
+        rank[o] = first[go]
+        depth *= 2
+    return order[stop - order >= least]
+
+
+class Prefixes:
+    """Hashes of ranges of word numbers, read off prefix sums, and by them common prefixes."""
+
+    def __init__(self, flat: np.ndarray):
+        x = np.append(flat, 0).astype(np.uint64)
+        power, self.back = powers(len(x))
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(x) * power)])
+        self.flat = flat
+        ends = np.flatnonzero(np.append(flat, 0) == 0)
+        self.left = ends[np.searchsorted(ends, np.arange(len(x)))] - np.arange(len(x))  # words up to the next 0
+
+    def hashed(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[a + n] - self.sums[a]) * self.back[a]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (x + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ h >> np.uint64(33)
+
+
+def common(x: Prefixes, at: np.ndarray, y: Prefixes, to: np.ndarray) -> np.ndarray:
+    """Words that the suffixes x[at] and y[to] have in common, by halving."""
+    low, high = np.zeros(len(at), np.int64), np.minimum(x.left[at], y.left[to])
+    while (open_ := np.flatnonzero(low < high)).size:
+        mid = (low[open_] + high[open_] + 1) // 2
+        same = x.hashed(at[open_], mid) == y.hashed(to[open_], mid)
+        low[open_[same]], high[open_[~same]] = mid[same], mid[~same] - 1
+    return low
 
 
 def compare(flat: np.ndarray, at: np.ndarray, query: np.ndarray, q_at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,24 +278,24 @@ class Shard:
         longest = np.zeros((len(self.starts), 3), np.int64)
         if not len(at):
             return mask, items, longest
-        # every place of the window that stands at an occurrence
-        n = np.diff(b.first)[which]
-        here, there = np.repeat(at, n), b.places[np.repeat(b.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        owner = b.owners[np.repeat(b.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        doc = np.searchsorted(self.starts, here, side="right") - 1
-        for d, k in np.unique(np.stack([doc, owner], 1), axis=0).tolist():
-            items[d].append(k)
-        # a match is extended from where the words before it differ
-        head = (here == 0) | (there == 0) | (self.flat[here - 1] != b.flat[there - 1]) | (self.flat[here - 1] == 0)
-        here, there, owner, doc = here[head], there[head], owner[head], doc[head]
-        run, live = np.zeros(len(here), np.int64), np.arange(len(here))
-        while len(live):
-            x = self.flat[here[live] + run[live]]
-            live = live[(x == b.flat[there[live] + run[live]]) & (x != 0)]
-            run[live] += 1
-        best = np.lexsort((owner, here, -run, doc))
-        best = best[np.unique(doc[best], return_index=True)[1]]
-        longest[doc[best]] = np.stack([run[best], owner[best], here[best] - self.starts[doc[best]]], 1)
+        doc = np.searchsorted(self.starts, at, side="right") - 1
+        # of each document its windows, each once, then their items
+        seen = np.unique(np.stack([doc, which], 1), axis=0)
+        for d, rows in _runs(seen[:, 0].tolist()):
+            items[d] = sorted({k for w in seen[rows.start : rows.stop, 1].tolist() for k in b.owners[b.owned[w] : b.owned[w + 1]].tolist()})
+        run, a, z = b.longest(Prefixes(self.flat), at, which)
+        best = np.lexsort((at, -run, doc))
+        new = np.ones(len(best), bool)
+        new[1:] = (doc[best][1:] != doc[best][:-1]) | (run[best][1:] != run[best][:-1]) | (at[best][1:] != at[best][:-1])
+        # at one place a window of a short item and a longer one's may end alike: the first item counts
+        owner = b.first_owner(which[best], a[best], z[best]) if len(best) < 1 << 12 else None
+        head = np.flatnonzero(new)
+        lead = head[np.unique(doc[best][head], return_index=True)[1]]
+        ends = np.append(head, len(best))[np.searchsorted(head, lead) + 1]
+        for x, y in zip(lead.tolist(), ends.tolist()):
+            own = owner[x:y] if owner is not None else b.first_owner(which[best[x:y]], a[best[x:y]], z[best[x:y]])
+            i = best[x]
+            longest[doc[i]] = run[i], own.min(), at[i] - self.starts[doc[i]]
         return mask, items, longest
 
 

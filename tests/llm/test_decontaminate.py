@@ -95,3 +95,37 @@ def test_empty(spark):
     assert (got.n_words, got.n_hit) == (2, 0)
     assert contamination(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
     assert contaminated(1, 20) and not contaminated(1, 21) and not contaminated(0, 0)
+
+
+def test_repeated_words_take_bounded_memory_and_time():
+    import time
+    import tracemalloc
+
+    from auditloom.llm.decontaminate import Benchmark, Shard
+
+    for items, text in (([(1, "a " * 1000)], "a " * 100_000), ([(k, "b") for k in range(5000)], "b " * 100_000), ([(1, "a b " * 500), (2, "b a " * 20)], "a b " * 50_000)):
+        bench = Benchmark(items, 13)
+        began = time.time()
+        tracemalloc.start()
+        shard = Shard([text], bench)
+        mask, found, longest = shard.hits()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100e6 and time.time() - began < 30, (peak, time.time() - began)
+        assert mask[: shard.n_words[0]].all() and len(found[0]) == len(items) and longest[0].tolist() == [min(len(items[0][1].split()), 1000), 0, 0]
+
+
+def test_suffix_order():
+    import numpy as np
+
+    from auditloom.llm.decontaminate import suffix_array
+
+    r = random.Random(4)
+    for _ in range(60):
+        n = r.randint(0, 80)
+        flat = np.array([r.choice((0, 1, 1, 1, 2, 3)) for _ in range(n)] + [0, 0], np.int64)
+        for least in (1, 3):
+            rest = [tuple(flat[i : i + list(flat[i:]).index(0)].tolist()) for i in range(n)]
+            want = sorted(x for x in rest if len(x) >= least)
+            got = suffix_array(flat, 3, least).tolist()
+            assert [rest[i] for i in got] == want and len(set(got)) == len(got)
