@@ -78,7 +78,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.filter_audit import audit, failures
+
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup, op12_filter_audit)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -97,6 +103,20 @@ found AS (SELECT doc_id, a, z, first_value(doc_id) OVER f AS d0, first_value(z)
 gone AS (SELECT DISTINCT s.doc_id, s.i FROM found f JOIN solid s ON s.doc_id = f.doc_id AND s.i BETWEEN f.a AND f.z WHERE f.doc_id <> d0 OR a > z0),
 kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(g.i::VARCHAR, ',' ORDER BY g.i) AS removed FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.removed, '') AS removed FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op12_filter_audit": r"""WITH t AS (SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS first_id FROM t),
+m AS (SELECT part, doc_id, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) AS c, regexp_matches(x, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS f,
+ count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, s::INTEGER AS s, o[s] AS me, CASE WHEN s = 1 THEN '' ELSE o[1:s - 1] END AS prior FROM orders, range(1, 6) r(s)),
+met AS (SELECT *, contains(f, me) AS fails, regexp_matches(f, '[' || prior || '.]') AS gone FROM g, steps),
+counted AS (SELECT part, o, s, me, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+ coalesce(sum(n) FILTER (WHERE f = me), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, o AS filter_order, s AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, me))::BIGINT AS shapley FROM counted""",
     "op7_decontaminate": f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM sized)),
