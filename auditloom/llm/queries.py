@@ -78,13 +78,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditloom.llm.filter_audit import audit, failures
 
     return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup, op12_filter_audit)}
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditloom.llm.turn_repair import damage_and_repair
+
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_pack_sequences, op3_substring_dedup, op4_simhash, op5_personal_data, op6_token_files, op7_decontaminate, op8_language_id, op9_nearest, op10_line_dedup, op11_quality, op12_filter_audit, op13_turn_repair)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
