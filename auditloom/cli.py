@@ -27,11 +27,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-l", "--limit", type=int, default=0, help="queue no more once so many URLs are queued")
     c.add_argument("--user-agent", default=AGENT)
     c.add_argument("--delay", type=int, default=0, help="milliseconds between requests to a host")
-    c.add_argument("--rounds", type=int, help="stop after so many rounds and keep the job")
+    c.add_argument("--rounds", type=int, help="stop after so many rounds; the job can be gone on with")
     c.add_argument("--web", help="a folder of stored responses instead of the network")
-    c.add_argument("--jobs", default="jobs", help="the folder of stopped jobs")
-    c.add_argument("--folder", help="where rounds are kept; by default in the shared folder")
-    c.add_argument("--urls", default="crawl_urls", help="a table, or the folder of one, to append rows to")
+    c.add_argument("--jobs", default="jobs", help="the folder of crawls that go on: each holds its rounds and commits; all executors must see it")
+    c.add_argument("--urls", default="crawl_urls", help="a table, or the folder of one, that a round's rows are stored in, by run and round")
     c.add_argument("--links", default="crawl_links")
     c.add_argument("-o", "--output", help="write the build report as JUnit XML to this file")
 
@@ -49,36 +48,35 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def append(rows: DataFrame, to: str) -> None:
-    """Appends to a table, or to the folder of one, partitioned by run."""
-    w = rows.write.mode("append").partitionBy("run_id")
-    w.parquet(to) if "/" in to else w.saveAsTable(to)
-
-
 def crawl(spark: SparkSession, a: argparse.Namespace) -> int:
     from auditloom.operators import render, reports
     from auditloom.operators.crawl import crawl as run
-    from auditloom.operators.crawl import processed_urls
-    from auditloom.session import shared_dir
     from auditloom.sources import seeds
     from auditloom.sources.fetch import fetch
+    from auditloom.sources.jobs import Job, Stored
 
     web = spark.read.parquet(a.web) if a.web else lambda urls, full: fetch(urls, a.user_agent, full, a.delay)
-    held: dict = {}
-    if a.run_id:
-        start, held["pending"] = seeds.load_job(spark, f"{a.jobs}/{a.run_id}")
-        held |= {"run_id": a.run_id, "processed": processed_urls(reports.stored_urls(spark, a.urls, a.run_id), a.run_id)}
-    elif a.file:
+    run_id = a.run_id or str(uuid.uuid4())
+    job = f"{a.jobs}/{run_id}"
+    start = None
+    if a.file:
         start = seeds.url_file(spark, a.file)
-    else:
+    elif not a.run_id:
         start = seeds.seed(spark, a.base_url) if a.base_url else seeds.yaml_urls(spark, a.yaml, a.yaml_key)
-    found = run(spark, start, web, f"{a.folder or shared_dir(spark)}/crawl-{uuid.uuid4().hex}", a.internal, a.limit, max_rounds=a.rounds, **held)
-    append(found.urls.drop("depth"), a.urls)
-    append(found.links, a.links)
+    urls, links = Stored(spark, a.urls), Stored(spark, a.links)
+
+    def sink(number: int, pages: DataFrame | None, edges: DataFrame) -> None:
+        if pages is not None:
+            urls.put(pages.drop("depth"), run_id, number)
+        links.put(edges, run_id, number)
+
+    def discard(number: int) -> None:
+        urls.discard(run_id, number)
+        links.discard(run_id, number)
+
+    found = run(spark, start, web, job, a.internal, a.limit, run_id, max_rounds=a.rounds, sink=sink, discard=discard)
     if found.frontier.isEmpty():
-        seeds.drop_job(spark, f"{a.jobs}/{found.run_id}")
-    else:
-        seeds.save_job(found.frontier, found.pending, f"{a.jobs}/{found.run_id}")
+        Job(spark, job).delete()
     if a.output:
         render.write_report(render.report_pieces(reports.stored_urls(spark, a.urls, found.run_id), "build", "junit", found.run_id), a.output)
     print(found.run_id)

@@ -3,7 +3,8 @@
 Each URL of a round has a rank. What happens while a page is processed is an event with a place in
 the sequence (rank, phase, position): its own turn, its links, its assets. Whether a link is queued or
 an external address fetched depends only on earlier events of the same URL, so a round is one
-projection, a few anti-joins and minima by URL; nothing but counts comes to the driver.
+projection, a few anti-joins and minima by URL; nothing but counts comes to the driver. What earlier rounds have seen is a log in buckets
+of the URL: a round looks up the URLs it meets and appends its own, so what it shuffles grows with the round, not with the crawl.
 
 ``web`` holds a response per URL: url, code, reason, content, content_type, size, encoding,
 response_time, and optionally ``asked``, the address that it answers where that is not its own, and ``hops``, an array of
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.urls import ascii_only, is_full_url, same_site
 from auditloom.operators.ingest import LINK_SCHEMA, URL_SCHEMA, crawl_urls, parse_responses
+from auditloom.sources.jobs import Job, SeenLog
 
 RESPONSE = ("url", "code", "reason", "content", "content_type", "size", "encoding", "response_time")
 TURN, LINKS, ASSETS = 0, 1, 2
@@ -32,15 +34,19 @@ LAST = (1 << 21) - 2
 
 
 class Store:
-    """Round tables in one folder; each is written once, so a lost executor or a restart repeats no round."""
+    """Tables of a crawl's rounds; each is written once, so a lost executor repeats no round. A round's next attempt replaces its tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.n = spark, folder.rstrip("/"), 0
+        self.spark, self.folder, self.round, self.n = spark, folder.rstrip("/"), 0, 0
+
+    def begin(self, number: int) -> None:
+        self.round, self.n = number, 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        path = f"{self.folder}/{self.n:05d}-{name}"
+        path = f"{self.folder}/round-{self.round:05d}/{self.n:02d}-{name}"
         df.write.mode("overwrite").parquet(path)
+        self.last = path
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,35 +86,58 @@ class Crawl(NamedTuple):
 
 
 PENDING = "from_url string, to_url string, text string, alt string, rel string, seq struct<rank:bigint,phase:int,pos:int>"
+FRONTIER = "url string, rank bigint"
+#: Rounds after which the seen URLs are rewritten as one part.
+COMPACT = 16
 
 
-def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web, folder: str, internal: bool = False, limit: int = 0, run_id: str | None = None, processed: DataFrame | None = None, clock: Column | None = None, max_rounds: int | None = None, full_graph: bool = False, pending: DataFrame | None = None) -> Crawl:
-    """Crawls web from seeds: URLs in order, or a table of (url, pos).
+def crawl(spark: SparkSession, seeds: list[str] | DataFrame | None, web, folder: str, internal: bool = False, limit: int = 0, run_id: str | None = None, clock: Column | None = None, max_rounds: int | None = None, full_graph: bool = False, sink=None, discard=None) -> Crawl:
+    """Crawls web from seeds: URLs in order, or a table of (url, pos). Without seeds, goes on with the crawl that folder holds.
 
     web: the table of responses, or what fetches one: web(urls, full) for a table of urls, full where pages are wanted
     with their bodies; what it returns is stored before it is read.
     internal: follow links within the site. limit: stop queuing for good once the queue is this long. full_graph: record
     every internal link, not only first discoveries. max_rounds: stop after so many rounds.
-    Resuming: seeds is the frontier of the earlier part, (url, rank), processed its (url, id), pending its unresolved links.
-    Links between pages are resolved when the queue is empty, as either end may be fetched later.
+    sink(number, urls, links): stores a round's rows, before the round is committed; links between pages, which are resolved when the
+    queue is empty, as either end may be fetched later, come last, with urls None. discard(number): drops what was stored for rounds after it.
+
+    The folder holds the state: each round ends with a commit, and a crawl that dies goes on from the last one.
     """
-    run_id = run_id or str(uuid.uuid4())
+    job = Job(spark, folder)
+    state = job.latest()
     clock = F.current_timestamp() if clock is None else clock
-    store = Store(spark, folder)
-    start = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "pos long, url string")
-    place = "rank" if "rank" in start.columns else "pos"
-    frontier = store.put(start.select("url", F.col(place).cast("long").alias("rank")), "frontier")
-    total = (frontier.agg(F.max("rank")).first()[0] or 0) + 1
-    seen = store.put((processed if processed is not None else spark.createDataFrame([], "url string, id long")).select("url", F.col("id").cast("long")), "seen")
-    pages, edges, waiting = [], [], [] if pending is None else [pending]
-    stopped, rounds, depth = False, 0, 0
+    store = Store(spark, job.path)
+    if seeds is None:
+        if state is None or state["done"]:
+            raise ValueError(f"the job {folder} has no URLs left")
+        frontier, total, stopped, depth, run_id = spark.read.schema(FRONTIER).parquet(state["frontier"]), state["total"], state["stopped"], state["depth"], state["run_id"]
+        waiting = [spark.read.schema(PENDING).parquet(p) for p in state["pending"]]
+    else:
+        if state is not None:
+            raise ValueError(f"the folder {folder} holds a crawl")
+        run_id = run_id or str(uuid.uuid4())
+        start = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "pos long, url string")
+        frontier = store.put(start.select("url", F.col("pos").cast("long").alias("rank")), "frontier")
+        total, stopped, depth, waiting = (frontier.agg(F.max("rank")).first()[0] or 0) + 1, False, 0, []
+        state = {"round": 0, "run_id": run_id, "frontier": store.last, "total": total, "stopped": False, "depth": 0, "pending": [], "floor": 0, "buckets": max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "done": False}
+        job.commit(0, state)
+    log = SeenLog(spark, f"{job.path}/seen", state["buckets"])
+    number = state["round"]
+    log.keep(state["floor"], 2 * number)
+    if discard is not None:
+        discard(number)
+    pages, edges, rounds = [], [], 0
     zero = F.lit(0)
 
     def answers(urls: DataFrame, full: bool) -> DataFrame:
         return _fetch(urls, store.put(web(urls.select("url"), full), "responses") if callable(web) else web)
 
     while not frontier.isEmpty() and (max_rounds is None or rounds < max_rounds):
-        rounds += 1
+        rounds, number = rounds + 1, number + 1
+        store.begin(number)
+        floor = state["floor"]
+        if len([p for p in log.parts() if p >= floor]) >= COMPACT:
+            floor = log.compact(floor, 2 * (number - 1))
         turn = frontier.where(is_full_url(F.col("url")))
         got = answers(turn, True).withColumn("asked", F.col("url")).select("rank", "hop", "asked", "r.*")
         parsed = store.put(parse_responses(got), "parsed")
@@ -123,11 +152,13 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web, folder: str, i
         kind = F.when(F.col("phase") == ASSETS, "asset").when(~F.col("valid"), "malformed").when(~inside, "external").otherwise("internal")
         seq = F.struct("rank", "phase", "pos")
         events = store.put(links.unionByName(assets).withColumn("kind", kind).withColumn("seq", seq), "events")
+        # of the URLs seen in earlier rounds, those that this one meets
+        known = store.put(log.find(events, floor, 2 * number - 1), "known")
         # a URL's first event that marks it processed: its own turn, a malformed link, an external or asset fetch
         turns = frontier.select("url", F.struct("rank", F.lit(TURN).alias("phase"), F.lit(-1).alias("pos")).alias("seq"))
         marks = turns.unionByName(events.where("kind <> 'internal'").select("url", "seq")).groupBy("url").agg(F.min("seq").alias("first"))
         outer = events.where("kind in ('external', 'asset')")
-        fetches = outer.join(seen.select(F.col("url").alias("_s")), F.col("url") == F.col("_s"), "left_anti").join(marks.select(F.col("url").alias("_m"), "first"), F.col("url") == F.col("_m")).where(F.col("seq") == F.col("first")).drop("_m", "first")
+        fetches = outer.join(known.select(F.col("url").alias("_s")), F.col("url") == F.col("_s"), "left_anti").join(marks.select(F.col("url").alias("_m"), "first"), F.col("url") == F.col("_m")).where(F.col("seq") == F.col("first")).drop("_m", "first")
         fetches = store.put(fetches, "fetches")
         fetched = answers(fetches.withColumn("link", F.col("url")), False).select("rank", "phase", "pos", "kind", "asked", "link", "from_id", "text", "alt", "rel", "hop", "r.*")
         fetched = fetched.withColumn("id", _id(F.col("rank"), F.col("phase"), F.col("pos"), F.col("hop")))
@@ -141,21 +172,23 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web, folder: str, i
         ids = own.select(F.col("asked").alias("url"), "id").unionByName(fetched.select(F.col("link").alias("url"), "id")).unionByName(fetched.where("kind = 'external'").select("url", "id")).unionByName(bad.select("url", "id"))
         answered = fetched.where("kind = 'external' and url = link").select("url", F.col("id").alias("_own"))
         skipped = frontier.where(~is_full_url(F.col("url"))).select("url", F.lit(None).cast("long").alias("id"))
-        latest = seen.unionByName(ids).unionByName(skipped).groupBy("url").agg(F.max("id").alias("id"))
+        latest = ids.unionByName(skipped).groupBy("url").agg(F.max("id").alias("id"))
         own_answer = answered.groupBy(F.col("url").alias("_u")).agg(F.max("_own").alias("_own"))
-        seen_next = store.put(latest.join(own_answer, F.col("url") == F.col("_u"), "left").select("url", F.coalesce("_own", "id").alias("id")), "seen")
+        fresh_ids = log.put(latest.join(own_answer, F.col("url") == F.col("_u"), "left").select("url", F.coalesce("_own", "id").alias("id")), 2 * number)
+        # ids of later rounds are greater, so the greatest is the newest
+        held_ids = known.unionByName(fresh_ids).groupBy("url").agg(F.max("id").alias("id"))
         named = F.when(F.col("kind") == "asset", "asset").otherwise("anchor").alias("type")
-        later = outer.join(fetches.select(F.col("seq").alias("_q")), F.col("seq") == F.col("_q"), "left_anti").join(seen_next.select(F.col("url").alias("_t"), F.col("id").alias("to_id")), F.col("url") == F.col("_t"))
+        later = outer.join(fetches.select(F.col("seq").alias("_q")), F.col("seq") == F.col("_q"), "left_anti").join(held_ids.select(F.col("url").alias("_t"), F.col("id").alias("to_id")), F.col("url") == F.col("_t"))
         out = fetched.select("id", "from_id", F.col("id").alias("to_id"), named, "text", "alt", "rel")
         out = out.unionByName(later.select(_id(F.col("rank"), F.col("phase"), F.col("pos"), zero).alias("id"), "from_id", "to_id", named, "text", "alt", "rel"))
         out = out.unionByName(bad.select("id", "from_id", F.col("id").alias("to_id"), F.lit("anchor").alias("type"), "text", "alt", "rel"))
         edges.append(store.put(out, "edges"))
-        fresh = None
+        frontier_at, pending_at = None, state["pending"]
         if internal:
             inner = events.where("kind = 'internal'")
             # what was queued earlier has had its turn, and so has been seen
-            known = seen.select("url").unionByName(frontier.select("url")).distinct().withColumnRenamed("url", "_k")
-            new = inner.join(known, F.col("url") == F.col("_k"), "left_anti").join(marks.withColumnsRenamed({"url": "_m"}), F.col("url") == F.col("_m"), "left").where(F.col("first").isNull() | (F.col("seq") < F.col("first"))).drop("_m", "first")
+            queued = known.select("url").unionByName(frontier.select("url")).distinct().withColumnRenamed("url", "_k")
+            new = inner.join(queued, F.col("url") == F.col("_k"), "left_anti").join(marks.withColumnsRenamed({"url": "_m"}), F.col("url") == F.col("_m"), "left").where(F.col("first").isNull() | (F.col("seq") < F.col("first"))).drop("_m", "first")
             firsts = new.groupBy("url").agg(F.min("seq").alias("seq")).select("url", "seq", F.col("seq.rank").alias("parent"), F.col("seq.pos").alias("pos"))
             placed = ranked(firsts, ["parent", "pos"], total, "ranked", store)
             if limit:
@@ -164,27 +197,44 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web, folder: str, i
                 cut = None if stopped else placed.where(length >= limit).agg(F.min("rank")).first()[0]
                 placed = placed.where(F.lit(False)) if stopped else placed.where(F.col("rank") <= cut) if cut is not None else placed
                 stopped = stopped or cut is not None
-            fresh = store.put(placed.select("url", "rank"), "frontier")
             # a queued URL is pending from the page that queued it; one past the limit, from every page that links to it
             by = placed.select(F.col("url").alias("_p"), F.col("seq").alias("_seq"))
             every = inner if full_graph else new.join(by, F.col("url") == F.col("_p"), "left").where(F.col("_seq").isNull() | (F.col("seq") == F.col("_seq")))
             waiting.append(store.put(every.select(F.col("asked").alias("from_url"), F.col("url").alias("to_url"), "text", "alt", "rel", "seq"), "pending"))
-        seen, depth = seen_next, depth + 1
-        frontier = fresh if fresh is not None else frontier.limit(0)
+            pending_at = [*pending_at, store.last]
+        fresh = placed.select("url", F.col("rank").cast("long").alias("rank")) if internal else spark.createDataFrame([], FRONTIER)
+        frontier = store.put(fresh, "frontier")
+        frontier_at, depth = store.last, depth + 1
         total += frontier.count()
-    urls = _union(pages, spark, URL_SCHEMA + ", depth int")
-    links_out = _union(edges, spark, "id long, from_id long, to_id long, type string, text string, alt string, rel string")
+        if sink is not None:
+            sink(number, pages[-1], _named(edges[-1], run_id))
+        state = state | {"round": number, "frontier": frontier_at, "total": total, "stopped": stopped, "depth": depth, "pending": pending_at, "floor": floor}
+        job.commit(number, state)
+        log.keep(floor, 2 * number)
     held = _union(waiting, spark, PENDING)
     if frontier.isEmpty():
+        store.begin(number + 1)
         # of repeated discoveries of a link by one page, the last stands
         last = held.groupBy("from_url", "to_url").agg(F.max("seq").alias("seq"), F.max_by(F.struct("text", "alt", "rel"), "seq").alias("x"))
-        f, t = seen.select(F.col("url").alias("_f"), F.col("id").alias("from_id")), seen.select(F.col("url").alias("_t"), F.col("id").alias("to_id"))
+        ends = store.put(log.find(held.select(F.explode(F.array("from_url", "to_url")).alias("url")), state["floor"], 2 * number), "ends")
+        f, t = ends.select(F.col("url").alias("_f"), F.col("id").alias("from_id")), ends.select(F.col("url").alias("_t"), F.col("id").alias("to_id"))
         found = last.join(f, F.col("from_url") == F.col("_f")).join(t, F.col("to_url") == F.col("_t")).where("from_id <> to_id")
-        links_out = links_out.unionByName(found.select(_id(F.col("seq.rank"), F.col("seq.phase"), F.col("seq.pos"), zero).alias("id"), "from_id", "to_id", F.lit("anchor").alias("type"), "x.text", "x.alt", "x.rel"))
+        edges.append(store.put(found.select(_id(F.col("seq.rank"), F.col("seq.phase"), F.col("seq.pos"), zero).alias("id"), "from_id", "to_id", F.lit("anchor").alias("type"), "x.text", "x.alt", "x.rel"), "resolved"))
+        if sink is not None:
+            sink(number + 1, None, _named(edges[-1], run_id))
+        job.commit(number + 1, state | {"done": True})
         held = held.limit(0)
+    log.close()
+    urls = _union(pages, spark, URL_SCHEMA + ", depth int")
+    links_out = _union(edges, spark, "id long, from_id long, to_id long, type string, text string, alt string, rel string")
+    return Crawl(run_id, urls, _named(links_out, run_id), frontier, held)
+
+
+def _named(edges: DataFrame, run_id: str) -> DataFrame:
+    """Edges with both ends as rows of crawl_links."""
     keep = lambda c: F.when(F.col(c) != "", ascii_only(F.col(c)))
-    named = links_out.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull()).select("id", F.lit(run_id).alias("run_id"), "type", F.col("from_id").alias("from_url_id"), F.col("to_id").alias("to_url_id"), keep("text").alias("link_text"), keep("alt").alias("alt_text"), "rel")
-    return Crawl(run_id, urls, named.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in LINK_SCHEMA.split(", ")]), frontier, held)
+    named = edges.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull()).select("id", F.lit(run_id).alias("run_id"), "type", F.col("from_id").alias("from_url_id"), F.col("to_id").alias("to_url_id"), keep("text").alias("link_text"), keep("alt").alias("alt_text"), "rel")
+    return named.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in LINK_SCHEMA.split(", ")])
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str | None) -> DataFrame:

@@ -97,6 +97,7 @@ def stored_urls(spark, source: str, run_id: str | None = None, **options: str) -
         urls = spark.read.format("jdbc").options(url=source, **{"dbtable": "crawl_urls"} | options).load()
     else:
         urls = spark.read.parquet(source) if "/" in source else spark.table(source)
+    urls = urls.withColumn("run_id", F.col("run_id").cast("string")).drop("round") if "round" in urls.columns else urls
     return urls if run_id is None else urls.where(F.col("run_id") == run_id)
 
 

@@ -1,4 +1,4 @@
-"""Where URLs come from: files, single seeds, YAML lists, saved jobs."""
+"""Where URLs come from: files, single seeds, YAML lists."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def url_file(spark: SparkSession, path: str) -> DataFrame:
     """(pos, url): a stripped URL per line in file order, blank lines kept as ''."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "url"))
-    return lines.select(F.col("pos").cast("long").alias("pos"), F.trim(F.regexp_replace("url", r"\s", " ")).alias("url"))
+    return lines.select(F.col("pos").cast("long").alias("pos"), F.regexp_replace("url", r"^\s+|\s+$", "").alias("url"))
 
 
 def seed(spark: SparkSession, url: str) -> DataFrame:
@@ -27,25 +27,6 @@ def yaml_urls(spark: SparkSession, path: str, key: str = "urls") -> DataFrame:
     return spark.createDataFrame(list(enumerate(urls)), "pos long, url string")
 
 
-def save_job(frontier: DataFrame, pending: DataFrame, folder: str) -> None:
-    """The queue and unresolved edges of a stopped crawl."""
-    frontier.write.mode("overwrite").parquet(f"{folder}/urls")
-    pending.write.mode("overwrite").parquet(f"{folder}/associations")
-
-
-def load_job(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    urls, pending = spark.read.parquet(f"{folder}/urls"), spark.read.parquet(f"{folder}/associations")
-    if urls.isEmpty():
-        raise ValueError(f"the job {folder} has no URLs left")
-    return urls, pending
-
-
-def drop_job(spark: SparkSession, folder: str) -> None:
-    """Removes the saved job of a crawl that has ended; nothing if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def document(spark: SparkSession, path: str) -> DataFrame:
     """A whole file as one ``text``."""
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))

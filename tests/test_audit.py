@@ -104,11 +104,6 @@ def test_sources(spark, tmp_path):
     f = tmp_path / "urls.txt"
     f.write_text(" http://a.com/x \n\nhttp://b.com/\n")
     assert [r.url for r in seeds.url_file(spark, str(f)).orderBy("pos").collect()] == ["http://a.com/x", "", "http://b.com/"]
-    seeds.save_job(seeds.seed(spark, "u"), seeds.seed(spark, "v"), str(tmp_path / "job"))
-    assert seeds.load_job(spark, str(tmp_path / "job"))[0].first().url == "u"
-    seeds.save_job(seeds.seed(spark, "u").limit(0), seeds.seed(spark, "v"), str(tmp_path / "none"))
-    with pytest.raises(ValueError):
-        seeds.load_job(spark, str(tmp_path / "none"))
 
 
 def test_stream(spark, tmp_path):

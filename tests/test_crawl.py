@@ -1,5 +1,6 @@
 """The crawl against a plain sequential model of the same rules."""
 
+import os
 import random
 import re
 
@@ -200,26 +201,111 @@ def test_hops_and_malformed_links(spark, tmp_path):
     assert found.frontier.count() == 0 and found.pending.count() == 0
 
 
-def test_resume_gives_what_one_crawl_gives(spark, tmp_path):
+def lines(d):
+    return ["-i", "--web", f"{d}/web", "--jobs", f"{d}/jobs", "--urls", f"{d}/urls", "--links", f"{d}/links"]
+
+
+def test_stops_and_resumes_give_what_one_crawl_gives(spark, tmp_path, monkeypatch):
     from auditloom import cli
+    from auditloom.operators import crawl as C
     from auditloom.operators import reports
 
-    # a stored row stands for its own address only, so after a stop a redirected asset is known by its first hop, not its last
-    web, d = hopping_web(asset_hops=0), str(tmp_path)
+    monkeypatch.setattr(C, "COMPACT", 2)
+    web, d = hopping_web(), str(tmp_path)
     answers(spark, web).write.parquet(f"{d}/web")
-    common = ["-i", "--web", f"{d}/web", "--jobs", f"{d}/jobs", "--folder", f"file://{d}/rounds", "--urls", f"{d}/urls", "--links", f"{d}/links"]
+    common = lines(d)
     assert cli.main(["crawl", "-u", "http://a.example.com/0", "--rounds", "1", *common], spark) == 0
     run_id = reports.latest_run(reports.stored_urls(spark, f"{d}/urls")).first()[0]
-    assert cli.main(["crawl", "-r", run_id, *common, "-o", f"{d}/out.xml"], spark) == 0
+    for n in ("0", "1", "9"):
+        assert os.path.exists(f"{d}/jobs/{run_id}") and cli.main(["crawl", "-r", run_id, "--rounds", n, *common], spark) == 0
     compare(reports.stored_urls(spark, f"{d}/urls", run_id), spark.read.parquet(f"{d}/links"), web, ["http://a.example.com/0"])
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|has no URLs"):
+    assert not os.path.exists(f"{d}/jobs/{run_id}") and len([n for n in os.listdir(f"{d}/urls/run_id={run_id}") if n.startswith("round=")]) == 3
+    with pytest.raises(ValueError, match="has no URLs"):
         cli.main(["crawl", "-r", run_id, *common], spark)
-    assert "http://a.example.com/3" in open(f"{d}/out.xml").read()
     # reports of the stored table
     for kind in ("build", "status_code", "all"):
         for form in ("junit", "csv", "xls", "sql"):
             assert cli.main(["report", "-t", kind, "-f", form, "--urls", f"{d}/urls", "-o", f"{d}/{kind}.{form}"], spark) == 0
+    assert "http://a.example.com/3" in open(f"{d}/build.junit").read()
     assert open(f"{d}/status_code.csv").read().splitlines()[0] == "Run Id,Name,Address,Timestamp,Status Code"
     assert open(f"{d}/build.junit").read().count("<testcase") == 7 and open(f"{d}/all.xls").read().count("<Row>") == 1 + spark.read.parquet(f"{d}/urls").count()
     plan = reports.run_count(reports.stored_urls(spark, f"{d}/urls", run_id), run_id)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan and "regexp" not in plan and "body" not in plan
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_crawl_killed_between_any_two_writes_loses_nothing(spark, tmp_path, monkeypatch):
+    from auditloom.operators import crawl as C
+    from auditloom.sources import jobs
+
+    web, seeds = hopping_web(), ["http://a.example.com/0", "http://a.example.com/2"]
+    table = answers(spark, web)
+    left = [0]
+
+    def guarded(kind, name):
+        real = getattr(kind, name)
+
+        def write(*a, **kw):
+            if left[0] == 0:
+                raise Killed
+            left[0] -= 1
+            return real(*a, **kw)
+
+        monkeypatch.setattr(kind, name, write)
+
+    for kind, name in ((C.Store, "put"), (jobs.SeenLog, "put"), (jobs.Job, "commit"), (jobs.Stored, "put"), (jobs.SeenLog, "keep")):
+        guarded(kind, name)
+    monkeypatch.setattr(C, "COMPACT", 2)
+    deaths = 0
+    # the writes after which each attempt dies: between both tables, before a commit, amid a round, behind a commit, amid the last links
+    for trial, (tables, budgets) in enumerate((("folder", (15, 14, 22)), ("catalog", (17, 33)))):
+        d = f"{tmp_path}/{trial}"
+        names = [f"{d}/urls", f"{d}/links"] if tables == "folder" else [f"killed_urls_{trial}", f"killed_links_{trial}"]
+        urls, links = (jobs.Stored(spark, n) for n in names)
+
+        def sink(number, pages, edges):
+            if pages is not None:
+                urls.put(pages.drop("depth"), "r", number)
+            links.put(edges, "r", number)
+
+        def discard(number):
+            urls.discard("r", number)
+            links.discard("r", number)
+
+        for budget in (*budgets, -1):
+            left[0] = budget
+            begun = jobs.Job(spark, f"file://{d}/job").latest() is not None
+            try:
+                C.crawl(spark, None if begun else seeds, table, f"file://{d}/job", internal=True, run_id="r", clock=F.timestamp_seconds(F.lit(0)), sink=sink, discard=discard)
+            except Killed:
+                deaths += 1
+        left[0] = -1
+        compare(*(spark.read.parquet(n) if "/" in n else spark.table(n) for n in names), web, seeds)
+        for n in names:
+            spark.sql(f"DROP TABLE IF EXISTS {n}") if "/" not in n else None
+    assert deaths == 5
+
+
+def test_a_round_shuffles_what_it_meets_not_what_was_seen(spark, tmp_path):
+    from auditloom.sources.jobs import SeenLog
+
+    log = SeenLog(spark, f"file://{tmp_path}/seen", 8)
+    log.put(spark.range(5000).selectExpr("concat('http://x/', id) AS url", "id"), 2)
+    log.put(spark.createDataFrame([("http://x/7", 9007), ("http://x/8", None), ("http://y/", None)], "url string, id long"), 4)
+    wanted = spark.createDataFrame([(f"http://x/{k}",) for k in (7, 8, 9, 99999)] + [("http://y/",)] * 3, "url string")
+    found = log.find(wanted, 0, 4)
+    assert {x.url: x.id for x in found.collect()} == {"http://x/7": 9007, "http://x/8": 8, "http://x/9": 9, "http://y/": None}
+    assert {x.url: x.id for x in log.find(wanted, 0, 2).collect()} == {"http://x/7": 7, "http://x/8": 8, "http://x/9": 9}
+    for joins in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+        plan = log.find(wanted, 0, 4)._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(_w" in plan, plan
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert log.compact(0, 4) == 5 and log.parts() == [2, 4, 5]
+    log.keep(5, 6)
+    again = SeenLog(spark, f"file://{tmp_path}/seen", 8)
+    assert again.parts() == [5] and {x.url: x.id for x in again.find(wanted, 5, 6).collect()} == {"http://x/7": 9007, "http://x/8": 8, "http://x/9": 9, "http://y/": None}
+    again.close()
