@@ -19,8 +19,8 @@ from auditloom.functions import built_once
 from auditloom.functions.keywords import keywords
 from auditloom.functions.urls import is_full_url, is_joinable, resolve
 
-#: Comments, scripts and styles in one pass, so that the first to begin counts; what never ends goes on to the page's end.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*+>).*?(?:(</\2\s*+>)|\z)"
+#: Comments, scripts and styles in one pass, so that the first to begin counts; what never ends, a start tag too, goes on to the page's end.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*+>).*?(?:(</\2\s*+>)|\z)|(<(?:script|style)\b[^>]*+\z)"
 HEAD_TAG = r"(?i)<head[\s>]"
 #: Head elements that open a document without a head tag: a lenient parser supplies the head.
 LEADING = r"(?is)^\s*+(?:<!doctype[^>]*+>)?\s*+(?:<html[^>]*+>)?\s*+<(?:title|meta|link|base|style|script)\b"
@@ -88,7 +88,7 @@ def decode(c: Column) -> Column:
 
 
 def clean(html: Column) -> Column:
-    return F.regexp_replace(html, HIDDEN, "$1$3")
+    return F.regexp_replace(html, HIDDEN, "$1$3$4")
 
 
 def tags(c: Column, name: str) -> Column:

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", name: str = "auditloom", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution and UTC; clusters bring their own session instead."""
@@ -30,8 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
         return held.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    import tempfile
-
     d = "file://" + tempfile.mkdtemp(prefix="auditloom-")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, through Spark's own file server."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    d = tempfile.mkdtemp(prefix="auditloom-code-")  # Spark serves it from here until the application ends
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    path = os.path.join(d, "auditloom_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)

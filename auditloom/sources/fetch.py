@@ -1,4 +1,4 @@
-"""Live fetching: HEAD, then GET for HTML, one polite session per host partition."""
+"""Live fetching: HEAD, then GET for HTML, hosts dealt to tasks that keep each one's delay."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.urls import netloc
+from auditloom.session import ship
 
 TIMEOUT = 16
 WEB_SCHEMA = "asked string, url string, code int, reason string, content string, content_type string, size bigint, encoding string, response_time float, hops array<struct<url:string,code:int,reason:string,content:string,content_type:string,size:bigint,encoding:string,response_time:float>>"
@@ -52,7 +53,8 @@ def fetch_one(url: str, agent: str | None = None, full: bool = True, opener=None
 def fetch(urls: DataFrame, agent: str | None = None, full: bool = True, delay_ms: int = 0, hosts: int = 200, batch: int = 8, opener=None) -> DataFrame:
     """A web table for the distinct URLs of ``url``: dealt by host, so a host sees one caller at a time.
 
-    Responses leave the worker ``batch`` at a time, so it holds few bodies. opener: what opens requests, for tests.
+    A task asks each of its hosts at most once in ``delay_ms`` after the last answer, and asks others meanwhile. Responses leave the
+    worker ``batch`` at a time, so it holds few bodies. opener: what opens requests, for tests.
     """
     names = [c.split(" ")[0] for c in WEB_SCHEMA.split(", ")]
 
@@ -61,15 +63,16 @@ def fetch(urls: DataFrame, agent: str | None = None, full: bool = True, delay_ms
 
         import pandas as pd
 
-        for pdf in frames:
-            rows = []
-            for u in pdf["url"]:
-                rows.append({n: None for n in names} | fetch_one(u, agent, full, opener) | {"asked": u})
-                time.sleep(delay_ms / 1000)
-                if len(rows) == batch:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-            if rows:
+        from auditloom.sources.polite import polite
+
+        rows = []
+        for u in polite((x for pdf in frames for x in zip(pdf["_host"], pdf["url"])), delay_ms / 1000, time.monotonic, time.sleep):
+            rows.append({n: None for n in names} | fetch_one(u, agent, full, opener) | {"asked": u})
+            if len(rows) == batch:
                 yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    return urls.select("url").distinct().repartition(hosts, netloc(F.col("url"))).mapInPandas(run, WEB_SCHEMA)
+    ship(urls.sparkSession)
+    return urls.select("url", netloc(F.col("url")).alias("_host")).distinct().repartition(hosts, "_host").mapInPandas(run, WEB_SCHEMA)

@@ -119,6 +119,31 @@ def test_hostile_pages(spark):
     assert docs[12].has_next and docs[12].rel_next == "/n" and docs[11].robots is None and all(d.has_head for d in docs)
 
 
+#: Prefixes that a hostile page may repeat.
+HOSTILE = ("<script ", "<style x", "<script>", "</script", "<!--", "<!", "<title>", "<h1>", "<h1 ", "<a ", "<a href=x>", '<a href="', "<a b=", "<img src='", '<meta content="', "<link rel=", "&amp", "&#", "<", "</a", "<b>")
+
+
+def test_time_grows_with_the_page(spark):
+    """Twice the page, about twice the time, for every prefix."""
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(f"<head></head>{x * n}", URL) for x in HOSTILE], "html string, url string").coalesce(1)
+        began = time.time()
+        parse(df).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(10)
+    small, large = took(10_000), took(40_000)
+    # of all pages together: one that took the square would take 16 times as long
+    assert large < 6 * small + 5, (small, large)
+
+
+def test_a_start_tag_that_never_ends_takes_the_rest(spark):
+    (doc,) = parsed(spark, ["<head><title>t</title></head><a href=/x>l</a><script <a href=/y m"])
+    assert [x.text for x in doc.links] == ["l"] and doc.title == "t"
+
+
 def test_malformed_links(spark):
     hrefs = ["http://[bad", "//x]/y", "http://[::1]/ok", "/fine[1]", "ok", "mailto:[x"]
     (doc,) = parsed(spark, ["<head></head>" + "".join(f'<a href="{h}">t</a>' for h in hrefs)])
