@@ -41,10 +41,11 @@ def parser() -> argparse.ArgumentParser:
     r = commands.add_parser("report", help="a report of a run")
     r.add_argument("-r", "--run-id", help="the run; the latest without")
     r.add_argument("-t", "--type", choices=("build", "status_code", "all"), default="build")
-    r.add_argument("-f", "--format", choices=("junit", "csv", "xls", "sql"), default="junit")
+    r.add_argument("-f", "--format", choices=("junit", "csv", "xls", "sql", "html_files"), default="junit")
     r.add_argument("--urls", default="crawl_urls", help="a table, a Parquet folder, or jdbc:...")
-    r.add_argument("--option", action="append", default=[], metavar="NAME=VALUE", help="an option of a jdbc source")
-    r.add_argument("-o", "--output", help="the file; standard output without")
+    r.add_argument("--option", action="append", default=[], metavar="NAME=VALUE", help="an option of a jdbc source; AUDITLOOM_DB_USER and the like give some by the environment")
+    r.add_argument("--option-file", help="a file of such options, one a line")
+    r.add_argument("-o", "--output", help="the file, or the folder of html_files; standard output without")
     return top
 
 
@@ -109,12 +110,20 @@ def lint(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def report(spark: SparkSession, a: argparse.Namespace) -> int:
     from auditloom.operators import render, reports
+    from auditloom.sources.database import settings
 
-    options = dict(x.split("=", 1) for x in a.option)
+    options = settings(dict(x.split("=", 1) for x in a.option), a.option_file) if a.urls.startswith("jdbc:") else {}
     run_id = a.run_id or (reports.latest_run(reports.stored_urls(spark, a.urls, **options)).first() or [None])[0]
     if run_id is None:
         print("there is no run", file=sys.stderr)
         return 1
+    if a.format == "html_files":
+        if not a.output:
+            print("html_files need a folder (-o)", file=sys.stderr)
+            return 1
+        render.write_html_files(reports.stored_urls(spark, a.urls, run_id, **options), a.output)
+        print("Done.")
+        return 0
     render.write_report(render.report_pieces(reports.stored_urls(spark, a.urls, run_id, **options), a.type, a.format, run_id), a.output)
     return 0
 

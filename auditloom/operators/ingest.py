@@ -75,12 +75,12 @@ def build_urls(responses: DataFrame, columns: tuple[str, ...] | None = None) ->
 def with_occurrences(urls: DataFrame) -> DataFrame:
     """Optional: fills the two occurrence counts (how often a title or description stands in its run).
 
-    Counts are reduced before the shuffle and joined back, so a title that most pages share is no hot window.
+    Counts are reduced before the shuffle and joined back in many tasks, so a title that most pages share is no hot one.
     """
-    out = urls
-    for value, count in (("title_1", "title_occurences_1"), ("meta_description_1", "meta_description_occurrences_1")):
-        n = urls.where(F.col(value).isNotNull()).groupBy("run_id", value).agg(F.count("*").cast("int").alias("_n")).withColumnsRenamed({"run_id": "_r", value: "_v"})
-        out = out.join(n, (F.col("run_id") == F.col("_r")) & (F.col(value) == F.col("_v")), "left").withColumn(count, F.col("_n")).drop("_r", "_v", "_n")
+    from auditloom.operators.site_rules import with_counts
+
+    filled = {"title_occurences_1": "title_1", "meta_description_occurrences_1": "meta_description_1"}
+    out = with_counts(urls.drop(*filled), {count: F.col(value) for count, value in filled.items()}, "id", ("run_id",)).withColumns({c: F.col(c).cast("int") for c in filled})
     return out.select(*urls.columns)
 
 

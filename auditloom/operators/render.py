@@ -169,14 +169,7 @@ def html_files(urls: DataFrame) -> DataFrame:
 
 
 def write_html_files(urls: DataFrame, folder: str) -> None:
-    """One file per page below folder, a path that executors share."""
+    """One file per page below folder, a path that executors share: all of them, or none if a task fails."""
+    from auditloom.sources.files import write_files
 
-    def save(rows):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(folder, r["file_name"]), "w", encoding="utf-8") as f:
-                f.write(r["body"])
-
-    html_files(urls).foreachPartition(save)
+    write_files(html_files(urls), folder)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.sources.database import database_rows
+
 LISTED = ("address", "timestamp", "status_code")
 
 
@@ -89,12 +91,12 @@ def parts(urls: DataFrame, kind: str, run_id: str) -> list[tuple[str, list[str],
 
 
 def stored_urls(spark, source: str, run_id: str | None = None, **options: str) -> DataFrame:
-    """Stored rows of crawl_urls: a table of the catalog, a Parquet folder, or jdbc:... with its options (dbtable, user, password).
+    """Stored rows of crawl_urls: a table of the catalog, a Parquet folder, or jdbc:... with its options (dbtable, user, password, partitions).
 
     With a run id, only that run's partitions are read.
     """
     if source.startswith("jdbc:"):
-        urls = spark.read.format("jdbc").options(url=source, **{"dbtable": "crawl_urls"} | options).load()
+        urls = database_rows(spark, source, run_id, int(options.pop("partitions", 16)), **options)
     else:
         urls = spark.read.parquet(source) if "/" in source else spark.table(source)
     urls = urls.withColumn("run_id", F.col("run_id").cast("string")).drop("round") if "round" in urls.columns else urls

@@ -12,7 +12,7 @@ from auditloom.functions import html as H
 from auditloom.functions import urls as U
 from auditloom.functions.keywords import STOP_WORDS, keywords, match_count
 from auditloom.operators import crawl as C
-from auditloom.operators import ingest, lint, render, reports
+from auditloom.operators import ingest, lint, render, reports, site_rules
 from auditloom.plans import fixtures as X
 from auditloom.plans.fixtures import q
 from auditloom.session import shared_dir
@@ -289,9 +289,28 @@ def lint_exit_status(spark, sf_dir):
     return linted(spark, sf_dir).select("page_id", F.coalesce(F.exists("lint", lambda r: (r["level_no"] <= 1) & (r["rule"] != "E18")).cast("bigint"), F.lit(0)).alias("exit_status"))
 
 
-@query("rules_catalogue", f"SELECT rule_ord::BIGINT AS rule_ord, rule, label FROM (VALUES {_LABELS}) AS r(rule_ord, rule, label)")
+@query("rules_catalogue", f"""{LINT}, c AS (SELECT rule, count(*) AS n FROM lint GROUP BY rule)
+SELECT rule_ord::BIGINT AS rule_ord, r.rule, label, coalesce(n, 0)::BIGINT AS pages FROM (VALUES {_LABELS}) AS r(rule_ord, rule, label) LEFT JOIN c ON c.rule = r.rule""")
 def rules_catalogue(spark, sf_dir):
-    return lint.catalogue(spark).where("declared").select(F.col("rule_ord").cast("bigint").alias("rule_ord"), "rule", "label")
+    """Every declared rule, with the number of pages that it fires on."""
+    counts = results(spark, sf_dir).groupBy(F.col("rule").alias("_rule")).agg(F.count("*").alias("pages"))
+    rules = lint.catalogue(spark).where("declared")
+    return rules.join(counts, F.col("rule") == F.col("_rule"), "left").select(F.col("rule_ord").cast("bigint").alias("rule_ord"), "rule", "label", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
+_SITE_RULE = "SELECT page_id, '{r}' AS rule, 'warning' AS level, count(*) OVER (PARTITION BY site, {c}) AS n FROM heads WHERE {c} <> ''"
+
+
+@query("lint_site_rules", f"""{PARSED}, heads AS (SELECT page_id, {s_netloc('url')} AS site, title, description FROM parsed WHERE has_head),
+bytes AS (SELECT page_id, encode(html) || CASE WHEN page_id % 17 = 0 THEN '\\xC3'::BLOB ELSE ''::BLOB END AS b FROM variants)
+SELECT page_id, rule, level, n::BIGINT AS int_value FROM ({_SITE_RULE.format(r='W04', c='title')} UNION ALL {_SITE_RULE.format(r='W07', c='description')}) WHERE n > 1
+UNION ALL SELECT page_id, 'E01', 'error', NULL::BIGINT FROM bytes WHERE TRY(decode(b)) IS NULL""")
+def lint_site_rules(spark, sf_dir):
+    """Titles and descriptions that pages of a host share, and pages whose bytes (of every seventeenth, with half a character behind) are no UTF-8."""
+    pages = X.variants(spark, sf_dir).withColumn("site", U.netloc(F.col("url"))).withColumn("bytes", F.concat(F.encode("html", "UTF-8"), F.when(F.col("page_id") % 17 == 0, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))))
+    parsed_ = H.parse(pages, parts=("has_head", "title", "description")).drop("html")
+    found = site_rules.with_site_rules(parsed_, "page_id", ("site",), "bytes")
+    return found.select("page_id", F.explode("lint").alias("r")).select("page_id", "r.rule", "r.level", "r.int_value")
 
 
 @query("lint_sitemap", """WITH k AS (SELECT page_id, page_id % 6 AS v, CASE WHEN page_id % 6 IN (0) THEN 1 WHEN page_id % 6 IN (1, 2) THEN 0 WHEN page_id % 30 = 3 THEN 10000 ELSE 2 END AS n FROM pages)
