@@ -5,6 +5,8 @@ Timestamps are reported as epoch seconds and array columns as joined text, so bo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from auditloom.operators import ingest, lint, render, reports, site_rules
 from auditloom.plans import fixtures as X
 from auditloom.plans.fixtures import q
 from auditloom.session import shared_dir
+from auditloom.sources import sitemaps
+from auditloom.sources.jobs import Stored
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -333,6 +337,19 @@ def robots_parse(spark, sf_dir):
     return X.robots_texts(spark, sf_dir).withColumn("r", lint.robots(F.col("txt"))).select("page_id", *[F.array_join(f"r.{c}", "|").alias(c) for c in ("sitemap", "disallow", "user_agent")])
 
 
+@query("sitemap_files", """WITH k AS (SELECT page_id % 3 AS file, count(*) AS n, count(*) FILTER (WHERE page_id % 2 = 0) AS p, count(*) FILTER (WHERE page_id % 5 = 0) AS c, count(*) FILTER (WHERE page_id % 7 = 0) AS l FROM pages GROUP BY 1)
+SELECT file::BIGINT AS file, n, r AS rule FROM (SELECT file, n, unnest([CASE WHEN n >= 10000 THEN 'E33' END, CASE WHEN p > 0 THEN 'I30' END, CASE WHEN c > 0 THEN 'I31' END, CASE WHEN l > 0 THEN 'I32' END]) AS r FROM k) WHERE r IS NOT NULL""")
+def sitemap_files(spark, sf_dir):
+    """The rules of three sitemap files that hold all pages, written and read an entry a row."""
+    n = F.col("page_id")
+    has = lambda k, tag, value: F.when(n % k == 0, f"<{tag}>{value}</{tag}>").otherwise("")
+    line = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), has(2, "priority", "0.5"), has(5, "changefreq", "daily"), has(7, "lastmod", "2024-01-01"), F.lit("</url>"))
+    folder = f"{shared_dir(spark)}/sitemaps-{uuid.uuid4().hex}"
+    X.pages(spark, sf_dir).select((n % 3).alias("map"), line.alias("value")).write.partitionBy("map").text(folder)
+    rows = sitemaps.entries(spark, f"{folder}/*").withColumn("file", F.regexp_extract("file", "map=([0-9]+)", 1).cast("bigint"))
+    return sitemaps.rules(rows)
+
+
 @query("lint_robots", f"{_ROBOTS} SELECT page_id, 'C23' AS rule FROM k WHERE len(s) = 0 UNION ALL SELECT page_id, 'I24' FROM k WHERE len(s) > 0 AND len(d) = 0 UNION ALL SELECT page_id, 'I25' FROM k WHERE len(s) > 0 AND len(u) = 0")
 def lint_robots(spark, sf_dir):
     return X.robots_texts(spark, sf_dir).withColumn("r", lint.robots(F.col("txt"))).select("page_id", F.explode(lint.robots_results(F.col("r"))).alias("x")).select("page_id", "x.rule")
@@ -391,6 +408,17 @@ def s_report(names: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT {i}::BIGINT AS section_ord, {q(n)} AS section, id, address, ts::BIGINT AS ts, {_WHERE[n][1]}::VARCHAR AS value FROM urls WHERE {_RUN} AND external = 0 AND {_WHERE[n][0]}" for i, n in enumerate(names))
 
 
+@query("stored_report", f"{URLS_SQL} {s_report(reports.STATUS)}")
+def stored_report(spark, sf_dir):
+    """The status report of a run whose rows were stored by run and round, one round twice: only the run's partitions are read."""
+    folder = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    rows, store = crawled(spark, sf_dir, *reports.columns(reports.STATUS)), Stored(spark, folder)
+    for number in (0, 1, 1):
+        store.put(rows.where((F.col("run_id") == RUN) & (F.col("id") % 2 == number)), RUN, number)
+    store.put(rows.where("run_id = 'run-2'"), "run-2", 0)
+    return reports.composite(reports.stored_urls(spark, folder, RUN), RUN, reports.STATUS).select(F.col("section_ord").cast("bigint").alias("section_ord"), "section", "id", "address", F.unix_timestamp("timestamp").alias("ts"), "value")
+
+
 def _composite(names):
     def run(spark, sf_dir):
         return reports.composite(crawled(spark, sf_dir, *reports.columns(names)), RUN, names).select(F.col("section_ord").cast("bigint").alias("section_ord"), "section", "id", "address", F.unix_timestamp("timestamp").alias("ts"), "value")
@@ -484,7 +512,6 @@ _AT = "'http://site.example.com/p' || "
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
 
     return f"{shared_dir(spark)}/crawl-{name}-{uuid.uuid4().hex}"
 

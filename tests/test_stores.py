@@ -63,3 +63,27 @@ def test_file_sink(spark, tmp_path):
     urls = spark.createDataFrame([(1, "http://h.com/a/b", "text/html", "<p>1", 0), (2, "http://h.com/a/b", "text/html", "<p>2", 0), (3, "http://h.com/c", "text/plain", "no", 0)], "id long, address string, content_type string, body string, timestamp int")
     render.write_html_files(urls, f"{tmp_path}/html")
     assert os.listdir(f"{tmp_path}/html") == ["h.com__a__b.html"] and open(f"{tmp_path}/html/h.com__a__b.html").read() == "<p>2"
+
+
+def test_sitemaps_of_many_entries_and_their_index(spark, tmp_path):
+    from auditloom.sources import sitemaps
+
+    names = [f"http://h.com/map{k}.xml" for k in range(20)]
+    for k in range(20):
+        n = 12_000 if k == 7 else 300
+        with open(tmp_path / f"map{k}.xml", "w") as f:
+            f.write('<?xml version="1.0"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+            f.writelines(f"<url><loc>http://h.com/{k}/{i}?a=1&amp;b=2</loc>{'<priority>0.5</priority>' if k % 2 else '<priority></priority>'}<other>x</other></url>\n" for i in range(n))
+            f.write("</urlset>")
+    for name, held in (("index.xml", [*names[:10], "http://h.com/more.xml", "http://elsewhere.org/x"]), ("more.xml", [*names[8:], "http://h.com/index.xml"])):
+        (tmp_path / name).write_text("<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in held) + "</sitemapindex>")
+    to_path = lambda c: F.when(c.startswith("http://h.com/"), F.concat(F.lit(f"{tmp_path}/"), F.substring_index(c, "/", -1)))
+    found = sitemaps.tree(spark, f"{tmp_path}/index.xml", to_path)
+    assert found.count() == 19 * 300 + 12_000 and found.select("loc").distinct().count() == 19 * 300 + 12_000
+    assert found.where("loc = 'http://h.com/7/3?a=1&b=2'").count() == 1
+    got = {(x.file.rsplit("/", 1)[1], x.n, x.rule) for x in sitemaps.rules(found).collect()}
+    assert got == {("map7.xml", 12_000, "E33")} | {(f"map{k}.xml", 12_000 if k == 7 else 300, "I30") for k in range(1, 20, 2)}
+    # one file is read by several tasks
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    assert sitemaps.entries(spark, f"{tmp_path}/map7.xml").rdd.getNumPartitions() > 3 and sitemaps.entries(spark, f"{tmp_path}/map7.xml").count() == 12_000
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
