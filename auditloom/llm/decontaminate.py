@@ -137,11 +137,14 @@ def suffix_array(flat: np.ndarray, words: int, least: int = 1) -> np.ndarray:
     base = words + 1
     step = STEP if base < 1 << 15 else 3 if base < 1 << 20 else 2
     padded = np.concatenate([flat, np.zeros(step, np.int64)])
-    at = np.flatnonzero(padded[: len(flat)])
+    # only runs of words that hold a long enough suffix; their shorter suffixes are sorted with them, as what follows others
+    ends = np.flatnonzero(padded == 0)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    size = np.where(ends - starts >= least, ends - starts, 0)
+    at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
     if not len(at):
         return at
-    stop = np.flatnonzero(padded == 0)
-    stop = stop[np.searchsorted(stop, at)]  # where each suffix ends
+    stop = np.repeat(ends, size)  # where each suffix ends
     k, open_ = np.zeros(len(at), np.int64), np.ones(len(at), bool)
     for j in range(step):
         open_ &= at + j < stop
