@@ -6,44 +6,19 @@ further columns of a table, whatever they are called, never meet the operators'
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.session import shared_dir
-
-_SHIPPED: set[str] = set()
+from auditloom.session import shared_dir, ship  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, through Spark's own file server."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    d = tempfile.mkdtemp(prefix="auditloom-code-")  # Spark serves it from here until the application ends
-    atexit.register(shutil.rmtree, d, ignore_errors=True)
-    path = os.path.join(d, "auditloom_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

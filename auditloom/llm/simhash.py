@@ -346,18 +346,20 @@ def near_duplicates(docs: DataFrame, size: int = 4, budget: Budget = Budget(), i
 def keep_one_each(docs: DataFrame, size: int = 5, budget: Budget = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near-duplicates of a kept document: one row of each component stays, columns as they are.
 
-    The defaults link texts of Jaccard similarity 0.8 or more on five-word shingles; the README has the measured share.
+    The defaults link fingerprints of five-word shingles that differ by at most 44 of 256 bits, which texts of a Jaccard similarity of 0.8
+    or more mostly do and others seldom: an estimate without an exact check, of which the README has the measured shares.
     """
     kept = near_duplicates(docs, size, budget, id_col, text_col).where("keeper").select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_text")).distinct()
     return rows_of(docs, kept, id_col, text_col)
 
 
 def rows_of(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each (__k_id, __k_text), id and text hash, of kept."""
+    """One row of docs for each (__k_id, __k_text), id and text hash, of kept: of rows that differ in other columns only, the first in their order."""
     from pyspark.sql import Window
 
     kept = stash(kept, "keepers")
     rows = docs.withColumn("__k_key", F.xxhash64(text_col))
     out = rows.join(kept, rows[id_col].eqNullSafe(kept["__k_id"]) & (rows["__k_key"] == kept["__k_text"]), "left_semi")
-    w = Window.partitionBy(id_col, "__k_key").orderBy(F.lit(1))
+    others = [c for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith(("map", "variant", "interval"))]
+    w = Window.partitionBy(id_col, "__k_key").orderBy(*(others or [F.lit(1)]))
     return out.withColumn("__k_n", F.row_number().over(w)).where("__k_n = 1").drop("__k_key", "__k_n")

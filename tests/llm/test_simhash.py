@@ -143,3 +143,11 @@ def test_a_long_text_is_spread_in_stretches(monkeypatch):
     whole = wide_fingerprints([text, "x", None], 5, 4)
     monkeypatch.setattr(simhash, "STRETCH", 100)
     assert wide_fingerprints(["", text], 5, 4) == [whole[2], whole[0]] and not any(whole[2])
+
+
+def test_rows_that_differ_in_other_columns_have_a_defined_keeper(spark):
+    from auditloom.llm.simhash import keep_one_each
+
+    docs = spark.createDataFrame([(1, "a b c d e f g", n, {"k": "v"}) for n in ("z", "m", "b", "q")] + [(2, None, "x", None)], "doc_id long, text string, source string, extra map<string,string>")
+    for n in (1, 3):
+        assert {(x.doc_id, x.source) for x in keep_one_each(docs.repartition(n)).collect()} == {(1, "b"), (2, "x")}
