@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import stash, table
+from auditloom.llm.common import stash, table, unstash
 from auditloom.llm.decontaminate import clean_documents
 from auditloom.llm.langid import keep_identified
 from auditloom.llm.line_dedup import dedup_lines
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard 0.8 on five-word shingles) stays: the one of smallest doc_id."""
+    """One document of each group of near duplicates (by fingerprints of five-word shingles, for a Jaccard similarity of 0.8) stays: the one of smallest doc_id."""
     return keep_one_each(docs)
 
 
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what passes between stages is written to the shared folder."""
+    """All stages over the documents of sf_dir; what passes between stages is written to the shared folder, and goes once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        kept = stash(stage(spark, docs, sf_dir), name)
+        if n:
+            unstash(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
