@@ -550,6 +550,15 @@ def external_links(spark, sf_dir):
     return crawl_site(spark, sf_dir).urls.where("external = 1").select("address", F.col("external").cast("bigint").alias("external"))
 
 
+@query("crawl_pages", f"WITH l AS ({ORACLES['page_links']}) SELECT url AS address, 200::BIGINT AS status_code, 0::BIGINT AS depth, 0::BIGINT AS external FROM pages UNION ALL SELECT DISTINCT link, 0::BIGINT, 1::BIGINT, 0::BIGINT FROM l WHERE link NOT IN (SELECT url FROM pages)")
+def crawl_pages(spark, sf_dir):
+    """A crawl of the pages' own markup, each page a seed: what they link to within their sites is asked in the next round, and not there."""
+    p = X.pages(spark, sf_dir)
+    web = p.select("url", F.lit(200).alias("code"), F.lit("OK").alias("reason"), F.col("html").alias("content"), F.lit("text/html").alias("content_type"), F.lit(None).cast("bigint").alias("size"), F.lit("utf-8").alias("encoding"), F.lit(0.1).cast("float").alias("response_time"))
+    found = C.crawl(spark, p.select("url", F.col("page_id").alias("pos")), web, _folder(spark, "pages"), internal=True, run_id="pages", clock=F.timestamp_seconds(F.lit(X.START)))
+    return found.urls.select("address", *[F.col(c).cast("bigint").alias(c) for c in ("status_code", "depth", "external")])
+
+
 @query("frontier_new_urls", f"WITH l AS (SELECT DISTINCT {_AT}m AS url, m FROM (SELECT page_id, unnest([2 * page_id + 1, 2 * page_id + 2, page_id]) AS m FROM pages)) SELECT url FROM l WHERE m NOT IN (SELECT page_id FROM pages)")
 def frontier_new_urls(spark, sf_dir):
     """Links of all pages that are no page: new to a frontier that has processed them all."""
