@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import ship
-from auditloom.llm.hashing import BLANK, groups, ranges_hashed
+from auditloom.llm.hashing import BLANK, STRETCH, groups, ranges_hashed
 
 FEATURES = (
     "log_words", "word_length", "word_length_deviation", "distinct_words", "commonest_word", "repeated_pairs", "capitals", "capital_words", "title_words", "digits", "symbols", "symbol_words",
@@ -37,12 +37,6 @@ SYMBOL = np.isin(_BYTE, list(b"#$%&*|@^~_=+<>{}[]\\`/"))
 MARK = (_BYTE > 32) & (_BYTE < 127) & ~UPPER & ~LOWER & ~DIGIT
 
 
-def counted(flags: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """How many flags are set in each stretch between neighbouring cuts."""
-    sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return (sums[cuts[1:]] - sums[cuts[:-1]]).astype(np.float64)
-
-
 def repeats(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each owner, its number of distinct hashes, and how often its commonest occurs."""
     order = np.lexsort((h, owner))
@@ -55,53 +49,78 @@ def repeats(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return np.bincount(o[new], minlength=n).astype(np.float64), most
 
 
+def words_of(data: np.ndarray) -> dict[str, np.ndarray]:
+    """The words of bytes that end in a blank: start, hash (A-Z lower-cased), characters, kind of capitals, first and last byte, line.
+
+    Works in stretches, which end between words, and inside one only where it is longer than a stretch.
+    """
+    found: dict[str, list[np.ndarray]] = {k: [] for k in ("start", "hash", "length", "shouted", "first", "last", "line")}
+    at, line = 0, 0
+    while at < len(data):
+        z = min(len(data), at + STRETCH)
+        while z < min(len(data), at + 2 * STRETCH) and not BLANK[data[z - 1]]:
+            z += 1
+        part = data[at:z]
+        edge = np.diff(BLANK[part].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+        a, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = {k: np.concatenate([[0], np.cumsum(v, dtype=np.int32)]) for k, v in (("in", INSIDE[part]), ("up", UPPER[part]), ("low", LOWER[part]), ("feed", part == 10))}
+        of = lambda k: sums[k][e] - sums[k][a]  # noqa: E731, B023
+        lower = np.where(UPPER[part], part + 32, part).astype(np.uint64) + np.uint64(1)
+        rows = (a + at, ranges_hashed(lower, a, e), (e - a - of("in")).astype(np.float64), (of("up") > 1) & (of("low") == 0), part[a], part[e - 1], line + sums["feed"][a])
+        for k, v in zip(found, rows):
+            found[k].append(v)
+        line += int(sums["feed"][-1])
+        at = z
+    return {k: np.concatenate(v) for k, v in found.items()}
+
+
 def statistics(texts: list[str | None]) -> np.ndarray:
-    """The features of each text, whole texts, rows in order."""
+    """The features of each text, whole texts, rows in order. A line is one that holds a word; lines of equal words are equal."""
+    long = [i for i, t in enumerate(texts) if t and len(t) > STRETCH // 4]
+    if long and len(texts) > 1:  # those that fill a stretch alone, so that their company changes nothing
+        out = np.zeros((len(texts), len(FEATURES)))
+        rest = sorted(set(range(len(texts))) - set(long))
+        for own in [*([i] for i in long), rest]:
+            out[own] = statistics([texts[i] for i in own])
+        return out
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     n = len(raw)
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    cuts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    blank = BLANK[data]
-    edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
-    a, z = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    z = z[len(z) - len(a) :]
-    owner = np.searchsorted(cuts, a, side="right") - 1
+    cuts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)])
+    hist = np.zeros((n, 256))
+    for d in range(n):
+        for a in range(cuts[d], cuts[d + 1] - 1, STRETCH):
+            hist[d] += np.bincount(data[a : min(a + STRETCH, cuts[d + 1] - 1)], minlength=256)
+    w = words_of(data)
+    owner = np.searchsorted(cuts, w["start"], side="right") - 1
     words = np.bincount(owner, minlength=n).astype(np.float64)
     some = np.maximum(words, 1)
     of = lambda flags: np.bincount(owner, flags, n) / some
-    inside = np.concatenate([[0], np.cumsum(INSIDE[data], dtype=np.int64)])
-    length = (z - a - (inside[z] - inside[a])).astype(np.float64)
+    length, h, last = w["length"], w["hash"], w["last"]
     mean = of(length)
-    capital = np.concatenate([[0], np.cumsum(UPPER[data], dtype=np.int64)])
-    small = np.concatenate([[0], np.cumsum(LOWER[data], dtype=np.int64)])
-    caps, lows = capital[z] - capital[a], small[z] - small[a]
-    lower = np.where(UPPER[data], data + 32, data).astype(np.uint64) + np.uint64(1)
-    h = ranges_hashed(lower, a, z)
     distinct, most = repeats(owner, h, n)
     with np.errstate(over="ignore"):
         pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     together = owner[:-1] == owner[1:]
     pairs, _ = repeats(owner[:-1][together], pair[together], n)
-    last = data[z - 1]
-    feed = np.flatnonzero(data == 10)
-    begin = np.concatenate([[0], feed[:-1] + 1])
-    full = feed > begin
-    begin, feed = begin[full], feed[full]
-    line_owner = np.searchsorted(cuts, begin, side="right") - 1
+    new = np.ones(len(h), bool)
+    new[1:] = w["line"][1:] != w["line"][:-1]
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(h)).astype(np.int64)[: len(first)]
+    line_owner = owner[first]
     lines = np.bincount(line_owner, minlength=n).astype(np.float64)
-    different, _ = repeats(line_owner, ranges_hashed(lower, begin, feed), n)
-    chars = np.maximum(counted(~INSIDE[data], cuts) - 1, 1)
-    letters = np.maximum(counted(UPPER[data] | LOWER[data], cuts), 1)
-    kind = np.where(UPPER[data], data + 32, data)
-    spread = np.zeros((n, 256))
-    for d in range(n):
-        spread[d] = np.bincount(kind[cuts[d] : cuts[d + 1] - 1], minlength=256)
-    share = spread / np.maximum(spread.sum(1, keepdims=True), 1)
+    different, _ = repeats(line_owner, ranges_hashed(h, first, end), n)
+    count = lambda kind: hist[:, kind].sum(1)
+    chars, letters = np.maximum(count(~INSIDE), 1), np.maximum(count(UPPER | LOWER), 1)
+    folded = hist.copy()
+    folded[:, 97:123] += folded[:, 65:91]
+    folded[:, 65:91] = 0
+    share = folded / np.maximum(folded.sum(1, keepdims=True), 1)
     entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
     columns = (
-        np.log1p(words), mean, np.sqrt(np.maximum(of(length**2) - mean**2, 0)), distinct / some, most / some, 1 - pairs / np.maximum(words - 1, 1) * (words > 1), counted(UPPER[data], cuts) / letters, of((caps > 1) & (lows == 0)),
-        of(UPPER[data[a]]), counted(DIGIT[data], cuts) / chars, counted(SYMBOL[data], cuts) / chars, of(SYMBOL[last]), of(last == 33), of(last == 46), of(last == 44), counted(BEYOND[data], cuts) / chars,
-        np.log1p(lines), words / np.maximum(lines, 1), 1 - different / np.maximum(lines, 1) * (lines > 0), np.bincount(line_owner, np.isin(data[feed - 1], (46, 33, 63)), n) / np.maximum(lines, 1), of(length <= 2), of(length >= 12), entropy, counted(MARK[data], cuts) / chars,
+        np.log1p(words), mean, np.sqrt(np.maximum(of(length**2) - mean**2, 0)), distinct / some, most / some, 1 - pairs / np.maximum(words - 1, 1) * (words > 1), count(UPPER) / letters, of(w["shouted"]),
+        of(UPPER[w["first"]]), count(DIGIT) / chars, count(SYMBOL) / chars, of(SYMBOL[last]), of(last == 33), of(last == 46), of(last == 44), count(BEYOND) / chars,
+        np.log1p(lines), words / np.maximum(lines, 1), 1 - different / np.maximum(lines, 1) * (lines > 0), np.bincount(line_owner, np.isin(last[end - 1], (46, 33, 63)), n) / np.maximum(lines, 1), of(length <= 2), of(length >= 12), entropy, count(MARK) / chars,
     )
     return np.stack(columns, 1)
 

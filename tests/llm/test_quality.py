@@ -17,14 +17,15 @@ def plain(t):
     t = t or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
     low = [re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in w]
-    lines = [x for x in t.split("\n") if x]
+    lines = [x.split() for x in re.sub("[A-Z]", lambda m: m.group().lower(), re.sub(r"[\x0B-\x0D\x09]", " ", t)).split("\n")]
+    lines = [tuple(x for x in line if x) for line in lines if line]
     n = max(1, len(w))
     byte = Counter(re.sub("[A-Z]", lambda m: m.group().lower(), t).encode())
     total = sum(byte.values())
     return {
         "log_words": math.log1p(len(w)), "word_length": sum(map(len, w)) / n, "distinct_words": len(set(low)) / n, "commonest_word": max(Counter(low).values(), default=0) / n,
         "repeated_pairs": 1 - len(set(zip(low, low[1:]))) / max(1, len(w) - 1) * (len(w) > 1), "capitals": len(re.findall("[A-Z]", t)) / max(1, len(re.findall("[A-Za-z]", t))), "title_words": sum("A" <= x[0] <= "Z" for x in w) / n,
-        "exclaimed_words": sum(x[-1] == "!" for x in w) / n, "sentence_ends": sum(x[-1] == "." for x in w) / n, "log_lines": math.log1p(len(lines)), "repeated_lines": 1 - len({re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in lines}) / max(1, len(lines)) * bool(lines),
+        "exclaimed_words": sum(x[-1] == "!" for x in w) / n, "sentence_ends": sum(x[-1] == "." for x in w) / n, "log_lines": math.log1p(len(lines)), "repeated_lines": 1 - len(set(lines)) / max(1, len(lines)) * bool(lines),
         "long_words": sum(len(x) >= 12 for x in w) / n, "digits": len(re.findall("[0-9]", t)) / max(1, len(t)), "letter_entropy": -sum(c / total * math.log2(c / total) for c in byte.values()),
     }
 
@@ -39,6 +40,23 @@ def test_statistics():
     assert np.array_equal(np.concatenate([statistics([t]) for t in texts]), got)
 
 
+def test_very_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    r = random.Random(6)
+    long = [words(r, 400) + "\n" for _ in range(50)]
+    text = "".join(r.choice(long) for _ in range(3000))  # some 6 MB
+    tracemalloc.start()
+    (row,) = statistics([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(text), peak / len(text)
+    for k, v in plain(text).items():
+        assert abs(row[FEATURES.index(k)] - v) < 1e-9, k
+    blob = "é" * 2_000_000  # one word
+    assert np.isfinite(statistics([blob, "a b", None])).all() and np.array_equal(statistics(["x", blob])[1], statistics([blob])[0])
+
+
 def walked(forest: Forest, x):
     """A score node by node."""
     total = forest.start
