@@ -219,7 +219,7 @@ def test_stops_and_resumes_give_what_one_crawl_gives(spark, tmp_path, monkeypatc
     for n in ("0", "1", "9"):
         assert os.path.exists(f"{d}/jobs/{run_id}") and cli.main(["crawl", "-r", run_id, "--rounds", n, *common], spark) == 0
     compare(reports.stored_urls(spark, f"{d}/urls", run_id), spark.read.parquet(f"{d}/links"), web, ["http://a.example.com/0"])
-    assert not os.path.exists(f"{d}/jobs/{run_id}") and len([n for n in os.listdir(f"{d}/urls/run_id={run_id}") if n.startswith("round=")]) == 3
+    assert not os.path.exists(f"{d}/jobs/{run_id}") and len([n for n in os.listdir(f"{d}/urls/run_id={run_id}") if n.startswith("round=")]) == 4
     with pytest.raises(ValueError, match="has no URLs"):
         cli.main(["crawl", "-r", run_id, *common], spark)
     # reports of the stored table
