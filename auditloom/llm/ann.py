@@ -3,8 +3,8 @@
 A vector is coded as a sum of full-dimensional codewords, one from each of several residual codebooks;
 the code is found by beam search, which keeps the best partial sums at every codebook. With the code
 goes the stored norm of the sum. A query's score for a vector is a sum of table look-ups, one per
-codebook; the best of each block of the index are scored again exactly, in double precision, and the
-blocks' winners are merged.
+codebook; a share of each block of the index, its best by look-ups, is scored again exactly, in double precision, and the
+blocks' winners are merged. A task works on one block and a slice of the queries, so it holds rows x slice scores.
 
 Equal vectors are one row of the index, with the smallest ``k`` + 1 of their ids: copies take one place of a
 shortlist and are told apart, smaller ids first, after the exact scores.
@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.common import ship, stash
 
+#: Queries scored at once.
+SLICE = 128
+
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].astype(np.float32)
@@ -73,6 +76,12 @@ def fit(x: np.ndarray, books: int, words: int, beam: int, seed: int = 3) -> np.n
     return np.linalg.solve(gram.astype(np.float64), (hot.T @ x + prior).astype(np.float64)).reshape(found.shape).astype(np.float32)
 
 
+def look_ups(q: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """codebook x word x query: the inner product of each query with each codeword."""
+    m, k, d = books.shape
+    return (books.reshape(m * k, d) @ q.T.astype(np.float32)).reshape(m, k, len(q))
+
+
 def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
@@ -89,11 +98,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, words: int = 64, beam: int = 4, rerank: int = 800, train_rows: int = 8192, pass_rows: int = 65_536, block_rows: int = 32_768, distance: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, words: int = 64, beam: int = 4, rerank: int = 200, share: float = 0.04, train_rows: int = 8192, pass_rows: int = 65_536, block_rows: int = 32_768, distance: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows of largest inner product for each row whose id is divisible by ``every``, its own row left out.
 
-    (query_id, rank, vec_id, score), score in double precision on the original vectors. rerank: how many
-    of a block's rows, by look-up score, each query scores exactly. distance: rank by smallest Euclidean
+    (query_id, rank, vec_id, score), score in double precision on the original vectors. share: the part of a block's rows,
+    the best by look-up score, that each query scores exactly, but no fewer than ``rerank`` rows. distance: rank by smallest Euclidean
     distance instead, by look-ups and the stored norms; the score is then minus its square.
     """
     spark = vectors.sparkSession
@@ -102,11 +111,11 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, books: int = 24, w
     out = spark.createDataFrame([], "query_id long, vec_id long, score double")
     for r in good.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect():  # a row for each length
         if r["count"] > 1:
-            out = out.unionByName(_search(good.where(F.size("vec") == r["d"]), r["d"], r["count"], every, k, books, words, beam, rerank, train_rows, pass_rows, block_rows, distance))
+            out = out.unionByName(_search(good.where(F.size("vec") == r["d"]), r["d"], r["count"], every, k, books, words, beam, rerank, share, train_rows, pass_rows, block_rows, distance))
     return _top(out, k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(good: DataFrame, dim: int, total: int, every: int, k: int, books: int, words: int, beam: int, rerank: int, train_rows: int, pass_rows: int, block_rows: int, distance: bool) -> DataFrame:
+def _search(good: DataFrame, dim: int, total: int, every: int, k: int, books: int, words: int, beam: int, rerank: int, share: float, train_rows: int, pass_rows: int, block_rows: int, distance: bool) -> DataFrame:
     """(query_id, vec_id, score) of vectors of one length, more than the best k."""
     spark = good.sparkSession
     kinds = "query_id long, vec_id long, score double"
@@ -125,7 +134,7 @@ def _search(good: DataFrame, dim: int, total: int, every: int, k: int, books: in
 
     # k other ids are left whichever id asks
     place = Window.partitionBy("vec").orderBy("id")
-    ids = good.withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    ids = good.withColumn("n", F.dense_rank().over(place)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     index = stash(ids.select("ids", "vec").mapInArrow(encode, "ids array<bigint>, code binary, norm float, vec array<double>"), "aq-index")
     asked = good.where(F.pmod("id", F.lit(every)) == 0)
     n_queries = asked.count()
@@ -141,10 +150,10 @@ def _search(good: DataFrame, dim: int, total: int, every: int, k: int, books: in
             q_ids, q = batch.value
             held = model.value
             for ids, codes, norms, v in _blocks(batches, block_rows, books, dim):
-                for a in range(0, len(q), 1024):
-                    mine = q[a : a + 1024]
-                    tables = np.einsum("qd,mkd->mkq", mine.astype(np.float32), held)  # look-up tables: codebook x word x query
-                    yield _best(q_ids[a : a + 1024], mine, tables, ids, codes, norms if distance else None, v, k, rerank)
+                for a in range(0, len(q), SLICE):
+                    mine = q[a : a + SLICE]
+                    tables = look_ups(mine, held)
+                    yield _best(q_ids[a : a + SLICE], mine, tables, ids, codes, norms if distance else None, v, k, max(rerank, -int(-share * len(ids) // 1)))
 
         part = index.mapInArrow(search, kinds)
         part = stash(_top(part, k).select("query_id", "vec_id", "score"), "aq-found") if passes > 1 else part
@@ -189,10 +198,10 @@ def _best(q_ids, q, tables, ids, codes, norms, v, k: int, rerank: int) -> pa.Rec
         score += tables[j][codes[:, j]]
     if norms is not None:
         score = 2 * score - norms[:, None]
-    score = np.ascontiguousarray(score.T)
+    score = np.ascontiguousarray(score.T)  # a query's scores side by side
     score[(q_ids[:, None] == least) & (least == most)] = -np.inf
     width = min(rerank, len(ids))
-    short = np.argpartition(-score, width - 1, axis=1)[:, :width]
+    short = np.argpartition(score, len(ids) - width, axis=1)[:, len(ids) - width :]
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
         at = short[i][np.isfinite(score[i, short[i]])]

@@ -1,6 +1,6 @@
 import numpy as np
 
-from auditloom.llm.ann import beam_encode, decode, fit, nearest
+from auditloom.llm.ann import SLICE, _best, beam_encode, decode, fit, look_ups, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, norm int, vec string"
 
@@ -94,3 +94,25 @@ def test_repeated_ids_and_lengths(spark):
     for q, held in want.items():
         top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:20]
         assert [x.vec_id for x in sorted((x for x in got if x.query_id == q), key=lambda x: x["rank"])] == [v for v, _ in top]
+
+
+def test_a_share_of_a_full_block_is_enough():
+    """A block of 32,768 rows without structure: recall with the default share, and the memory that a slice of queries takes."""
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    n = 32_768
+    x = r.normal(size=(n, 32))
+    books = fit(x[:4096], 24, 64, 4)
+    codes = np.concatenate([beam_encode(x[i : i + 2000].astype(np.float32), books, 4) for i in range(0, n, 2000)])
+    at = np.arange(0, n, n // SLICE)[:SLICE]
+    ids, q = [np.array([i]) for i in range(n)], x[at]
+    tracemalloc.start()
+    got = _best(at, q, look_ups(q, books), ids, codes, None, x, 20, int(0.04 * n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    exact, found = q @ x.T, got["vec_id"].to_numpy().reshape(SLICE, 20)
+    exact[np.arange(SLICE), at] = -np.inf
+    top = np.argsort(-exact, axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), found.tolist())]) >= 0.95
