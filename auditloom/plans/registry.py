@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions import html as H
+from auditloom.functions import sql as sql_functions
 from auditloom.functions import urls as U
 from auditloom.functions.keywords import STOP_WORDS, keywords, match_count
 from auditloom.operators import crawl as C
@@ -202,6 +203,12 @@ def page_links(spark, sf_dir):
     return H.parse(X.pages(spark, sf_dir), parts=("links",)).select("page_id", F.posexplode("doc.links").alias("pos", "x")).select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("x.url").alias("link"), F.col("x.text").alias("text"))
 
 
+@query("page_links_sql", ORACLES["page_links"])
+def page_links_sql(spark, sf_dir):
+    X.pages(spark, sf_dir).createOrReplaceTempView("audited_pages")
+    return sql_functions.page_links(spark, "audited_pages")
+
+
 _RAW = f"trim(coalesce(nullif(({s_attr('t', 'src')}), ''), ({s_attr('t', 'href')}), ''))"
 
 
