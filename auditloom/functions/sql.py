@@ -115,7 +115,7 @@ def statements() -> list[str]:
         f"{make} html_text(html STRING) RETURNS STRING RETURN {_with_names(_text('html'))}",
         f"{make} html_attribute(tag STRING, name STRING) RETURNS STRING RETURN {_with_names(_attribute('tag', 'name'))}",
         f"{make} html_links(html STRING, url STRING) RETURNS ARRAY<STRUCT<{typed}>> RETURN {_with_names(_links('html', 'url'))}",
-        f"{make} extract_links(html STRING, url STRING) RETURNS TABLE(pos BIGINT, {LINK}) RETURN SELECT CAST(k AS BIGINT), q.url, q.valid, q.text, q.alt, q.rel FROM (SELECT posexplode(found) AS (k, q) FROM (SELECT html_links(extract_links.html, extract_links.url) AS found))",
+        f"{make} extract_links(html STRING, url STRING) RETURNS TABLE(pos BIGINT, {LINK}) RETURN SELECT CAST(k AS BIGINT), q.url, q.valid, q.text, q.alt, q.rel FROM (SELECT posexplode_outer(found) AS (k, q) FROM (SELECT html_links(extract_links.html, extract_links.url) AS found)) WHERE k IS NOT NULL",
     ]
 
 
@@ -126,7 +126,7 @@ def register(spark: SparkSession) -> None:
 
 
 def page_links(spark: SparkSession, pages: str) -> DataFrame:
-    """(page_id, pos, link, text) of a view's pages, in SQL."""
+    """(page_id, pos, link, text) of a view's pages, in SQL. OUTER keeps the optimiser from filtering by the links first, for which they would be computed twice."""
     register(spark)
     return spark.sql(f"""SELECT page_id, CAST(pos AS BIGINT) AS pos, x.url AS link, x.text AS text
-        FROM (SELECT page_id, html_links(html, url) AS links FROM {pages}) LATERAL VIEW posexplode(links) AS pos, x""")
+        FROM (SELECT page_id, html_links(html, url) AS links FROM {pages}) LATERAL VIEW OUTER posexplode(links) AS pos, x WHERE pos IS NOT NULL""")

@@ -39,7 +39,8 @@ def test_the_view_form_is_narrow_and_without_python(spark):
     spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string").createOrReplaceTempView("sql_pages_plan")
     plan = sql.page_links(spark, "sql_pages_plan")._jdf.queryExecution().executedPlan().toString()
     nodes = set(re.findall(r"(?m)^[\s:*+-]*(?:\(\d+\) )?([A-Z]\w+)", plan))
-    assert nodes == {"Project", "Generate", "Scan"}
+    assert nodes == {"Project", "Filter", "Generate", "Scan"}
+    assert plan.count("<!--") == 1  # no filter computes the links once more
 
 
 def test_small_functions(spark):
