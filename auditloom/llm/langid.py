@@ -246,17 +246,20 @@ def sample(docs: DataFrame, sample_docs: int, sample_chars: int, id_col: str, te
     # the hash of an id, even over [0, 1)
     drawn = labelled.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / F.lit(1 << 40)).where(F.col("_h") < share)
     picked, held = [], {}
-    for r in drawn.select("_lang", "_id", "_h", F.length("_text").alias("n")).orderBy("_h").limit(4 * sample_docs * len(counts)).collect():
+    # of rows that repeat an id in one language the shortest text, so that they take one place and no more is collected than was picked
+    heads = drawn.groupBy("_lang", "_id", "_h").agg(F.min(F.length("_text")).alias("n"))
+    for r in heads.orderBy("_h").limit(4 * sample_docs * len(counts)).collect():
         docs_, chars = held.get(r["_lang"], (0, 0))
         if docs_ < sample_docs and (not docs_ or chars + r["n"] <= sample_chars) and r["n"] <= sample_chars:
             held[r["_lang"]] = (docs_ + 1, chars + r["n"])
-            picked.append(r["_id"])
+            picked.append((r["_id"], r["_lang"]))
     long = sorted(set(counts) - set(held))  # languages of longer texts only: each one's shortest, as far as the bound goes
     extra = [(r[0], r[1]) for r in labelled.where(F.col("_lang").isin(long)).groupBy("_lang").agg(F.min_by(F.substring("_text", 1, sample_chars), F.struct(F.length("_text"), "_id"))).collect()] if long else []
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in picked], "_want long") if picked else None
+    wanted = docs.sparkSession.createDataFrame(sorted(set(picked)), "_want long, _as string") if picked else None
     if wanted is None:
         return sorted(extra)
-    rows = drawn.join(F.broadcast(wanted), F.col("_id") == F.col("_want")).select("_id", "_lang", "_text").distinct().collect()
+    mine = drawn.join(F.broadcast(wanted), (F.col("_id") == F.col("_want")) & (F.col("_lang") == F.col("_as")))
+    rows = mine.groupBy("_id", "_lang").agg(F.min_by("_text", F.struct(F.length("_text"), "_text")).alias("_text")).collect()
     return [(r["_lang"], r["_text"]) for r in sorted(rows, key=lambda r: (r["_id"], r["_lang"], r["_text"]))] + sorted(extra)
 
 

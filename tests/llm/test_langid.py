@@ -4,7 +4,7 @@ from zlib import crc32
 
 import numpy as np
 
-from auditloom.llm.langid import Labeller, identify, keep_identified, marginals, train
+from auditloom.llm.langid import Labeller, identify, keep_identified, marginals, sample, train
 
 SYLLABLES = {"aa": ["ka", "ki", "ko", "ta", "ti"], "bb": ["zu", "zö", "gru", "schi", "ung"], "cc": ["eau", "oi", "é", "lle", "qu"]}
 
@@ -93,3 +93,13 @@ def test_a_language_of_long_texts_only_is_learned(spark):
     data = [(4 * k, text(r, "aa", 40), "aa") for k in range(30)] + [(4 * k + 1, text(r, "bb", 900), "bb") for k in range(8)]
     got = identify(frame(spark, data), sample_chars=3000).collect()
     assert all(len(t) > 3000 for _, t, x in data if x == "bb") and {x.lang_pred for x in got if x.doc_id % 4 == 1} == {"bb"}
+
+
+def test_an_id_of_many_texts_gives_one_training_row(spark):
+    """Rows that repeat an id in a language with other texts: the shortest is learned from, so the driver gets no more than was picked."""
+    k = next(k for k in range(100) if crc32(str(k).encode()) % 4 != 2)
+    rows = [(k, f"the cat sat on mat {'x' * n}", "en") for n in range(300)] + [(k, "le chat est ici", "fr"), (k, None, "fr"), (None, "no id", "en")]
+    got = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 250, 200_000, "doc_id", "text", "lang")
+    assert sorted(got) == [("en", "the cat sat on mat "), ("fr", "le chat est ici")]
+    few = sample(spark.createDataFrame(rows + [(k + 4 * n, f"dog {n}", "en") for n in range(1, 90)], "doc_id long, text string, lang string"), 250, 200_000, "doc_id", "text", "lang")
+    assert len(few) == 2 + sum(crc32(str(k + 4 * n).encode()) % 4 != 2 for n in range(1, 90))
