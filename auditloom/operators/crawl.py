@@ -8,7 +8,8 @@ of the URL: a round looks up the URLs it meets and appends its own, so what it s
 
 ``web`` holds a response per URL: url, code, reason, content, content_type, size, encoding,
 response_time, and optionally ``asked``, the address that it answers where that is not its own, and ``hops``, an array of
-such structs for the redirects before it. URLs that it lacks get code 0. Each response, hops too, is a row and, for links
+such structs for the redirects before it. Where it holds several responses for a URL, ``turn`` numbers them from 0: a seed that comes up
+again gets the next one, whatever else asks for the URL the first. URLs that it lacks get code 0. Each response, hops too, is a row and, for links
 and assets, an edge.
 
 Ids of rows and edges are their places in the sequence, packed: 31 bits of the page's rank, one for its assets, 21 of the
@@ -60,13 +61,16 @@ def ranked(df: DataFrame, order: list[str], first: int, name: str, store: Store)
 
 
 def _fetch(urls: DataFrame, web: DataFrame) -> DataFrame:
-    """(all columns of urls, hop, response): the final response first, then redirect hops."""
+    """(all columns of urls, hop, response): the final response first, then redirect hops. urls may have a ``turn``; without, it is 0."""
     has_hops = "hops" in web.columns
     key = F.coalesce("w.asked", "w.url") if "asked" in web.columns else F.col("w.url")
     one = F.struct(*[F.col(f"w.{c}").alias(c) for c in RESPONSE])
     missing = F.struct(F.col("u.url").alias("url"), F.lit(0).alias("code"), F.lit("Connection Error").alias("reason"), *[F.lit(None).cast(web.schema[c].dataType).alias(c) for c in RESPONSE[3:]])
     found = F.when(F.col("w.url").isNull(), F.array(missing)).otherwise(F.concat(F.array(one), F.coalesce(F.col("w.hops"), F.array())) if has_hops else F.array(one))
-    return urls.alias("u").join(web.alias("w"), F.col("u.url") == key, "left").select("u.*", F.posexplode(found).alias("hop", "r"))
+    asks = F.col("u.url") == key
+    if "turn" in web.columns:
+        asks &= F.col("w.turn") == (F.col("u.turn") if "turn" in urls.columns else F.lit(0))
+    return urls.alias("u").join(web.alias("w"), asks, "left").select("u.*", F.posexplode(found).alias("hop", "r"))
 
 
 def _id(rank: Column, phase: Column, pos: Column, hop: Column) -> Column:
@@ -139,6 +143,8 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame | None, web, folder:
         if len([p for p in log.parts() if p >= floor]) >= COMPACT:
             floor = log.compact(floor, 2 * (number - 1))
         turn = frontier.where(is_full_url(F.col("url")))
+        if number == 1 and not callable(web) and "turn" in web.columns:
+            turn = turn.withColumn("turn", F.row_number().over(Window.partitionBy("url").orderBy("rank")) - 1)  # only seeds repeat
         got = answers(turn, True).withColumn("asked", F.col("url")).select("rank", "hop", "asked", "r.*")
         parsed = store.put(parse_responses(got), "parsed")
         first = F.col("hop") == 0

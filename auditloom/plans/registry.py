@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import html as H
@@ -561,7 +561,8 @@ def external_links(spark, sf_dir):
 def crawl_pages(spark, sf_dir):
     """A crawl of the pages' own markup, each page a seed: what they link to within their sites is asked in the next round, and not there."""
     p = X.pages(spark, sf_dir)
-    web = p.select("url", F.lit(200).alias("code"), F.lit("OK").alias("reason"), F.col("html").alias("content"), F.lit("text/html").alias("content_type"), F.lit(None).cast("bigint").alias("size"), F.lit("utf-8").alias("encoding"), F.lit(0.1).cast("float").alias("response_time"))
+    turn = F.row_number().over(Window.partitionBy("url").orderBy("page_id")) - 1  # pages may share a URL
+    web = p.select("url", turn.alias("turn"), F.lit(200).alias("code"), F.lit("OK").alias("reason"), F.col("html").alias("content"), F.lit("text/html").alias("content_type"), F.lit(None).cast("bigint").alias("size"), F.lit("utf-8").alias("encoding"), F.lit(0.1).cast("float").alias("response_time"))
     found = C.crawl(spark, p.select("url", F.col("page_id").alias("pos")), web, _folder(spark, "pages"), internal=True, run_id="pages", clock=F.timestamp_seconds(F.lit(X.START)))
     return found.urls.select("address", *[F.col(c).cast("bigint").alias(c) for c in ("status_code", "depth", "external")])
 

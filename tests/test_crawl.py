@@ -103,6 +103,17 @@ def test_crawl_follows_the_sequential_rules(spark, tmp_path, seed, internal, lim
     assert {x.url: name[x.id] for x in processed_urls(urls, "r").collect()} == {x.address: x.address for x in got}
 
 
+def test_a_seed_that_repeats_gets_each_response_once(spark, tmp_path):
+    page = lambda k: f'<html><head></head><body><a href="/{k}">l</a></body></html>'
+    at = "http://a.example.com/"
+    rows = [(f"{at}s", k, 200, "OK", page(k), "text/html", None, "utf-8", 0.1) for k in (0, 1)] + [(f"{at}0", 0, 200, "OK", page("s"), "text/html", None, "utf-8", 0.1)]
+    web = spark.createDataFrame(rows, SCHEMA.replace("url string", "url string, turn int"))
+    found = crawl(spark, [f"{at}s", f"{at}s"], web, f"file://{tmp_path}", internal=True, run_id="r", clock=F.timestamp_seconds(F.lit(0)))
+    got = found.urls.orderBy("id").collect()
+    assert [(x.address, x.status_code, x.depth) for x in got] == [(f"{at}s", 200, 0), (f"{at}s", 200, 0), (f"{at}0", 200, 1), (f"{at}1", 0, 1)]
+    assert len({x.id for x in got}) == 4
+
+
 def test_redirect_hops_become_rows(spark, tmp_path):
     hop = [("http://a.example.com/old", 301, "Moved", "", "text/html", 0, None, 0.0)]
     web = spark.createDataFrame([("http://a.example.com/new", 200, "OK", "<html><head></head></html>", "text/html", None, "utf-8", 0.1, hop)], SCHEMA + f", hops array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>")
