@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import built_once
 from auditloom.functions.html import parse
 from auditloom.functions.keywords import match_count
+from auditloom.functions.urls import let
 
 LEVELS = {"C": ("critical", 0), "E": ("error", 1), "W": ("warning", 2), "I": ("info", 3)}
 # Rule ids with their printed labels, in catalogue order.
@@ -117,17 +118,21 @@ def sniff(text: Column) -> Column:
     return F.when(~text.startswith("<"), "txt").when(~text.startswith("<html"), "xml").otherwise("html")
 
 
-def sitemap(xml: Column) -> Column:
-    """struct<kind, entries>: an index wins over a url set; kind NULL where neither root is there."""
-    kind = F.when(xml.rlike(r"(?i)<sitemapindex[\s>]"), "index").when(xml.rlike(r"(?i)<urlset[\s>]"), "urlset")
-    items = F.when(kind == "index", F.regexp_extract_all(xml, F.lit(r"(?is)<sitemap\b[^>]*>(.*?)(?:</sitemap>|\z)"), 1)).otherwise(F.regexp_extract_all(xml, F.lit(r"(?is)<url\b[^>]*>(.*?)(?:</url>|\z)"), 1))
+ENTRY = ("loc", "priority", "changefreq", "lastmod")
 
-    def part(item: Column, name: str) -> Column:
-        p = rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}>|\z)"
-        return F.when(item.rlike(p), F.nullif(F.regexp_extract(item, p, 1), F.lit("")))
 
-    entries = F.transform(items, lambda i: F.struct(*(part(i, n).alias(n) for n in ("loc", "priority", "changefreq", "lastmod"))))
-    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), entries).alias("entries"))
+def sitemap(xml: Column, names: tuple[str, ...] = ENTRY) -> Column:
+    """struct<kind, entries>: an index wins over a url set; kind NULL where neither root is there. names: what is read of an entry.
+
+    Explode it in an array before its entries are: Spark filters on what is exploded, and would read the entries for that too.
+    """
+    found = F.when(xml.rlike(r"(?i)<sitemapindex[\s>]"), "index").when(xml.rlike(r"(?i)<urlset[\s>]"), "urlset")
+    held = lambda name: rf"(?is)(?=<{name}\b)<{name}\b[^>]*>((?:[^<]++|<(?!/{name}>))*+)(?:</{name}>)?"
+    items = lambda name: F.regexp_extract_all(xml, F.lit(held(name)), 1)
+    # absent elements and empty ones are NULL
+    part = lambda item, name: let(F.regexp_extract(item, held(name), 1), lambda v: F.when(v != "", v))
+    entries = lambda kind: F.transform(F.when(kind == "index", items("sitemap")).when(kind == "urlset", items("url")), lambda i: F.struct(*(part(i, n).alias(n) for n in names)))
+    return let(found, lambda kind: F.struct(kind.alias("kind"), entries(kind).alias("entries")))
 
 
 def sitemap_results(s: Column) -> Column:

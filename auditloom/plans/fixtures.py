@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.sources.jobs import Folder
+
 TITLE = r"(?s)<title>(.*?)</title>"
 HEAD = r"(?s)<head>.*</head>"
 H1 = r"(?s)<h1>.*?</h1>"
@@ -17,14 +19,23 @@ LONG = "word " * 31
 IMAGES = '<img src="/a.png" alt="a"><img src="/b.png" alt=""><img src="http://cdn.example.com/c.png#x">'
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores, dealt over the cores; a larger one is left as it is, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Bytes of stored pages for a task: a stored megabyte may be four of markup, and the variants' markup five times that.
+TASK_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """A table of fewer splits than there are cores, or than its stored bytes ask for, dealt over so many tasks; others are left as they are, unshuffled.
+
+    A file's row groups are never split, so a table of a few large files has few tasks, which grow with it.
+    """
+    stored = Folder(df.sparkSession, path)
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.fs.getContentSummary(stored._path(stored.path)).getLength() // TASK_BYTES))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    path = f"{sf_dir}/pages.parquet"
+    return spread(spark.read.parquet(path).select("page_id", "url", "html"), path)
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,12 +328,12 @@ def lint_site_rules(spark, sf_dir):
 SELECT page_id, 'C26' AS rule FROM k WHERE v = 2 UNION ALL SELECT page_id, 'C27' FROM k WHERE v = 1 UNION ALL SELECT page_id, 'E33' FROM k WHERE n >= 10000
 UNION ALL SELECT page_id, 'I30' FROM k WHERE v > 2 AND page_id % 2 = 0 UNION ALL SELECT page_id, 'I31' FROM k WHERE v > 2 AND page_id % 5 = 0 UNION ALL SELECT page_id, 'I32' FROM k WHERE v > 2 AND page_id % 3 = 0""")
 def lint_sitemap(spark, sf_dir):
-    return X.sitemaps(spark, sf_dir).withColumn("s", lint.sitemap(F.col("xml"))).select("page_id", F.explode(lint.sitemap_results(F.col("s"))).alias("r")).select("page_id", "r.rule")
+    return X.sitemaps(spark, sf_dir).select("page_id", F.explode(F.array(lint.sitemap(F.col("xml")))).alias("s")).select("page_id", F.explode(lint.sitemap_results(F.col("s"))).alias("r")).select("page_id", "r.rule")
 
 
 @query("sitemap_entries", "SELECT page_id, count(*) AS n, url AS loc FROM (SELECT page_id, url, unnest(range(CASE WHEN page_id % 6 = 0 THEN 1 WHEN page_id % 30 = 3 THEN 10000 ELSE 2 END)) FROM pages WHERE page_id % 6 NOT IN (1, 2)) GROUP BY page_id, url")
 def sitemap_entries(spark, sf_dir):
-    return X.sitemaps(spark, sf_dir).withColumn("s", lint.sitemap(F.col("xml"))).select("page_id", F.explode("s.entries").alias("e")).groupBy("page_id", F.col("e.loc").alias("loc")).agg(F.count("*").alias("n"))
+    return X.sitemaps(spark, sf_dir).select("page_id", F.explode(F.array(lint.sitemap(F.col("xml"), ("loc",)))).alias("s")).select("page_id", F.explode("s.entries").alias("e")).groupBy("page_id", F.col("e.loc").alias("loc")).agg(F.count("*").alias("n"))
 
 
 _ROBOTS = "WITH r AS (SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN 'Sitemap: ' || url || chr(10) ELSE '' END || CASE WHEN page_id % 3 <> 0 THEN 'Disallow: /search' || chr(10) || 'Disallow: /x' || chr(10) ELSE 'Disallow:' || chr(10) END || CASE WHEN page_id % 5 <> 0 THEN 'User-agent: *' || chr(10) ELSE 'user-agent: *' || chr(10) END AS txt FROM pages), k AS (SELECT page_id, regexp_extract_all(txt, 'Sitemap:\\s+([^\\n]+)', 1) AS s, regexp_extract_all(txt, 'Disallow:\\s+([^\\n]+)', 1) AS d, regexp_extract_all(txt, 'User-agent:\\s+([^\\n]+)', 1) AS u FROM r)"

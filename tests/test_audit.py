@@ -68,6 +68,24 @@ def test_markup_traps(spark):
     assert [x.url for x in d.sources] == ["http://h.com/i.png", "http://c.example.com/s.js#k"]
 
 
+def test_entries_of_sitemaps_are_read_once(spark):
+    from auditloom.plans import registry
+
+    plan = registry.sitemap_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
+def test_pages_are_dealt_by_their_bytes(spark, tmp_path):
+    import secrets
+
+    from auditloom.plans import fixtures
+
+    rows = [(k, f"http://a.example.com/{k}", secrets.token_hex(1 << 19)) for k in range(12)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert fixtures.pages(spark, str(tmp_path)).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert fixtures.pages(spark, str(tmp_path)).count() == 12
+
+
 def test_robots_sitemaps_sniff(spark):
     texts = ["", "Sitemap: http://a/x\nSitemap: http://a/y\r\n", "Sitemap: s\nDisallow:\nUser-agent: *\n", "sitemap: s\n"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("r", lint.robots(F.col("t"))).orderBy("i").select("r", F.transform(lint.robots_results(F.col("r")), lambda x: x["rule"]).alias("x")).collect()
