@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import built_once
 from auditloom.functions.keywords import keywords
-from auditloom.functions.urls import is_full_url, is_joinable, resolve
+from auditloom.functions.urls import is_full_url, is_joinable, let, resolve
 
 #: Comments, scripts and styles in one pass, so that the first to begin counts; what never ends, a start tag too, goes on to the page's end.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*+>).*?(?:(</\2\s*+>)|\z)|(<(?:script|style)\b[^>]*+\z)"
+HIDDEN = r"(?is)(?=<[!s])(?:<!--.*?(?:-->|\z)|(<(script|style)\b[^>]*+>).*?(?:(</\2\s*+>)|\z)|(<(?:script|style)\b[^>]*+\z))"
 HEAD_TAG = r"(?i)<head[\s>]"
 #: Head elements that open a document without a head tag: a lenient parser supplies the head.
 LEADING = r"(?is)^\s*+(?:<!doctype[^>]*+>)?\s*+(?:<html[^>]*+>)?\s*+<(?:title|meta|link|base|style|script)\b"
@@ -38,12 +38,13 @@ CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›
 
 def tag_pattern(name: str) -> str:
     """Group 1 is a closed tag. A tag without an end matches to the page's end, one with an open quote to its first >."""
-    return rf"(?is)(<(?:{name})\b{INSIDE}>)|<(?:{name})\b{INSIDE}\z|<(?:{name})\b[^>]*+>?"
+    return rf"(?is)(?=<(?:{name})\b)(?:(<(?:{name})\b{INSIDE}>)|<(?:{name})\b{INSIDE}\z|<(?:{name})\b[^>]*+>?)"
 
 
 def element_pattern(name: str, until: str) -> str:
-    """Group 1 is a closed start tag, group 2 what follows it up to one of until or the end."""
-    return rf"(?is)(<(?:{name})\b{INSIDE}>)(.*?)(?=<(?:{until})\b|</(?:{name})\s*+>|\z)|<(?:{name})\b{INSIDE}\z|<(?:{name})\b[^>]*+>?"
+    """Group 1 is a closed start tag, group 2 what follows it up to one of until or the end. On what it matched, it matches the same again."""
+    inner = rf"(?:[^<]++|<(?!(?:{until})\b|/(?:{name})\s*+>))*+"
+    return rf"(?is)(?=<(?:{name})\b)(?:(<(?:{name})\b{INSIDE}>)({inner})|<(?:{name})\b{INSIDE}\z|<(?:{name})\b[^>]*+>?)"
 
 
 def attribute_pattern(name: str) -> str:
@@ -52,12 +53,15 @@ def attribute_pattern(name: str) -> str:
     return rf"(?is)^<[a-z0-9]++(?:[\s/]++(?!{name}(?:[\s=>/]))[^\s/=>]++{value}|=[^\s>]*+)*+[\s/]++{name}(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+(?=[\s/>=])"
 
 
-@built_once
-def _named() -> Column:
-    """Names of characters to the characters, from the standard table; a name without its semicolon is its own key."""
-    import json
+LONGEST = max(map(len, html5.values()))
+#: Names of characters with the characters, from the standard table: as one text, which plans carry at less cost than a map.
+NAMED = "".join(f"\x01{name}\x02{value}" for name, value in html5.items()) + "\x01"
+
 
-    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+def _named(table: Column, name: Column) -> Column:
+    """What the table says of a name, or NULL; a name without its semicolon is its own key."""
+    at = F.instr(table, F.concat(F.lit("\x01"), name, F.lit("\x02")))
+    return let(at, lambda k: F.when(k > 0, F.substring_index(F.substring(table, k + F.length(name) + 2, F.lit(LONGEST + 1)), "\x01", 1)))
 
 
 def _character(name: Column) -> Column:
@@ -73,18 +77,17 @@ def _character(name: Column) -> Column:
 def decode(c: Column) -> Column:
     """Character references as a browser reads them: named by the standard table, decimal and hexadecimal; unknown ones stay."""
 
-    def piece(p: Column, k: Column) -> Column:
+    def piece(p: Column, k: Column, table: Column) -> Column:
         whole, start = F.regexp_extract(p, ENTITY, 0), F.regexp_extract(p, OLD_NAMES, 0)
         after = lambda name: F.substr(p, F.length(name) + 1)
+        named = lambda name: F.when(name != "", F.concat(_named(table, name), after(name)))
         return (
             F.when(k == 0, p)
             .when(whole.startswith("#"), F.concat(_character(F.rtrim(whole, F.lit(";"))), after(whole)))
-            .when(F.try_element_at(_named(), whole).isNotNull(), F.concat(F.try_element_at(_named(), whole), after(whole)))
-            .when(start != "", F.concat(F.try_element_at(_named(), start), after(start)))
-            .otherwise(F.concat(F.lit("&"), p))
+            .otherwise(F.coalesce(named(whole), named(start), F.concat(F.lit("&"), p)))
         )
 
-    return F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "&"), piece), "")).otherwise(c)
+    return F.when(c.contains("&"), let(F.lit(NAMED), lambda table: F.array_join(F.transform(F.split(c, "&"), lambda p, k: piece(p, k, table)), ""))).otherwise(c)
 
 
 def clean(html: Column) -> Column:
@@ -97,8 +100,9 @@ def tags(c: Column, name: str) -> Column:
 
 def elements(c: Column, name: str, until: str) -> Column:
     """(tag, inner) of each element."""
-    p = F.lit(element_pattern(name, until))
-    return F.filter(F.arrays_zip(F.regexp_extract_all(c, p, 1).alias("tag"), F.regexp_extract_all(c, p, 2).alias("inner")), lambda x: x["tag"] != "")
+    p = element_pattern(name, until)
+    found = F.transform(F.regexp_extract_all(c, F.lit(p), 0), lambda x: F.struct(*(F.regexp_extract(x, p, k).alias(n) for k, n in ((1, "tag"), (2, "inner")))))
+    return F.filter(found, lambda x: x["tag"] != "")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -160,6 +164,7 @@ def _pieces(url: str) -> dict[str, tuple[tuple[str, ...], object]]:
         "_a": ((), lambda: elements(F.col("_c"), "a", "a")),
         "_img": ((), lambda: tags(F.col("_c"), "img")),
         "_src": ((), lambda: tags(F.col("_c"), "img|link|script|style|meta")),
+        "_links": ((), lambda: F.size(tags(F.col("_c"), "a"))),
         "_title": ((), lambda: F.when(F.col("_c").rlike(r"(?i)<title\b[^>]*+>"), decode(F.regexp_extract("_c", r"(?is)<title\b[^>]*+>(.*?)(?:</title>|\z)", 1))).otherwise(F.lit("None"))),
         "__desc": (("_metas",), lambda: named("description")),
         "__robots": (("_metas",), lambda: named("robots")),
@@ -180,7 +185,7 @@ def _pieces(url: str) -> dict[str, tuple[tuple[str, ...], object]]:
         "robots": (("__robots",), lambda: attribute(F.col("__robots"), "content")),
         "h1s": (("__h1s",), lambda: F.col("__h1s")),
         "h1_count": (("_h1",), lambda: F.size("_h1")),
-        "link_count": (("_a",), lambda: F.size("_a")),
+        "link_count": (("_links",), lambda: F.col("_links")),
         "img_count": (("_img",), lambda: F.size("_img")),
         "img_no_alt": (("_img",), lambda: F.size(F.filter("_img", lambda t: F.coalesce(attribute(t, "alt"), F.lit("")) == ""))),
         "size": (("_len",), lambda: F.col("_len")),

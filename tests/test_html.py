@@ -160,3 +160,10 @@ def test_only_what_is_wanted_is_in_the_plan(spark):
     assert "title" in title and "href" not in title and "regexp_extract_all" not in title
     assert "regexp" not in plan(parse(df, parts=())).lower() and "regexp" not in plan(parse(df, parts=("size",))).lower()
     assert "lint" in lint_html(parse(df)).columns
+
+
+def test_elements_and_their_texts_take_one_pass(spark):
+    pages = spark.createDataFrame([("<html><head></head><body><h1>a<b>b</b></h1><H1 x>c", "http://a.example.com/")], "html string, url string")
+    found = parse(pages, parts=("h1s", "link_count"))
+    assert found.first()["doc"]["h1s"] == ["ab", "c"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
