@@ -95,6 +95,11 @@ FRONTIER = "url string, rank bigint"
 COMPACT = 16
 
 
+def _buckets(spark: SparkSession) -> int:
+    """Buckets of the seen URLs: each round writes and reads them all, so a few for each core rather than as many as a large shuffle has."""
+    return max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def crawl(spark: SparkSession, seeds: list[str] | DataFrame | None, web, folder: str, internal: bool = False, limit: int = 0, run_id: str | None = None, clock: Column | None = None, max_rounds: int | None = None, full_graph: bool = False, sink=None, discard=None) -> Crawl:
     """Crawls web from seeds: URLs in order, or a table of (url, pos). Without seeds, goes on with the crawl that folder holds.
 
@@ -123,7 +128,7 @@ def crawl(spark: SparkSession, seeds: list[str] | DataFrame | None, web, folder:
         start = seeds if isinstance(seeds, DataFrame) else spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "pos long, url string")
         frontier = store.put(start.select("url", F.col("pos").cast("long").alias("rank")), "frontier")
         total, stopped, depth, waiting = (frontier.agg(F.max("rank")).first()[0] or 0) + 1, False, 0, []
-        state = {"round": 0, "run_id": run_id, "frontier": store.last, "total": total, "stopped": False, "depth": 0, "pending": [], "floor": 0, "buckets": max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))), "done": False}
+        state = {"round": 0, "run_id": run_id, "frontier": store.last, "total": total, "stopped": False, "depth": 0, "pending": [], "floor": 0, "buckets": _buckets(spark), "done": False}
         job.commit(0, state)
     log = SeenLog(spark, f"{job.path}/seen", state["buckets"])
     number = state["round"]

@@ -103,6 +103,17 @@ def test_crawl_follows_the_sequential_rules(spark, tmp_path, seed, internal, lim
     assert {x.url: name[x.id] for x in processed_urls(urls, "r").collect()} == {x.address: x.address for x in got}
 
 
+def test_rounds_of_few_urls_have_few_tasks(spark):
+    from auditloom.operators.crawl import _buckets
+
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert _buckets(spark) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def test_a_seed_that_repeats_gets_each_response_once(spark, tmp_path):
     page = lambda k: f'<html><head></head><body><a href="/{k}">l</a></body></html>'
     at = "http://a.example.com/"
