@@ -21,15 +21,18 @@ IMAGES = '<img src="/a.png" alt="a"><img src="/b.png" alt=""><img src="http://cd
 
 #: Bytes of stored pages for a task: a stored megabyte may be four of markup, and the variants' markup five times that.
 TASK_BYTES = 1 << 20
+#: Rows for a task: files store a page that repeats once, as an entry of a dictionary, so stored bytes alone may stay as they are while rows grow.
+TASK_ROWS = 500
 
 
 def spread(df: DataFrame, path: str) -> DataFrame:
-    """A table of fewer splits than there are cores, or than its stored bytes ask for, dealt over so many tasks; others are left as they are, unshuffled.
+    """A table of fewer splits than there are cores, or than its rows or stored bytes ask for, dealt over so many tasks; others are left as they are, unshuffled.
 
-    A file's row groups are never split, so a table of a few large files has few tasks, which grow with it.
+    A file's row groups are never split, so a table of a few large files has few tasks, which grow with it. Rows are counted without reading a column.
     """
     stored = Folder(df.sparkSession, path)
-    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.fs.getContentSummary(stored._path(stored.path)).getLength() // TASK_BYTES))
+    size = stored.fs.getContentSummary(stored._path(stored.path)).getLength()
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES), -(-df.count() // TASK_ROWS))
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 

@@ -9,6 +9,7 @@ from auditloom.functions import urls as U
 from auditloom.functions.html import parse
 from auditloom.functions.keywords import keywords, match_count
 from auditloom.operators import lint, render, reports
+from auditloom.plans import fixtures
 from auditloom.sources import seeds
 
 
@@ -191,3 +192,11 @@ def test_yaml_list(spark, tmp_path):
     (tmp_path / "u.yaml").write_text("urls:\n- http://a.com/\n- http://b.com/\n")
     assert [r.url for r in seeds.yaml_urls(spark, str(tmp_path / "u.yaml")).orderBy("pos").collect()] == ["http://a.com/", "http://b.com/"]
     assert seeds.yaml_urls(spark, str(tmp_path / "u.yaml"), "none").count() == 0
+
+
+def test_pages_that_repeat_are_dealt_by_rows(spark, tmp_path):
+    """A dictionary stores repeated pages once: the file stays small, and no task gets more rows as it grows."""
+    n = 40 * fixtures.TASK_ROWS
+    spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://h.com/").alias("url"), F.lit(page("", "x" * 1000)).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    held = [r.n for r in fixtures.variants(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == n and max(held) <= fixtures.TASK_ROWS + 1
