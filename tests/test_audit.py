@@ -9,7 +9,7 @@ from auditloom.functions import urls as U
 from auditloom.functions.html import parse
 from auditloom.functions.keywords import keywords, match_count
 from auditloom.operators import lint, render, reports
-from auditloom.plans import fixtures
+from auditloom.plans import fixtures, registry
 from auditloom.sources import seeds
 
 
@@ -200,3 +200,9 @@ def test_pages_that_repeat_are_dealt_by_rows(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://h.com/").alias("url"), F.lit(page("", "x" * 1000)).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     held = [r.n for r in fixtures.variants(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert sum(held) == n and max(held) <= fixtures.TASK_ROWS + 1
+
+
+@pytest.mark.parametrize("name", ["lint_level_counts"])
+def test_lint_queries_deal_pages_by_rows(spark, tmp_path, name):
+    spark.range(40 * fixtures.TASK_ROWS).select(F.col("id").alias("page_id"), F.lit("http://h.com/").alias("url"), F.lit(page()).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert "RoundRobinPartitioning(40)" in registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
