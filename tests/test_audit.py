@@ -202,7 +202,7 @@ def test_pages_that_repeat_are_dealt_by_rows(spark, tmp_path):
     assert sum(held) == n and max(held) <= fixtures.TASK_ROWS + 1
 
 
-@pytest.mark.parametrize("name", ["lint_level_counts", "lint_exit_status"])
+@pytest.mark.parametrize("name", ["lint_level_counts", "lint_exit_status", "rules_catalogue"])
 def test_lint_queries_deal_pages_by_rows(spark, tmp_path, name):
     spark.range(40 * fixtures.TASK_ROWS).select(F.col("id").alias("page_id"), F.lit("http://h.com/").alias("url"), F.lit(page()).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     assert "RoundRobinPartitioning(40)" in registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
