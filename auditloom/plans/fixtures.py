@@ -22,7 +22,7 @@ IMAGES = '<img src="/a.png" alt="a"><img src="/b.png" alt=""><img src="http://cd
 #: Bytes of stored pages for a task: a stored megabyte may be four of markup, and the variants' markup five times that.
 TASK_BYTES = 1 << 20
 #: Rows for a task: files store a page that repeats once, as an entry of a dictionary, so stored bytes alone may stay as they are while rows grow.
-TASK_ROWS = 500
+TASK_ROWS = 2000
 
 
 def spread(df: DataFrame, path: str) -> DataFrame:
